@@ -49,17 +49,14 @@ def text_key(col: Column) -> Column:
 def with_grams(df: DataFrame, text: str, out: str) -> DataFrame:
     """Add the uni- and bigram list of ``text``; words have at least two characters
     and shorter ones are gone before bigrams form."""
-    words = f"__{out}_words"
-    df = df.withColumn(
-        words, F.regexp_extract_all(F.lower(_text(F.col(text))), F.lit(LONG_WORD), F.lit(0))
-    )
-    pairs = F.greatest(F.size(words) - 1, F.lit(0))
-    bigrams = F.zip_with(
-        F.slice(words, F.lit(1), pairs),
-        F.slice(words, F.lit(2), pairs),
-        lambda a, b: F.concat(a, F.lit(" "), b),
-    )
-    return df.withColumn(out, F.concat(F.col(words), bigrams)).drop(words)
+    w = f"__{out}_words"
+    words = F.regexp_extract_all(F.lower(_text(F.col(text))), F.lit(LONG_WORD), F.lit(0))
+    grams = f"""
+        concat({w}, zip_with(
+            slice({w}, 1, greatest(size({w}) - 1, 0)),
+            slice({w}, 2, greatest(size({w}) - 1, 0)),
+            (a, b) -> a || ' ' || b))"""
+    return df.withColumn(w, words).withColumn(out, F.expr(grams)).drop(w)
 
 
 def with_value_counts(df: DataFrame, values: str, out: str) -> DataFrame:
@@ -71,51 +68,34 @@ def with_value_counts(df: DataFrame, values: str, out: str) -> DataFrame:
     from inlining the sort into the element-wise lambdas.
     """
     run, start = f"__{out}_sorted", f"__{out}_start"
-    df = df.withColumn(run, F.sort_array(values))
-    size = F.size(run)
-    positions = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(
-        F.array().cast("array<int>")
-    )
-    df = df.withColumn(
-        start,
-        F.filter(
-            positions,
-            lambda i: (i == 0)
-            | (F.get(F.col(run), i) != F.get(F.col(run), F.greatest(i - 1, F.lit(0)))),
-        ),
-    )
-    following = F.concat(
-        F.slice(start, F.lit(2), F.greatest(F.size(start) - 1, F.lit(0))), F.array(size)
+    starts = f"""
+        filter(
+            if(size({run}) > 0, sequence(0, size({run}) - 1), cast(array() AS array<int>)),
+            i -> i = 0 OR get({run}, i) <> get({run}, greatest(i - 1, 0)))"""
+    counts = f"""
+        zip_with(
+            {start},
+            slice(concat(slice({start}, 2, size({start})), array(size({run}))), 1, size({start})),
+            (a, b) -> named_struct('value', get({run}, a), 'n', cast(b - a AS bigint)))"""
+    return (
+        df.withColumn(run, F.sort_array(values))
+        .withColumn(start, F.expr(starts))
+        .withColumn(out, F.expr(counts))
+        .drop(run, start)
     )
-    counts = F.zip_with(
-        F.col(start),
-        F.slice(following, F.lit(1), F.size(start)),
-        lambda a, b: F.struct(
-            F.get(F.col(run), a).alias("value"), (b - a).cast("bigint").alias("n")
-        ),
-    )
-    return df.withColumn(out, counts).drop(run, start)
 
 
 def with_shared_terms(df: DataFrame, query: str, doc: str, out: str) -> DataFrame:
     """Add ``array<struct<value, n, query_n>>``: the terms two token columns share,
     with the count in the document and in the query. Stays within the row."""
-    hits = f"__{out}_hits"
-    df = df.withColumn(
-        hits, F.filter(F.col(doc), lambda t: F.array_contains(F.col(query), t))
-    )
-    df = with_value_counts(df, hits, f"__{out}_counts")
-    shared = F.transform(
-        F.col(f"__{out}_counts"),
-        lambda c: F.struct(
-            c["value"].alias("value"),
-            c["n"].alias("n"),
-            F.size(F.filter(F.col(query), lambda t: t == c["value"]))
-            .cast("bigint")
-            .alias("query_n"),
-        ),
-    )
-    return df.withColumn(out, shared).drop(hits, f"__{out}_counts")
+    hits, counts = f"__{out}_hits", f"__{out}_counts"
+    df = df.withColumn(hits, F.expr(f"filter({doc}, t -> array_contains({query}, t))"))
+    shared = f"""
+        transform({counts}, c -> named_struct(
+            'value', c.value,
+            'n', c.n,
+            'query_n', cast(size(filter({query}, t -> t = c.value)) AS bigint)))"""
+    return with_value_counts(df, hits, counts).withColumn(out, F.expr(shared)).drop(hits, counts)
 
 
 def explode_rows(df: DataFrame, *keep, items: Column, out: str) -> DataFrame:

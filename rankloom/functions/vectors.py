@@ -16,11 +16,11 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def cosine(a: Column, b: Column, unit_length: bool = False) -> Column:
-    """Cosine of two vectors; a zero vector gives 0."""
+    """Cosine of two vectors; a zero vector gives 0, a missing one null."""
     if unit_length:
         return dot(a, b)
     length = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.coalesce(F.try_divide(dot(a, b), length), F.lit(0.0))
+    return F.when(length == 0, 0.0).otherwise(dot(a, b) / length)
 
 
 @F.pandas_udf(DoubleType())

@@ -53,13 +53,7 @@ def matched_scores(pairs: DataFrame, corpus: DataFrame, key: str = "pair_id") ->
         items=F.col("shared"),
         out="s",
     )
-    shared = shared.select(
-        key,
-        "doc_len",
-        F.col("s.value").alias("term"),
-        F.col("s.n").alias("tf"),
-        F.col("s.query_n").alias("query_n"),
-    )
+    shared = shared.selectExpr(key, "doc_len", "s.value AS term", "s.n AS tf", "s.query_n AS query_n")
     # A term can be matched no more often than questions ask it.
     asked = explode_rows(pairs, items=F.array_distinct(tokenize(F.col("question"))), out="term")
     weighted = salted_lookup(

@@ -30,7 +30,7 @@ def largest(
     min_rows: int = MIN_HOT_ROWS,
 ) -> DataFrame:
     """``hot_keys`` for a table that already holds the row count of each key."""
-    return counts.where(F.col(n) >= min_rows).orderBy(F.col(n).desc()).limit(max_keys).select(*keys)
+    return counts.where(f"{n} >= {min_rows}").orderBy(F.desc(n)).limit(max_keys).select(*keys)
 
 
 def salted_lookup(
@@ -53,23 +53,11 @@ def salted_lookup(
     """
     if hot is None:
         hot = hot_keys(rows.select(*keys), keys)
-    marker = F.broadcast(hot.select(*keys, F.lit(True).alias("__hot")))
-    left = (
-        rows.join(marker, keys, "left")
-        .withColumn(
-            "__salt",
-            F.when(F.col("__hot"), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(0),
-        )
-        .drop("__hot")
+    marker = F.broadcast(hot.selectExpr(*keys, "true AS __hot"))
+    left = rows.join(marker, keys, "left").selectExpr(
+        *rows.columns, f"if(__hot, int(pmod(xxhash64({spread}), {salts})), 0) AS __salt"
     )
-    right = (
-        table.join(marker, keys, "left")
-        .withColumn(
-            "__salt",
-            F.explode(
-                F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-            ),
-        )
-        .drop("__hot")
+    right = table.join(marker, keys, "left").selectExpr(
+        *table.columns, f"explode(if(__hot, sequence(0, {salts - 1}), array(0))) AS __salt"
     )
     return left.join(right, [*keys, "__salt"], how).drop("__salt")

@@ -38,7 +38,7 @@ def text_grams(texts: DataFrame) -> DataFrame:
     counted = with_value_counts(with_grams(texts, "text", "grams"), "grams", "counts")
     return explode_rows(
         counted, text_key(F.col("text")).alias("text_key"), "weight", items=F.col("counts"), out="c"
-    ).select("text_key", "weight", F.col("c.value").alias("gram"), F.col("c.n").alias("tf"))
+    ).selectExpr("text_key", "weight", "c.value AS gram", "c.n AS tf")
 
 
 def gram_weights(grams: DataFrame, texts: DataFrame) -> DataFrame:
@@ -68,13 +68,11 @@ def cosines(pairs: DataFrame, fit_texts: DataFrame | None = None, key: str = "pa
         own_grams.select("text_key", "gram", "tf"), idf, ["gram"], spread="text_key", how="inner", hot=hot_grams
     )
     lengths = squares.groupBy("text_key").agg(
-        F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2))).alias("length")
+        F.expr("sqrt(sum(pow(tf * idf, 2))) AS length")
     )
 
-    keyed = pairs.select(
-        key,
-        F.coalesce("question", F.lit("")).alias("question"),
-        F.coalesce("document", F.lit("")).alias("document"),
+    keyed = pairs.selectExpr(
+        key, "coalesce(question, '') AS question", "coalesce(document, '') AS document"
     )
     row_grams = with_grams(with_grams(keyed, "question", "q_grams"), "document", "d_grams")
     shared = explode_rows(
@@ -85,9 +83,7 @@ def cosines(pairs: DataFrame, fit_texts: DataFrame | None = None, key: str = "pa
         items=F.col("shared"),
         out="s",
     )
-    shared = shared.select(
-        key, "q_key", "d_key", F.col("s.value").alias("gram"), (F.col("s.n") * F.col("s.query_n")).alias("tf2")
-    )
+    shared = shared.selectExpr(key, "q_key", "d_key", "s.value AS gram", "s.n * s.query_n AS tf2")
     asked = explode_rows(
         with_grams(pairs.select("question"), "question", "grams"),
         items=F.array_distinct("grams"),
@@ -95,7 +91,7 @@ def cosines(pairs: DataFrame, fit_texts: DataFrame | None = None, key: str = "pa
     )
     products = salted_lookup(shared, idf, ["gram"], spread=key, how="inner", hot=hot_keys(asked, ["gram"]))
     dots = products.groupBy(key, "q_key", "d_key").agg(
-        F.sum(F.col("tf2") * F.pow("idf", F.lit(2))).alias("dot")
+        F.expr("sum(tf2 * idf * idf) AS dot")
     )
 
     for side, text in (("q", "question"), ("d", "document")):
@@ -103,15 +99,13 @@ def cosines(pairs: DataFrame, fit_texts: DataFrame | None = None, key: str = "pa
         copies = keyed.select(text_key(F.col(text)).alias(side_key))
         dots = salted_lookup(
             dots,
-            lengths.select(F.col("text_key").alias(side_key), F.col("length").alias(f"{side}_len")),
+            lengths.selectExpr(f"text_key AS {side_key}", f"length AS {side}_len"),
             [side_key],
             spread=key,
             how="inner",
             hot=hot_keys(copies, [side_key]),
         )
-    return dots.select(
-        key, F.try_divide(F.col("dot"), F.col("q_len") * F.col("d_len")).alias("tfidf_similarity")
-    )
+    return dots.selectExpr(key, "try_divide(dot, q_len * d_len) AS tfidf_similarity")
 
 
 def with_tfidf(

@@ -38,11 +38,6 @@ def compare(spark, con, query, sql: str, folder: str) -> list[str]:
         return [f"columns {sorted(df.columns)} vs {sorted(names)}"]
     types = {n: str(t).lower() for n, t in zip(names, [d[1] for d in result.description])}
     ours = {n: t for n, t in df.dtypes}
-    same = {
-        "number": ("int", "bigint", "smallint", "double", "float"),
-        "string": ("string",),
-    }
-    del same
     for name in names:
         sql_type = types[name]
         spark_type = {"int": "integer", "string": "varchar"}.get(ours[name], ours[name])
