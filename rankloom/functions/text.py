@@ -88,14 +88,22 @@ def with_value_counts(df: DataFrame, values: str, out: str) -> DataFrame:
 def with_shared_terms(df: DataFrame, query: str, doc: str, out: str) -> DataFrame:
     """Add ``array<struct<value, n, query_n>>``: the terms two token columns share,
     with the count in the document and in the query. Stays within the row."""
-    hits, counts = f"__{out}_hits", f"__{out}_counts"
-    df = df.withColumn(hits, F.expr(f"filter({doc}, t -> array_contains({query}, t))"))
+    # The hash-based intersection is small, so looking each document term up in it is cheap.
+    common, hits, counts = f"__{out}_common", f"__{out}_hits", f"__{out}_counts"
+    df = df.withColumn(common, F.array_intersect(query, doc)).withColumn(
+        hits,
+        F.expr(f"if(size({common}) = 0, {common}, filter({doc}, t -> array_contains({common}, t)))"),
+    )
     shared = f"""
         transform({counts}, c -> named_struct(
             'value', c.value,
             'n', c.n,
             'query_n', cast(size(filter({query}, t -> t = c.value)) AS bigint)))"""
-    return with_value_counts(df, hits, counts).withColumn(out, F.expr(shared)).drop(hits, counts)
+    return (
+        with_value_counts(df, hits, counts)
+        .withColumn(out, F.expr(shared))
+        .drop(common, hits, counts)
+    )
 
 
 def explode_rows(df: DataFrame, *keep, items: Column, out: str) -> DataFrame:

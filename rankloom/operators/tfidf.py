@@ -34,18 +34,24 @@ def distinct_texts(texts: DataFrame) -> DataFrame:
 
 
 def text_grams(texts: DataFrame) -> DataFrame:
-    """(text_key, weight, gram, tf) of a distinct-text table."""
+    """(text_key, gram, tf) of a distinct-text table."""
     counted = with_value_counts(with_grams(texts, "text", "grams"), "grams", "counts")
     return explode_rows(
-        counted, text_key(F.col("text")).alias("text_key"), "weight", items=F.col("counts"), out="c"
-    ).selectExpr("text_key", "weight", "c.value AS gram", "c.n AS tf")
+        counted, text_key(F.col("text")).alias("text_key"), items=F.col("counts"), out="c"
+    ).selectExpr("text_key", "c.value AS gram", "c.n AS tf")
 
 
-def gram_weights(grams: DataFrame, texts: DataFrame) -> DataFrame:
-    """(gram, df, n_texts, idf) of the grams of a corpus and its texts, repeats
-    included: df and the corpus size count copies, n_texts is the number of rows the
-    gram has in ``grams``."""
+def gram_weights(texts: DataFrame) -> DataFrame:
+    """(gram, df, n_texts, idf) of a text column, repeats included: df and the corpus
+    size count copies of a text, n_texts is the number of distinct texts with the gram.
+    Grams are counted once per distinct text and weighted by its copies."""
     total = texts.agg(F.count("*")).scalar()
+    grams = explode_rows(
+        with_grams(distinct_texts(texts), "text", "grams"),
+        "weight",
+        items=F.array_distinct("grams"),
+        out="gram",
+    )
     counts = grams.groupBy("gram").agg(F.sum("weight").alias("df"), F.count("*").alias("n_texts"))
     return counts.withColumn("idf", F.log((total + 1.0) / (F.col("df") + 1.0)) + 1.0)
 
@@ -56,16 +62,12 @@ def cosines(pairs: DataFrame, fit_texts: DataFrame | None = None, key: str = "pa
     ``fit_texts`` (one ``text`` column) sets vocabulary and weights; without it the
     pairs' own texts do."""
     own_grams = text_grams(distinct_texts(pair_texts(pairs)))
-    if fit_texts is None:
-        weights = gram_weights(own_grams, pair_texts(pairs))
-        hot_grams = largest(weights, ["gram"], "n_texts")
-    else:
-        weights = gram_weights(text_grams(distinct_texts(fit_texts)), fit_texts)
-        hot_grams = None
+    weights = gram_weights(pair_texts(pairs) if fit_texts is None else fit_texts)
+    hot_grams = largest(weights, ["gram"], "n_texts") if fit_texts is None else None
     idf = weights.select("gram", "idf")
 
     squares = salted_lookup(
-        own_grams.select("text_key", "gram", "tf"), idf, ["gram"], spread="text_key", how="inner", hot=hot_grams
+        own_grams, idf, ["gram"], spread="text_key", how="inner", hot=hot_grams
     )
     lengths = squares.groupBy("text_key").agg(
         F.expr("sqrt(sum(pow(tf * idf, 2))) AS length")

@@ -328,9 +328,7 @@ def bm25_reference_corpus(spark, folder):
 
 @query
 def tfidf_idf(spark, folder):
-    texts = _documents(spark, folder).select("text")
-    grams = tfidf.text_grams(tfidf.distinct_texts(texts))
-    return rounded(tfidf.gram_weights(grams, texts).select("gram", "df", "idf"))
+    return rounded(tfidf.gram_weights(_documents(spark, folder).select("text")).select("gram", "df", "idf"))
 
 
 @query
