@@ -73,11 +73,13 @@ def with_bm25(
     enabled: bool = True,
     key: str = "pair_id",
     texts: DataFrame | None = None,
+    complete: bool = False,
 ) -> DataFrame:
     """Add ``bm25_score``. The corpus is the distinct documents of ``corpus_texts``, or
     of the pairs themselves. A pair whose document is not in the corpus gets NaN, and
     so does every pair when switched off. ``texts`` is the frame to read the pair texts
-    from if ``pairs`` has been joined with other scores already."""
+    from if ``pairs`` has been joined with other scores already. ``complete=True`` states
+    that every pair document is in the corpus, which saves looking them up."""
     if not enabled:
         return pairs.withColumn("bm25_score", F.lit(float("nan")))
     texts = pairs if texts is None else texts
@@ -86,7 +88,7 @@ def with_bm25(
     scored = pairs.join(matched_scores(texts, corpus, key), key, "left").withColumn(
         "bm25_score", F.coalesce("bm25_score", F.lit(0.0))
     )
-    if own:
+    if own or complete:
         return scored
     doc_key = text_key(normalize_whitespace(F.col("document")))
     known = salted_lookup(

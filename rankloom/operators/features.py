@@ -13,7 +13,7 @@ from rankloom.functions.text import normalize_whitespace
 from rankloom.operators.bm25 import with_bm25
 from rankloom.operators.lexical import entity_count, with_lexical_features
 from rankloom.operators.semantic import encode_texts, with_semantic
-from rankloom.operators.tfidf import pair_texts, with_tfidf
+from rankloom.operators.tfidf import pair_texts, weighted_pair_texts, with_tfidf
 
 
 @dataclass(frozen=True)
@@ -30,13 +30,15 @@ def feature_table(
     vectors: DataFrame | None = None,
     fit_texts: DataFrame | None = None,
     corpus_texts: DataFrame | None = None,
+    qa: DataFrame | None = None,
 ) -> DataFrame:
     """Pairs with all features, in the fixed column order, other columns behind.
 
     Corpus-level scores default to the statistics of the given pairs. Score the whole
     pair table once and filter by split afterwards: that is the global corpus for
     every split, in one pass. ``fit_texts`` (column ``text``) and ``corpus_texts``
-    (column ``document``) replace the TF-IDF and the BM25 corpus.
+    (column ``document``) replace the TF-IDF and the BM25 corpus. ``qa``, the table the
+    pairs were built from, gives the same statistics as the pairs from fewer texts.
 
     All score tables are keyed by pair_id, so the joins share one partitioning of the
     pairs.
@@ -59,8 +61,13 @@ def feature_table(
         "named_entity_count",
         entity_count(F.col("question"), options.named_entities, options.entity_counter),
     )
-    scored = with_bm25(scored, corpus_texts, enabled=options.bm25, texts=clean)
-    scored = with_tfidf(scored, fit_texts, texts=clean)
+    if corpus_texts is None and qa is not None:
+        answers = qa.select(F.col("answer").alias("document"))
+        scored = with_bm25(scored, answers, enabled=options.bm25, texts=clean, complete=True)
+    else:
+        scored = with_bm25(scored, corpus_texts, enabled=options.bm25, texts=clean)
+    own_texts = None if qa is None else weighted_pair_texts(qa, clean)
+    scored = with_tfidf(scored, fit_texts, texts=clean, own_texts=own_texts)
     scored = with_semantic(scored, vectors, texts=clean).withColumn(
         "similarity_times_doc_length",
         F.col("semantic_cosine_similarity") * F.col("document_length"),

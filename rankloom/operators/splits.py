@@ -22,18 +22,22 @@ def split_by_question(
     validation: float = 0.15,
     test: float = 0.15,
     seed: int = 42,
+    questions: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``split`` with exact question counts: ceil((1-train)*n) questions are held
     out and floor(share*held_out) of them validate.
 
     The two digests at the cut ranks decide; each pair compares its question's digest
-    with them, so the pair table is neither joined nor shuffled.
+    with them, so the pair table is neither joined nor shuffled. ``questions`` is the
+    table the pairs were built from, if it is at hand: its ids are read instead of the
+    pairs', which are then read only once.
     """
     _check(train, validation, test)
     if "question_id" not in pairs.columns:
         raise ValueError("missing column: question_id")
-    questions = (
-        pairs.where("question_id IS NOT NULL")
+    ids = (
+        (pairs if questions is None else questions)
+        .where("question_id IS NOT NULL")
         .select("question_id")
         .distinct()
         .select(seeded_digest(seed, F.col("question_id")).alias("digest"))
@@ -50,7 +54,7 @@ def split_by_question(
             "validation": checked - held_out + F.floor(F.lit(share) * held_out),
         }
 
-    cuts = digest_cuts(questions, "digest", ranks)
+    cuts = digest_cuts(ids, "digest", ranks)
     digest = seeded_digest(seed, F.col("question_id"))
     return (
         pairs.withColumn("__cuts", cuts)

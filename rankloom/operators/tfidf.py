@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.text import (
     explode_rows,
+    normalize_whitespace,
     text_key,
     with_grams,
     with_shared_terms,
@@ -29,8 +30,30 @@ def pair_texts(pairs: DataFrame) -> DataFrame:
 
 
 def distinct_texts(texts: DataFrame) -> DataFrame:
-    """(text, weight): every text once, with the number of its copies."""
-    return texts.groupBy(F.coalesce("text", F.lit("")).alias("text")).agg(F.count("*").alias("weight"))
+    """(text, weight): every text once, with the number of its copies. Rows may come
+    with a weight already."""
+    copies = F.sum("weight") if "weight" in texts.columns else F.count("*")
+    return texts.groupBy(F.coalesce("text", F.lit("")).alias("text")).agg(copies.alias("weight"))
+
+
+def weighted_pair_texts(qa: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(text, weight): what ``pair_texts`` gives, from the table the pairs were built of.
+
+    How often each question and answer occurs follows from ids alone, so every text is
+    read once instead of once per pair."""
+    asked = pairs.groupBy("question_id").agg(F.count("*").alias("weight"))
+    drawn = pairs.groupBy(F.col("source_doc_question_id").alias("question_id")).agg(
+        F.count("*").alias("weight")
+    )
+    return (
+        qa.join(asked, "question_id")
+        .select(normalize_whitespace(F.col("question")).alias("text"), "weight")
+        .unionAll(
+            qa.join(drawn, "question_id").select(
+                normalize_whitespace(F.col("answer")).alias("text"), "weight"
+            )
+        )
+    )
 
 
 def text_grams(texts: DataFrame) -> DataFrame:
@@ -42,10 +65,11 @@ def text_grams(texts: DataFrame) -> DataFrame:
 
 
 def gram_weights(texts: DataFrame) -> DataFrame:
-    """(gram, df, n_texts, idf) of a text column, repeats included: df and the corpus
+    """(gram, df, n_texts, idf) of a text column, repeats included or given as weights: df and the corpus
     size count copies of a text, n_texts is the number of distinct texts with the gram.
     Grams are counted once per distinct text and weighted by its copies."""
-    total = texts.agg(F.count("*")).scalar()
+    copies = F.sum("weight") if "weight" in texts.columns else F.count("*")
+    total = texts.agg(copies).scalar()
     grams = explode_rows(
         with_grams(distinct_texts(texts), "text", "grams"),
         "weight",
@@ -56,13 +80,20 @@ def gram_weights(texts: DataFrame) -> DataFrame:
     return counts.withColumn("idf", F.log((total + 1.0) / (F.col("df") + 1.0)) + 1.0)
 
 
-def cosines(pairs: DataFrame, fit_texts: DataFrame | None = None, key: str = "pair_id") -> DataFrame:
+def cosines(
+    pairs: DataFrame,
+    fit_texts: DataFrame | None = None,
+    key: str = "pair_id",
+    own_texts: DataFrame | None = None,
+) -> DataFrame:
     """(key, tfidf_similarity) for the pairs that share at least one known gram.
 
-    ``fit_texts`` (one ``text`` column) sets vocabulary and weights; without it the
-    pairs' own texts do."""
-    own_grams = text_grams(distinct_texts(pair_texts(pairs)))
-    weights = gram_weights(pair_texts(pairs) if fit_texts is None else fit_texts)
+    ``fit_texts`` (column ``text``) sets vocabulary and weights; without it the pairs'
+    own texts do. ``own_texts`` may give those as (text, weight)."""
+    if own_texts is None:
+        own_texts = pair_texts(pairs)
+    own_grams = text_grams(distinct_texts(own_texts))
+    weights = gram_weights(own_texts if fit_texts is None else fit_texts)
     hot_grams = largest(weights, ["gram"], "n_texts") if fit_texts is None else None
     idf = weights.select("gram", "idf")
 
@@ -115,9 +146,10 @@ def with_tfidf(
     fit_texts: DataFrame | None = None,
     key: str = "pair_id",
     texts: DataFrame | None = None,
+    own_texts: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``tfidf_similarity``; pairs without a common gram get 0. ``texts`` is as in
     ``with_bm25``."""
-    return pairs.join(cosines(pairs if texts is None else texts, fit_texts, key), key, "left").withColumn(
+    return pairs.join(cosines(pairs if texts is None else texts, fit_texts, key, own_texts), key, "left").withColumn(
         "tfidf_similarity", F.coalesce("tfidf_similarity", F.lit(0.0))
     )

@@ -49,17 +49,16 @@ def build_dataset(
     qa = require_rows(
         write_table(build_qa(records, seed=seed), f"{output}/raw/qa", csv=csv), "question/answer table"
     )
-    # Pairs are read twice while being split (cut points, then rows), so stage them first.
-    unsplit = write_table(build_pairs(qa, negatives_per_question, seed), f"{output}/raw/pairs_unsplit", csv=False)
     pairs = write_table(
-        split_by_question(unsplit, *fractions, seed=seed),
+        split_by_question(
+            build_pairs(qa, negatives_per_question, seed), *fractions, seed=seed, questions=qa
+        ),
         f"{output}/processed/pairs",
         csv=csv,
         partition_by="split",
     )
-    # The distinct answers are the distinct pair documents: every answer is a positive.
     features = write_table(
-        feature_table(pairs, options, vectors),
+        feature_table(pairs, options, vectors, qa=qa),
         f"{output}/processed/features",
         csv=csv,
         partition_by="split",

@@ -91,6 +91,8 @@ def test_split_counts(spark, n, expected):
     counts = {r.split: r.n for r in split.groupBy("split").agg(F.countDistinct("question_id").alias("n")).collect()}
     assert tuple(counts.get(s, 0) for s in ("train", "validation", "test")) == expected
     assert split_leaks(split).isEmpty()
+    by_source = split_by_question(pairs, questions=qa(spark, n))
+    assert split.exceptAll(by_source).isEmpty()
     assert split.count() == 2 * n
 
 

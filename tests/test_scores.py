@@ -14,7 +14,7 @@ from rankloom.operators.bm25 import with_bm25
 from rankloom.operators.features import FeatureOptions, feature_columns, feature_table
 from rankloom.operators.semantic import encode_texts, vector_cosines
 from rankloom.operators.tfidf import with_tfidf
-from rankloom.plans.views import pairs_view
+from rankloom.plans.views import opened_qa_view, pairs_view
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -174,3 +174,14 @@ def test_feature_table_guards_and_defaults(spark):
     assert all(math.isnan(r.bm25_score) and r.semantic_cosine_similarity == 0 and r.named_entity_count == 0 for r in rows)
     empty = next(r for r in rows if r.pair_id == "p5")
     assert (empty.token_overlap, empty.token_overlap_ratio, empty.normalized_overlap) == (0, 0.0, 0.0)
+
+
+def test_source_table_gives_the_same_scores(spark):
+    source = opened_qa_view(spark, FOLDER).select("question_id", "question", "answer")
+    pairs = pairs_view(spark, FOLDER)
+    columns = ["pair_id", "bm25_score", "tfidf_similarity"]
+    plain = {r[0]: r[1:] for r in feature_table(pairs).select(columns).collect()}
+    short = {r[0]: r[1:] for r in feature_table(pairs, qa=source).select(columns).collect()}
+    assert plain.keys() == short.keys()
+    for key, values in plain.items():
+        assert short[key] == pytest.approx(values, abs=1e-12)
