@@ -109,16 +109,30 @@ def confusion_matrix(df: DataFrame, label: str, pred: str) -> DataFrame:
 
 
 def _descending(df: DataFrame, label: str, score: str) -> DataFrame:
-    """(score, tp, fp, p, n): hits at or above each distinct score, and class totals."""
-    counts = score_counts(df, label, score)
-    running = with_running_totals(counts, [F.col("score").desc()], {"tp": "pos", "fp": "neg"})
+    """(score, pos, neg, tp, fp, p, n, next_pos, next_neg): hits at each distinct score
+    and at or above it, class totals, and the hits at the next lower score."""
+    running = with_running_totals(
+        score_counts(df, label, score),
+        [F.col("score").desc()],
+        {"tp": "pos", "fp": "neg"},
+        following={"next_pos": "pos", "next_neg": "neg"},
+    )
     totals = running.agg(F.struct(F.sum("pos").alias("p"), F.sum("neg").alias("n"))).scalar()
-    return running.select("score", "tp", "fp", totals["p"].alias("p"), totals["n"].alias("n"))
+    return running.select("*", totals["p"].alias("p"), totals["n"].alias("n"))
 
 
-def roc_curve(df: DataFrame, label: str, score: str) -> DataFrame:
-    """(threshold, fpr, tpr) at every distinct score, and the point (0, 0) at +infinity."""
-    points = _descending(df, label, score).select(
+def roc_curve(df: DataFrame, label: str, score: str, drop_intermediate: bool = True) -> DataFrame:
+    """(threshold, fpr, tpr) by distinct score, and the point (0, 0) at +infinity.
+
+    A point on the straight line between its neighbours is left out unless
+    ``drop_intermediate`` is False: that is where the next step goes exactly as far.
+    """
+    points = _descending(df, label, score)
+    if drop_intermediate:
+        points = points.where(
+            "(tp = pos AND fp = neg) OR next_pos IS NULL OR next_pos <> pos OR next_neg <> neg"
+        )
+    points = points.select(
         F.col("score").alias("threshold"),
         F.try_divide("fp", "n").alias("fpr"),
         F.try_divide("tp", "p").alias("tpr"),

@@ -41,25 +41,40 @@ def with_dense_index(df: DataFrame, order: list[Column], out: str) -> DataFrame:
 
 
 def with_running_totals(
-    df: DataFrame, order: list[Column], totals: dict[str, str], by: list[str] | None = None
+    df: DataFrame,
+    order: list[Column],
+    totals: dict[str, str],
+    by: list[str] | None = None,
+    following: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Add inclusive running sums, ``{new column: summed column}``, per ``by`` group.
+    """Add inclusive running sums, ``{new column: summed column}``, per ``by`` group, and
+    with ``following`` the values of the next row, ``{new column: column}`` (null in the
+    last one).
 
     Callers aggregate to one row per sort key first; then no key is hot.
     """
-    by = by or []
+    by, following = by or [], following or {}
     rows = _sorted_partitions(df, [F.col(c) for c in by] + order)
-    sums = rows.groupBy("__part", *by).agg(
-        *[F.sum(src).alias(f"__sum_{out}") for out, src in totals.items()]
+    # One row per partition and group: what lies before it and what comes next.
+    parts = rows.groupBy("__part", *by).agg(
+        *[F.sum(src).alias(f"__sum_{out}") for out, src in totals.items()],
+        *[F.min_by(src, "__row").alias(f"__first_{out}") for out, src in following.items()],
     )
-    earlier = W.partitionBy(*by).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sums.select(
+    in_order = W.partitionBy(*by).orderBy("__part")
+    earlier = in_order.rowsBetween(W.unboundedPreceding, -1)
+    edges = parts.select(
         "__part",
         *by,
         *[F.coalesce(F.sum(f"__sum_{out}").over(earlier), F.lit(0)).alias(f"__before_{out}") for out in totals],
+        *[F.lead(f"__first_{out}").over(in_order).alias(f"__next_{out}") for out in following],
+    )
+    inside = W.partitionBy("__part", *by).orderBy("__row")
+    upto = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
+    return rows.join(F.broadcast(edges), ["__part", *by]).select(
+        *df.columns,
+        *[(F.col(f"__before_{out}") + F.sum(src).over(upto)).alias(out) for out, src in totals.items()],
+        *[
+            F.coalesce(F.lead(src).over(inside), F.col(f"__next_{out}")).alias(out)
+            for out, src in following.items()
+        ],
     )
-    inside = W.partitionBy("__part", *by).orderBy("__row").rowsBetween(W.unboundedPreceding, W.currentRow)
-    joined = rows.join(F.broadcast(offsets), ["__part", *by])
-    for out, src in totals.items():
-        joined = joined.withColumn(out, F.col(f"__before_{out}") + F.sum(src).over(inside))
-    return joined.drop("__part", "__row", *[f"__before_{out}" for out in totals])

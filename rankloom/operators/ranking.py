@@ -32,7 +32,8 @@ def top_k(df: DataFrame, score: str, k: int, group: list[str], tie: str = "pair_
     """The k best rows per group; missing scores come last, ties go by ``tie``.
 
     Filtering on the row number lets every map task keep k rows per group before the
-    shuffle, so a group of any size reaches its task as k rows per map task.
+    shuffle, so a group of any size reaches its task as k rows per map task (for k up to
+    spark.sql.optimizer.windowGroupLimitThreshold, 1000 unless set).
     """
     ranked = df.withColumn("__score", nan_to_null(F.col(score))).withColumn(
         "__rn", F.row_number().over(W.partitionBy(*group).orderBy(*_best_first("__score", tie)))

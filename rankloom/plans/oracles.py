@@ -596,11 +596,22 @@ FROM edges e LEFT JOIN ds ON ds.label = e.label AND ds.y_prob >= e.lower AND (ds
 GROUP BY e.label, e.bin, e.lower, e.upper""",
     )
     curve = VECTOR_PAIRS + "," + VECTOR_CURVE.format(src="vp")
-    sql["roc_curve"] = with_(
-        curve,
-        """SELECT score AS threshold, round(fp / n::DOUBLE, 6) AS fpr, round(tp / p::DOUBLE, 6) AS tpr FROM points
+    for name, kept in (
+        ("roc_curve", "first OR last OR next_pos <> pos OR next_neg <> neg"),
+        ("roc_curve_all_points", "true"),
+    ):
+        sql[name] = with_(
+            curve
+            + """,
+turns AS (
+  SELECT *, lead(pos) OVER w AS next_pos, lead(neg) OVER w AS next_neg,
+         row_number() OVER w = 1 AS first, lead(score) OVER w IS NULL AS last
+  FROM desc_scores WINDOW w AS (ORDER BY score DESC)
+)""",
+            f"""SELECT score AS threshold, round(fp / n::DOUBLE, 6) AS fpr, round(tp / p::DOUBLE, 6) AS tpr
+FROM points JOIN turns USING (score) WHERE {kept}
 UNION ALL SELECT 'inf'::DOUBLE, 0.0, 0.0""",
-    )
+        )
     sql["pr_curve"] = with_(
         curve,
         """SELECT score AS threshold, round(tp / (tp + fp)::DOUBLE, 6) AS precision, round(tp / p::DOUBLE, 6) AS recall FROM points

@@ -472,6 +472,12 @@ def roc_curve(spark, folder):
     return rounded(classification.roc_curve(_vector_scores(spark, folder), "label", "score"))
 
 
+@query
+def roc_curve_all_points(spark, folder):
+    scored = _vector_scores(spark, folder)
+    return rounded(classification.roc_curve(scored, "label", "score", drop_intermediate=False))
+
+
 @query
 def pr_curve(spark, folder):
     return rounded(classification.pr_curve(_vector_scores(spark, folder), "label", "score"))

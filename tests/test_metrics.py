@@ -175,6 +175,14 @@ def test_curves(spark):
     assert strict.threshold == 0.9
 
 
+def test_roc_leaves_out_points_on_a_line(spark):
+    rows = [(1, 0.9), (1, 0.8), (1, 0.7), (0, 0.6), (0, 0.5), (1, 0.4), (0, 0.3)]
+    kept = {r.threshold for r in c.roc_curve(scored(spark, rows), "label", "y_prob").collect()}
+    assert kept == {math.inf, 0.9, 0.7, 0.5, 0.4, 0.3}
+    every = c.roc_curve(scored(spark, rows), "label", "y_prob", drop_intermediate=False)
+    assert every.count() == 8
+
+
 def test_pivot(spark):
     long = spark.createDataFrame([("train", "f1", 0.5), ("test", "f1", 0.4)], "split string, metric string, value double")
     assert pivot_splits(long, ["train", "validation", "test"]).first().asDict() == {"metric": "f1", "train": 0.5, "validation": None, "test": 0.4}

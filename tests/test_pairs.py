@@ -153,9 +153,10 @@ def test_digest_index(spark):
 
 def test_running_totals_per_group(spark):
     df = spark.range(2000).selectExpr("id % 3 AS g", "id AS k", "id % 7 AS v").repartition(11)
-    rows = with_running_totals(df, [F.col("k").desc()], {"t": "v"}, ["g"]).collect()
+    rows = with_running_totals(df, [F.col("k").desc()], {"t": "v"}, ["g"], {"after": "k"}).collect()
     for g in range(3):
         total = 0
-        for r in sorted((r for r in rows if r.g == g), key=lambda r: -r.k):
+        mine = sorted((r for r in rows if r.g == g), key=lambda r: -r.k)
+        for r, following in zip(mine, [*mine[1:], None]):
             total += r.v
-            assert r.t == total
+            assert r.t == total and r.after == (following.k if following else None)
