@@ -53,11 +53,15 @@ def salted_lookup(
     """
     if hot is None:
         hot = hot_keys(rows.select(*keys), keys)
-    marker = F.broadcast(hot.selectExpr(*keys, "true AS __hot"))
-    left = rows.join(marker, keys, "left").selectExpr(
-        *rows.columns, f"if(__hot, int(pmod(xxhash64({spread}), {salts})), 0) AS __salt"
+    marker = F.broadcast(hot.select(*keys, F.lit(True).alias("__hot")))
+    left = (
+        rows.join(marker, keys, "left")
+        .withColumn("__salt", F.expr(f"if(__hot, int(pmod(xxhash64(`{spread}`), {salts})), 0)"))
+        .drop("__hot")
     )
-    right = table.join(marker, keys, "left").selectExpr(
-        *table.columns, f"explode(if(__hot, sequence(0, {salts - 1}), array(0))) AS __salt"
+    right = (
+        table.join(marker, keys, "left")
+        .withColumn("__salt", F.expr(f"explode(if(__hot, sequence(0, {salts - 1}), array(0)))"))
+        .drop("__hot")
     )
     return left.join(right, [*keys, "__salt"], how).drop("__salt")

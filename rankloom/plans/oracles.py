@@ -204,10 +204,8 @@ def vec_of(x: str) -> str:
     return f"{number60(f'md5({x})')} % (SELECT count(*) FROM embeddings)"
 
 
-# The stand-in encoder goes by the text as the pairs hold it; the feature table compares
-# it with normalised text, so texts that normalising changes have no vector.
 SEMANTIC = f"""
-vec_texts AS (SELECT DISTINCT text FROM (SELECT question AS text FROM pairs UNION ALL SELECT document FROM pairs)),
+vec_texts AS (SELECT {norm('question')} AS text FROM pairs UNION SELECT {norm('document')} FROM pairs),
 text_vec AS (SELECT text, embedding FROM vec_texts JOIN embeddings ON vec_id = {vec_of('text')}),
 semantic AS (
   SELECT pair_id, coalesce({cos('a.embedding', 'b.embedding')}, 0.0) AS semantic_cosine_similarity

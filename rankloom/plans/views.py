@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.functions.text import text_key
+from rankloom.functions.text import normalize_whitespace, text_key
 from rankloom.operators.digest import digest_number
 from rankloom.operators.pairs import build_pairs
+from rankloom.operators.tfidf import pair_texts
 from rankloom.sources.writers import stage
 
 # The conversations rarely open with a question word; one is put in front by key.
@@ -48,7 +49,7 @@ def text_vectors_view(spark: SparkSession, folder: str, pairs: DataFrame) -> Dat
     """(text_key, embedding): a stand-in encoder. The digest of a text picks one of the
     vectors in ``embeddings``, whose ids run from 0."""
     vectors = table(spark, folder, "embeddings")
-    texts = pairs.select(F.col("question").alias("text")).unionAll(pairs.select(F.col("document").alias("text"))).distinct()
+    texts = pair_texts(pairs).select(normalize_whitespace(F.col("text")).alias("text")).distinct()
     total = vectors.agg(F.count("*")).scalar()
     picked = texts.select(
         text_key(F.col("text")).alias("text_key"),
