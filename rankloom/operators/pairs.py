@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rankloom.constants import PAIR_COLUMNS
 from rankloom.operators.digest import digest_number, seeded_digest, with_digest_index
 from rankloom.operators.prefix import with_dense_index
+from rankloom.operators.skew import salted_lookup
 
 
 def _require(df: DataFrame, names: list[str]) -> None:
@@ -35,12 +36,19 @@ def positive_pairs(qa: DataFrame, seed: int = 42) -> DataFrame:
     )
 
 
-def negative_pairs(qa: DataFrame, per_question: int = 1, seed: int = 42) -> DataFrame:
+def negative_pairs(
+    qa: DataFrame, per_question: int = 1, seed: int = 42, exclude_same_text: bool = False
+) -> DataFrame:
     """``per_question`` draws of another question's answer, uniform over all others and
     with replacement across draws.
 
-    Questions get an index in digest order; a draw picks one of the n-1 other indexes
+    Questions get an index, in digest order; a draw picks one of the n-1 other indexes
     and meets its answer in an equi join. Draws are uniform, so no index is hot.
+
+    "Other" goes by question: where answers repeat, a negative can read like the
+    positive. ``exclude_same_text=True`` draws from the questions with another answer
+    text instead; equal answers are then numbered side by side, and a draw steps over
+    the own block.
     """
     _require(qa, ["question_id", "question", "answer"])
     if per_question < 1:
@@ -51,15 +59,16 @@ def negative_pairs(qa: DataFrame, per_question: int = 1, seed: int = 42) -> Data
         "answer",
         seeded_digest(seed, F.col("question_id")).alias("digest"),
     )
-    indexed = with_digest_index(keyed, "digest", "question_id", "idx").drop("digest")
+    indexed = _blocks_by_answer(keyed) if exclude_same_text else _blocks_by_question(keyed)
     total = qa.agg(F.count("*")).scalar()
-    others = F.when(total >= 2, total - 1).otherwise(
-        F.raise_error(F.lit("negative pairs need at least 2 questions"))
+    others = F.when(total > F.col("block_size"), total - F.col("block_size")).otherwise(
+        F.raise_error(F.lit("negative pairs need at least 2 questions to draw from"))
     )
     draws = indexed.select(
         "question_id",
         "question",
-        "idx",
+        "block_start",
+        "block_size",
         F.explode(F.sequence(F.lit(1), F.lit(per_question))).alias("draw"),
     )
     drawn = F.pmod(digest_number(seeded_digest(seed, F.col("question_id"), F.col("draw"))), others)
@@ -67,7 +76,7 @@ def negative_pairs(qa: DataFrame, per_question: int = 1, seed: int = 42) -> Data
         _pair_key(seed, F.col("draw")).alias("pair_id"),
         "question_id",
         "question",
-        F.when(F.col("pick") >= F.col("idx"), F.col("pick") + 1).otherwise(F.col("pick")).alias("pick"),
+        F.expr("if(pick >= block_start, pick + block_size, pick) AS pick"),
     )
     answers = indexed.select(
         F.col("idx").alias("pick"),
@@ -85,8 +94,32 @@ def negative_pairs(qa: DataFrame, per_question: int = 1, seed: int = 42) -> Data
     )
 
 
+def _blocks_by_question(keyed: DataFrame) -> DataFrame:
+    """Index in digest order; what a draw must not hit is the question itself."""
+    indexed = with_digest_index(keyed, "digest", "question_id", "idx").drop("digest")
+    return indexed.selectExpr("*", "idx AS block_start", "1L AS block_size")
+
+
+def _blocks_by_answer(keyed: DataFrame) -> DataFrame:
+    """Index by answer, then question: equal answers form a block. One answer may hold a
+    large share of the rows; the range sort cuts through it, and its block is looked up
+    with salt."""
+    by_answer = keyed.withColumn("answer_key", F.md5("answer"))
+    indexed = with_dense_index(by_answer, [F.col("answer_key"), F.col("digest")], "idx")
+    blocks = indexed.groupBy("answer_key").agg(
+        F.min("idx").alias("block_start"), F.count("*").alias("block_size")
+    )
+    return salted_lookup(indexed, blocks, ["answer_key"], spread="question_id", how="inner").drop(
+        "answer_key", "digest"
+    )
+
+
 def build_pairs(
-    qa: DataFrame, negatives_per_question: int = 1, seed: int = 42, pair_ids: str = "digest"
+    qa: DataFrame,
+    negatives_per_question: int = 1,
+    seed: int = 42,
+    pair_ids: str = "digest",
+    exclude_same_text: bool = False,
 ) -> DataFrame:
     """One positive and N negatives per question.
 
@@ -95,7 +128,9 @@ def build_pairs(
     """
     if pair_ids not in ("digest", "sequential"):
         raise ValueError(f"unknown pair_ids: {pair_ids}")
-    pairs = positive_pairs(qa, seed).unionByName(negative_pairs(qa, negatives_per_question, seed))
+    pairs = positive_pairs(qa, seed).unionByName(
+        negative_pairs(qa, negatives_per_question, seed, exclude_same_text)
+    )
     return number_pairs(pairs) if pair_ids == "sequential" else pairs
 
 

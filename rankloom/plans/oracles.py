@@ -414,6 +414,23 @@ QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1"""
     columns = "pair_id, question_id, document, label, pair_type, source_doc_question_id"
     sql["positive_pairs"] = with_(PAIRS, f"SELECT {columns} FROM pairs WHERE label = 1")
     sql["negative_sampling"] = with_(PAIRS, f"SELECT {columns} FROM pairs WHERE label = 0")
+    sql["negative_sampling_other_text"] = with_(
+        f"""
+blocks AS (
+  SELECT CAST(doc_id AS VARCHAR) AS question_id, text AS answer, count(*) OVER (PARTITION BY text) AS size,
+         row_number() OVER (ORDER BY md5(text), md5('42:' || doc_id)) - 1 AS idx
+  FROM documents
+),
+starts AS (SELECT *, min(idx) OVER (PARTITION BY answer) AS start FROM blocks),
+drawn AS (
+  SELECT question_id, draw, start, size,
+         {number60("md5('42:' || question_id || ':' || draw)")} % ((SELECT count(*) FROM documents) - size) AS r
+  FROM starts, range(1, 4) AS d(draw)
+)""",
+        """SELECT 'p_' || md5('42:' || d.question_id || ':' || d.draw) AS pair_id, d.question_id, s.answer AS document,
+       s.question_id AS source_doc_question_id
+FROM drawn d JOIN starts s ON s.idx = CASE WHEN d.r >= d.start THEN d.r + d.size ELSE d.r END""",
+    )
     sql["assign_pair_ids"] = with_(
         PAIRS,
         """SELECT concat('p_', row_number() OVER (ORDER BY pair_id) - 1) AS pair_id, question_id, label,

@@ -219,6 +219,19 @@ def negative_sampling(spark, folder):
     return _pair_columns(pairs.negative_pairs(opened_qa_view(spark, folder), 3))
 
 
+def _docs_as_answers(spark, folder) -> DataFrame:
+    """Documents as answers: many have exact copies, so negatives can equal positives."""
+    return table(spark, folder, "documents").select(
+        F.col("doc_id").cast("string").alias("question_id"), F.col("source").alias("question"), F.col("text").alias("answer")
+    )
+
+
+@query
+def negative_sampling_other_text(spark, folder):
+    drawn = pairs.negative_pairs(_docs_as_answers(spark, folder), 3, exclude_same_text=True)
+    return drawn.select("pair_id", "question_id", "document", "source_doc_question_id")
+
+
 @query
 def assign_pair_ids(spark, folder):
     return pairs.number_pairs(pairs_view(spark, folder)).select(
@@ -228,11 +241,7 @@ def assign_pair_ids(spark, folder):
 
 @query
 def false_negative_audit(spark, folder):
-    """Documents as answers: many have exact copies, so negatives can equal positives."""
-    docs = table(spark, folder, "documents").select(
-        F.col("doc_id").cast("string").alias("question_id"), F.col("source").alias("question"), F.col("text").alias("answer")
-    )
-    return pairs.false_negatives(stage(pairs.build_pairs(docs, 3), "doc-pairs"))
+    return pairs.false_negatives(stage(pairs.build_pairs(_docs_as_answers(spark, folder), 3), "doc-pairs"))
 
 
 @query

@@ -36,6 +36,21 @@ def test_draws_are_uniform_over_the_others(spark):
     assert all(300 < c < 500 for c in counts)
 
 
+def test_other_text_draws_never_read_like_the_positive(spark):
+    """A third of the questions share one answer."""
+    source = qa(spark, 90).withColumn("answer", F.expr("if(int(substring(question_id, 3)) % 3 = 0, 'same', answer)"))
+    pairs = build_pairs(source, 40, exclude_same_text=True)
+    assert false_negatives(pairs).where("equal_to_positive > 0").isEmpty()
+    assert not false_negatives(build_pairs(source, 40)).where("equal_to_positive > 0").isEmpty()
+    negatives = pairs.where("label = 0")
+    assert negatives.count() == 3600
+    wrong = negatives.join(source.select(F.col("question_id").alias("source_doc_question_id"), "answer"), "source_doc_question_id")
+    assert wrong.where("answer <> document").isEmpty()
+    assert negatives.select("source_doc_question_id").distinct().count() == 90
+    with pytest.raises(PySparkException):
+        build_pairs(source.where("answer = 'same'"), 1, exclude_same_text=True).collect()
+
+
 def test_two_questions_get_each_other(spark):
     rows = build_pairs(qa(spark, 2), 3).where("label = 0").collect()
     assert {(r.question_id, r.document) for r in rows} == {("q_0", "answer 1"), ("q_1", "answer 0")}
