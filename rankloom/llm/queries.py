@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rankloom.llm.mixing import mix_sources
+from rankloom.llm.pii import pii_digest, with_pii
 from rankloom.llm.shared import table
 from rankloom.llm.suffix_dedup import remove_repeats
 
@@ -14,6 +16,16 @@ def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return remove_repeats(table(spark, folder, "documents"))
 
 
+def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mix_sources(table(spark, folder, "documents"))
+
+
+def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii_digest(with_pii(table(spark, folder, "documents").select("doc_id", "text")))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op3_mixing": op3_mixing,
+    "op7_pii": op7_pii,
 }

@@ -1,3 +1,42 @@
 """DuckDB SQL of the registered queries that SQL can state at a bearable cost."""
 
-LLM_SQL: dict[str, str] = {}
+# The block join comes down to this: a source's documents in shuffled order, pass after
+# pass, up to the source's quota. Sources that are stopped at three times their size are
+# those whose size per weight is smallest, so a sort finds them.
+OP3 = r"""
+WITH sized AS (
+  SELECT doc_id, text,
+         CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS key,
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS turn,
+         md5(coalesce(text, '')) AS tie
+  FROM documents),
+sources AS (SELECT key, CAST(sum(size) AS BIGINT) AS n FROM sized GROUP BY key),
+weighted AS (SELECT key, n, CAST((row_number() OVER (ORDER BY key) - 1) % 3 + 1 AS DOUBLE) AS w FROM sources),
+filled AS (SELECT * FROM weighted WHERE n > 0),
+ordered AS (
+  SELECT key, n, w,
+         (SELECT sum(n) FROM filled) AS total,
+         coalesce(sum(3 * n) OVER (ORDER BY n / w, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+         sum(w) OVER (ORDER BY n / w, key ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w_from
+  FROM filled),
+level AS (
+  SELECT CAST(total - before AS DOUBLE) AS rest, w_from AS w_open, n / w AS least FROM ordered
+  WHERE CAST(total - before AS DOUBLE) * w / w_from <= 3 * n ORDER BY n / w, key LIMIT 1),
+target AS (
+  SELECT wt.key, wt.n,
+         CASE WHEN wt.n = 0 THEN CAST(0 AS DOUBLE)
+              WHEN l.rest IS NULL OR wt.n / wt.w < l.least THEN CAST(3 * wt.n AS DOUBLE)
+              ELSE l.rest * wt.w / l.w_open END AS target
+  FROM weighted wt LEFT JOIN level l ON true),
+placed AS (
+  SELECT s.doc_id, s.size, t.n, t.target, least(CAST(floor(t.target + 0.5) AS BIGINT), 3 * t.n) AS quota,
+         coalesce(CAST(sum(s.size) OVER (PARTITION BY s.key ORDER BY s.turn, s.tie ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS begin_at
+  FROM sized s JOIN target t ON s.key = t.key)
+SELECT doc_id, CAST(size AS BIGINT) AS size, n AS source_size, target,
+       CASE WHEN n = 0 THEN CAST(0 AS BIGINT)
+            ELSE CAST(size * (quota // n) + greatest(0, least(size, quota % n - begin_at)) AS BIGINT) END AS taken
+FROM placed
+"""
+
+LLM_SQL: dict[str, str] = {"op3_mixing": OP3}
