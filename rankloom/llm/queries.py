@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from rankloom.llm.mixing import mix_sources
 from rankloom.llm.pii import pii_digest, with_pii
 from rankloom.llm.shared import table
+from rankloom.llm.simhash import simhash_components
 from rankloom.llm.suffix_dedup import remove_repeats
 
 
@@ -24,8 +25,13 @@ def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii_digest(with_pii(table(spark, folder, "documents").select("doc_id", "text")))
 
 
+def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash_components(table(spark, folder, "documents"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op3_mixing": op3_mixing,
     "op7_pii": op7_pii,
+    "op9_simhash": op9_simhash,
 }
