@@ -266,7 +266,8 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     ).where(F.octet_length("text") >= width)
     run, schema = _emit_segments(width)
     found = staged(rows.mapInArrow(run, schema), "segments")
-    shared_anchor = found.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1").select("shard")
+    # Written, so that the join meets two plain exchanges: adaptive execution splits a hot shard.
+    shared_anchor = staged(found.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1").select("shard"), "shared-anchors")
     found = staged(found.join(shared_anchor, "shard"), "shared-segments")
 
     classes = found.groupBy("shard", "content").agg(
