@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rankloom.llm.decontamination import benchmark_overlap, overlap_digest
 from rankloom.llm.mixing import mix_sources
 from rankloom.llm.pii import pii_digest, with_pii
 from rankloom.llm.shared import table
@@ -21,6 +22,11 @@ def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources(table(spark, folder, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return overlap_digest(benchmark_overlap(docs, table(spark, folder, "benchmark"), keep_text=False))
+
+
 def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii_digest(with_pii(table(spark, folder, "documents").select("doc_id", "text")))
 
@@ -32,6 +38,7 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op3_mixing": op3_mixing,
+    "op4_decontamination": op4_decontamination,
     "op7_pii": op7_pii,
     "op9_simhash": op9_simhash,
 }
