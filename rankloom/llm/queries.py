@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rankloom.llm.decontamination import benchmark_overlap, overlap_digest
 from rankloom.llm.mixing import mix_sources
@@ -12,6 +13,7 @@ from rankloom.llm.pii import pii_digest, with_pii
 from rankloom.llm.shared import table
 from rankloom.llm.simhash import simhash_components
 from rankloom.llm.suffix_dedup import remove_repeats
+from rankloom.llm.topk_search import top_k
 
 
 def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -27,6 +29,11 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return overlap_digest(benchmark_overlap(docs, table(spark, folder, "benchmark"), keep_text=False))
 
 
+def op6_topk_search(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
 def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii_digest(with_pii(table(spark, folder, "documents").select("doc_id", "text")))
 
@@ -39,6 +46,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op3_mixing": op3_mixing,
     "op4_decontamination": op4_decontamination,
+    "op6_topk_search": op6_topk_search,
     "op7_pii": op7_pii,
     "op9_simhash": op9_simhash,
 }
