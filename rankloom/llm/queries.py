@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.llm.decontamination import benchmark_overlap, overlap_digest
+from rankloom.llm.langid import fit, held_out, with_language
 from rankloom.llm.mixing import mix_sources
 from rankloom.llm.pii import pii_digest, with_pii
 from rankloom.llm.shared import table
@@ -42,6 +43,14 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_components(table(spark, folder, "documents"))
 
 
+def op10_langid(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    key = F.col("doc_id")
+    model = fit(docs.where(~held_out(key)), "text", "lang", key)
+    found = with_language(docs, model, keep=["doc_id"])
+    return found.select("doc_id", held_out(key).alias("held_out"), "lang_pred", "score")
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op3_mixing": op3_mixing,
@@ -49,4 +58,5 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_topk_search": op6_topk_search,
     "op7_pii": op7_pii,
     "op9_simhash": op9_simhash,
+    "op10_langid": op10_langid,
 }
