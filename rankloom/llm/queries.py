@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.llm.decontamination import benchmark_overlap, overlap_digest
+from rankloom.llm.html_extract import extract_pages
 from rankloom.llm.langid import fit, held_out, with_language
 from rankloom.llm.mixing import mix_sources
 from rankloom.llm.pii import pii_digest, with_pii
@@ -21,6 +22,10 @@ def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return remove_repeats(table(spark, folder, "documents"))
 
 
+def op2_html_extract(spark: SparkSession, folder: str) -> DataFrame:
+    return extract_pages(table(spark, folder, "pages"), keep=["page_id", "url"])
+
+
 def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources(table(spark, folder, "documents"))
 
@@ -53,6 +58,7 @@ def op10_langid(spark: SparkSession, folder: str) -> DataFrame:
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_html_extract": op2_html_extract,
     "op3_mixing": op3_mixing,
     "op4_decontamination": op4_decontamination,
     "op6_topk_search": op6_topk_search,
