@@ -16,6 +16,8 @@ from rankloom.llm.shared import table
 from rankloom.llm.simhash import simhash_components
 from rankloom.llm.suffix_dedup import remove_repeats
 from rankloom.llm.topk_search import top_k
+from rankloom.llm.toxicity import THRESHOLD, with_toxicity
+from rankloom.llm.toxicity import fit as fit_toxicity
 
 
 def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -35,6 +37,15 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return overlap_digest(benchmark_overlap(docs, table(spark, folder, "benchmark"), keep_text=False))
 
 
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    labels = table(spark, folder, "labels")
+    model = fit_toxicity(docs, labels.where(~held_out(F.col("doc_id"))))
+    found = with_toxicity(docs, model, keep=["doc_id"])
+    predicted = (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", predicted)
+
+
 def op6_topk_search(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings")
     return top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
@@ -61,6 +72,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_html_extract": op2_html_extract,
     "op3_mixing": op3_mixing,
     "op4_decontamination": op4_decontamination,
+    "op5_toxicity": op5_toxicity,
     "op6_topk_search": op6_topk_search,
     "op7_pii": op7_pii,
     "op9_simhash": op9_simhash,
