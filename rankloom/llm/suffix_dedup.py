@@ -87,9 +87,13 @@ def segments(data: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarr
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+def _signed(value: int) -> int:
+    return value - (1 << 64) if value >= 1 << 63 else value
+
+
 def _emit_segments(width: int):
     schema = pa.schema(
-        [("digest", pa.binary()), ("row_key", pa.int64()), ("shard", pa.int64()), ("content", pa.binary()), ("first", pa.int64()), ("windows", pa.int32()), ("anchor", pa.int64())]
+        [("digest", pa.binary()), ("row_key", pa.int64()), ("shard", pa.int64()), ("content", pa.int64()), ("first", pa.int64()), ("windows", pa.int32()), ("anchor", pa.int64())]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +108,7 @@ def _emit_segments(width: int):
                 shard, first, count, anchor = segments(own, width)
                 view = memoryview(own)
                 contents = [
-                    xxhash.xxh3_128_digest(view[f : f + n + width - 1])
+                    _signed(xxhash.xxh3_64_intdigest(view[f : f + n + width - 1]))
                     for f, n in zip(first.tolist(), count.tolist())
                 ]
                 n = len(shard)
@@ -116,7 +120,7 @@ def _emit_segments(width: int):
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, schema)], schema=schema)
 
-    return run, "digest binary, row_key long, shard long, content binary, first long, windows int, anchor long"
+    return run, "digest binary, row_key long, shard long, content long, first long, windows int, anchor long"
 
 
 def repeated_windows(
@@ -221,8 +225,8 @@ def _search_shards(width: int, batch_bytes: int = 1 << 22):
 
 def _cut_pieces(width: int, by_window: bool):
     """Take the listed segments out of their texts; ``by_window``: a hash of each window instead."""
-    plain = [("shard", pa.int64()), ("content", pa.binary()), ("single", pa.bool_()), ("digest", pa.binary()), ("first", pa.int64()), ("anchor", pa.int64()), ("piece", pa.binary())]
-    hashed = [("window", pa.binary()), ("content", pa.binary()), ("single", pa.bool_()), ("digest", pa.binary()), ("first", pa.int64())]
+    plain = [("shard", pa.int64()), ("content", pa.int64()), ("single", pa.bool_()), ("digest", pa.binary()), ("first", pa.int64()), ("anchor", pa.int64()), ("piece", pa.binary())]
+    hashed = [("window", pa.binary()), ("content", pa.int64()), ("single", pa.bool_()), ("digest", pa.binary()), ("first", pa.int64())]
     schema = pa.schema(hashed if by_window else plain)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
