@@ -49,6 +49,11 @@ class Tokens(NamedTuple):
     first_char: np.ndarray  # where each word's begin (n + 1)
     first_word: np.ndarray  # where each text's words begin (n + 1)
 
+    def stretch(self, low: int, high: int) -> Tokens:
+        """The words from one to before another, as one text."""
+        begin, end = self.first_char[low], self.first_char[high]
+        return Tokens(self.word[low:high], self.start[low:high], self.char[begin:end], self.first_char[low : high + 1] - begin, np.array([0, high - low]))
+
     def some(self, words: np.ndarray) -> Tokens:
         """Only these words, as one text."""
         sizes = np.diff(self.first_char)[words]
@@ -245,7 +250,7 @@ def _start(t: Tokens, doc_of_word: np.ndarray, labels: np.ndarray, rng) -> Model
         low, high = (np.searchsorted(doc_of_word, doc_of_word[min(k, len(t.word) - 1)] if k < len(t.word) else np.iinfo(np.int64).max) for k in (begin, begin + (1 << 16)))
         if low >= high:
             continue
-        part, docs = t.some(np.arange(low, high)), doc_of_word[low:high]
+        part, docs = t.stretch(low, high), doc_of_word[low:high]
         owners = {"word": docs, "char": np.repeat(docs, np.diff(part.first_char)), "start": np.repeat(docs, len(STARTS))}
         for name in SIZES:
             n = 1 << BITS[name]
@@ -273,16 +278,16 @@ def _index(first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return first[:, None] + np.minimum(t[None, :], length[:, None] - 1), mask
 
 
-def logits(model: Model, t: Tokens, first: np.ndarray, length: np.ndarray, batch: int = 8_192) -> np.ndarray:
-    x = inputs(model, t)
+def logits(model: Model, t: Tokens, first: np.ndarray, length: np.ndarray, batch: int = 4_096) -> np.ndarray:
+    """``first`` ascends, so a batch of windows needs one stretch of words."""
     out = np.empty(len(first), np.float32)
     full = length == WINDOW
     for some in (np.flatnonzero(full), np.flatnonzero(~full)):
         for k in range(0, len(some), batch):
             part = some[k : k + batch]
             index, mask = _index(first[part], length[part])
-            low = int(index.min())
-            out[part] = forward(model, x[low : int(index.max()) + 1], index - low, None if mask.all() else mask)
+            low, high = int(index.min()), int(index.max()) + 1
+            out[part] = forward(model, inputs(model, t.stretch(low, high)), index - low, None if mask.all() else mask)
     return out
 
 
@@ -299,8 +304,7 @@ def train(texts: list[bytes], labels: np.ndarray, stages: int = STAGES, steps: i
     back = np.zeros(len(n_words), bool)
     for kind in (0, 1):
         back[np.flatnonzero(labels == kind)[3::4]] = True
-    own = np.flatnonzero(~back[doc_of_word])
-    model = _start(t.some(own), doc_of_word[own], labels, rng)
+    model = _start(t, doc_of_word, np.where(back, -1, labels), rng)
     text, first, length = windows_of(n_words, WINDOW, WINDOW)
     text, first, length = text[~back[text]], first[~back[text]], length[~back[text]]
     first = first + t.first_word[text]
