@@ -12,6 +12,7 @@ from rankloom.llm.html_extract import extract_pages
 from rankloom.llm.langid import fit, held_out, with_language
 from rankloom.llm.mixing import mix_sources
 from rankloom.llm.pii import pii_digest, with_pii
+from rankloom.llm.secret_scan import scan
 from rankloom.llm.shared import table
 from rankloom.llm.simhash import simhash_components
 from rankloom.llm.suffix_dedup import remove_repeats
@@ -55,6 +56,11 @@ def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii_digest(with_pii(table(spark, folder, "documents").select("doc_id", "text")))
 
 
+def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source")
+    return scan(docs, ~held_out(F.col("doc_id"))).select("doc_id", "kind", "start", "end", "score", "is_secret")
+
+
 def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_components(table(spark, folder, "documents"))
 
@@ -75,6 +81,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_topk_search": op6_topk_search,
     "op7_pii": op7_pii,
+    "op8_secret_scan": op8_secret_scan,
     "op9_simhash": op9_simhash,
     "op10_langid": op10_langid,
 }
