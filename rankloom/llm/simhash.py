@@ -7,10 +7,16 @@ links of that chain are an equality join: one segment is equal, and the next dif
 at most one bit, so both agree once that bit is masked. The further links prune the
 pairs that meet, and the full Hamming check decides.
 
-Equal fingerprints are merged before the join. Within a group that shares a key only a
-spanning forest of links is put out (each search step compares the frontier with what is
-not reached yet, and removes what it reaches), never all pairs. Components come from
-star contraction, rounds of joins and minima over written tables.
+Equal fingerprints are merged before the join. Of a small group that shares a key the
+pairs that pass are put out, of a large one a spanning forest of links (each search step
+compares the frontier with what is not reached yet, and removes what it reaches).
+Components come from star contraction, rounds of joins and minima over written tables.
+
+``simhash_components`` links fingerprints of word shingles. ``near_duplicates`` is for
+similarities that 64 bits of shingles cannot tell (at a Jaccard similarity of 0.8 over
+five words they differ in 5 to 14 bits): its candidates come from two fingerprints of
+the set of words, which differ in a few bits only, and every link is confirmed by the
+exact similarity of the shingle sets.
 """
 
 from __future__ import annotations
@@ -20,7 +26,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rankloom.llm.shared import flat_bytes, staged, text_digest
@@ -29,6 +36,8 @@ SHINGLE_WORDS = 4
 MAX_BITS = 4
 SEGMENTS = 5
 SEED = 42
+#: Fingerprints of the set of words: their seeds, bits that may differ, and segments.
+VIEW_SEEDS, VIEW_BITS, VIEW_SEGMENTS = (7, 1_000_003), 7, 8
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SHINGLES_AT_ONCE = 1 << 15
 
@@ -114,7 +123,18 @@ def _keys(segments: int):
     return run
 
 
-def _forest(fps: np.ndarray, masks: list[tuple[np.uint64, int]]) -> tuple[np.ndarray, np.ndarray]:
+def _pass(differ: np.ndarray, chain: list[tuple[np.uint64, int]]) -> np.ndarray:
+    """Which differences keep within the chain's budgets; the last of them is the full Hamming check."""
+    near = np.bitwise_count(differ) <= chain[-1][1]
+    at = np.flatnonzero(near)
+    for mask, most in chain[:-1]:
+        at = at[np.bitwise_count(differ[at] & mask) <= most]
+    near[:] = False
+    near[at] = True
+    return near
+
+
+def _forest(fps: np.ndarray, chain: list[tuple[np.uint64, int]]) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect what the chain conditions connect, one for each fingerprint that is reached."""
     left, right = [], []
     rest = fps
@@ -122,10 +142,7 @@ def _forest(fps: np.ndarray, masks: list[tuple[np.uint64, int]]) -> tuple[np.nda
         frontier, rest = [rest[0]], rest[1:]
         while frontier and len(rest):
             one = frontier.pop()
-            differ = rest ^ one
-            near = np.ones(len(rest), bool)
-            for mask, most in masks:
-                near &= np.bitwise_count(differ & mask) <= most
+            near = _pass(rest ^ one, chain)
             if near.any():
                 got = rest[near]
                 left.append(np.full(len(got), one, np.uint64))
@@ -136,19 +153,32 @@ def _forest(fps: np.ndarray, masks: list[tuple[np.uint64, int]]) -> tuple[np.nda
     return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
-def _links(segments: int, limit: int, small: int = 6):
+def _group_links(fps: np.ndarray, chain: list[tuple[np.uint64, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Links within a large group: all that pass if they are few, else a forest."""
+    if len(fps) > 4_096:
+        return _forest(fps, chain)
+    left, right = [], []
+    for begin in range(0, len(fps), 256):
+        i, j = np.nonzero(np.bitwise_count(fps[begin : begin + 256, None] ^ fps[None, :]) <= chain[-1][1])
+        i, j = i[j > i + begin] + begin, j[j > i + begin]
+        ok = _pass(fps[i] ^ fps[j], chain)
+        left.append(fps[i[ok]])
+        right.append(fps[j[ok]])
+        if sum(map(len, left)) > 8 * len(fps):
+            return _forest(fps, chain)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _links(segments: int, limit: int, small: int = 48):
     chains = [_chain_masks(i, segments, limit) for i in range(segments)]
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def near(a: np.ndarray, b: np.ndarray, start: np.ndarray) -> np.ndarray:
-        differ, good = a ^ b, np.zeros(len(a), bool)
+        differ = a ^ b
+        good = np.bitwise_count(differ) <= limit
         for i, chain in enumerate(chains):
-            own = start == i
-            if own.any():
-                ok = np.ones(int(own.sum()), bool)
-                for mask, most in chain:
-                    ok &= np.bitwise_count(differ[own] & mask) <= most
-                good[own] = ok
+            own = np.flatnonzero(good & (start == i))
+            good[own] = _pass(differ[own], chain)
         return good
 
     def link(key: np.ndarray, start: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -166,7 +196,7 @@ def _links(segments: int, limit: int, small: int = 6):
             b.append(fp[at + step][ok])
         for k in np.flatnonzero(size > small):
             own = slice(first[k], first[k] + size[k])
-            x, y = _forest(fp[own], chains[start[first[k]]])
+            x, y = _group_links(fp[own], chains[start[first[k]]])
             a.append(x)
             b.append(y)
         if a:
@@ -229,6 +259,105 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def _word_fingerprint(plain: bytes, seed: int) -> int:
+    """Each different word of the text counts once."""
+    words = sorted(set(plain.split(b" "))) if plain else []
+    if not words:
+        return 0
+    hashes = np.frombuffer(b"".join([xxhash.xxh64_digest(w, seed) for w in words]), np.uint8).reshape(-1, 8)
+    counts = np.unpackbits(hashes, axis=1).sum(0, dtype=np.uint32)
+    return int.from_bytes(np.packbits(counts * 2 > len(words)).tobytes(), "big")
+
+
+def _word_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, at = flat_bytes(batch.column("__text"))
+        prints = []
+        for i in range(batch.num_rows):
+            plain = b" ".join(data[at[i] : at[i + 1]].tobytes().translate(_LOWER).split())
+            prints.append([_signed(_word_fingerprint(plain, seed)) for seed in VIEW_SEEDS])
+        names = [n for n in batch.schema.names if n != "__text"]
+        views = [pa.array([p[k] for p in prints], pa.int64()) for k in range(len(VIEW_SEEDS))]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *views], [*names, *(f"fp{k}" for k in range(len(VIEW_SEEDS)))])
+
+
+def _shingle_sets(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, at = flat_bytes(batch.column("__text"))
+            for begin in range(0, batch.num_rows, 128):
+                part = batch.slice(begin, 128)
+                sets = []
+                for i in range(begin, begin + part.num_rows):
+                    plain, starts, ends = shingle_bounds(data[at[i] : at[i + 1]].tobytes(), words)
+                    sets.append(sorted({_signed(xxhash.xxh3_64_intdigest(plain[s:e])) for s, e in zip(starts, ends)}))
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, row: str, text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(row, root) for every row: rows of a group have the same root, a row number of the group.
+
+    ``row`` is a column of distinct longs. Equal texts are in one group (a null text is an
+    empty one), and so are texts whose sets of ``words``-word shingles have a Jaccard
+    similarity of at least ``similarity`` and that meet as candidates. A text with fewer
+    words is one shingle; texts without words are only equal to each other.
+
+    Candidate links are checked in rounds, a node's closest first and four times as many
+    each time; links within a group that is already together need no check.
+    """
+    rows = docs.select(F.col(row).alias("row"), text_digest(F.col(text)).alias("digest"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    views = [f"fp{k}" for k in range(len(VIEW_SEEDS))]
+    prints = staged(rows.mapInArrow(_word_prints, "row long, digest binary, " + ", ".join(f"{v} long" for v in views)), "word-fingerprints")
+    texts = staged(prints.groupBy("digest").agg(F.min("row").alias("node"), *[F.first(v).alias(v) for v in views]), "distinct-texts")
+
+    candidates = None
+    for v in views:
+        nodes = staged(texts.groupBy(F.col(v).alias("fp")).agg(F.min("node").alias("first")), "distinct-fingerprints")
+        links = staged(fingerprint_links(nodes, VIEW_BITS, VIEW_SEGMENTS), "fingerprint-links")
+        across = links.join(nodes.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(
+            nodes.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b"
+        ).select("x", "y", F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).alias("bits"))
+        same = texts.select("node", F.col(v).alias("fp")).join(nodes, "fp").where("node != first").select(F.col("first").alias("x"), F.col("node").alias("y"), F.lit(0).alias("bits"))
+        both = across.unionByName(same)
+        candidates = both if candidates is None else candidates.unionByName(both)
+    pairs = candidates.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.min("bits").alias("bits"))
+    pairs = staged(pairs, "candidate-pairs")
+    # A node's links are dealt to the rounds; its number of links is bounded by the keys it shares.
+    turn = F.row_number().over(W.partitionBy("b").orderBy("bits", "a"))
+    pairs = staged(pairs.withColumn("turn", turn), "candidate-turns")
+
+    asked = staged(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "candidate-texts")
+    wanted = rows.select(F.col("row").alias("node"), "__text").join(asked, "node")
+    sets = staged(wanted.mapInArrow(_shingle_sets(words), "node long, shingles array<bigint>"), "shingle-sets")
+
+    last = pairs.agg(F.max("turn")).first()[0] or 0
+    confirmed, roots, low, high = None, None, 0, 1
+    while low < last:
+        some = pairs.where((F.col("turn") > low) & (F.col("turn") <= high)).select("a", "b")
+        if roots is not None:
+            for end in ("a", "b"):
+                some = some.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+            some = some.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+        left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("one"))
+        right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("two"))
+        compared = some.join(left, "a").join(right, "b").where(
+            F.least(F.size("one"), F.size("two")) >= similarity * F.greatest(F.size("one"), F.size("two"))
+        )
+        shared = F.size(F.array_intersect("one", "two"))
+        good = compared.where(shared > 0).where(shared >= similarity * (F.size("one") + F.size("two") - shared)).select("a", "b")
+        good = staged(good, "confirmed-links")
+        confirmed = good if confirmed is None else confirmed.unionByName(good)
+        low, high = high, 4 * high
+        roots = staged(components(confirmed), "near-duplicate-roots")
+    if roots is None:
+        named = texts.select("digest", F.col("node").alias("root"))
+    else:
+        named = texts.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
+    return prints.select("row", "digest").join(staged(named, "text-roots"), "digest").select(F.col("row").alias(row), "root")
+
+
 def simhash_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = SHINGLE_WORDS, limit: int = MAX_BITS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id reachable over
     links between fingerprints that differ in at most ``limit`` bits.
