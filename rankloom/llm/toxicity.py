@@ -279,7 +279,7 @@ def _index(first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def logits(model: Model, t: Tokens, first: np.ndarray, length: np.ndarray, batch: int = 4_096) -> np.ndarray:
-    """``first`` ascends, so a batch of windows needs one stretch of words."""
+    """``first`` ascends, so a batch of full windows needs one stretch of words; short ones are far apart."""
     out = np.empty(len(first), np.float32)
     full = length == WINDOW
     for some in (np.flatnonzero(full), np.flatnonzero(~full)):
@@ -287,7 +287,12 @@ def logits(model: Model, t: Tokens, first: np.ndarray, length: np.ndarray, batch
             part = some[k : k + batch]
             index, mask = _index(first[part], length[part])
             low, high = int(index.min()), int(index.max()) + 1
-            out[part] = forward(model, inputs(model, t.stretch(low, high)), index - low, None if mask.all() else mask)
+            if high - low <= 2 * index.size:
+                own, place = t.stretch(low, high), index - low
+            else:
+                words, place = np.unique(index, return_inverse=True)
+                own, place = t.some(words), place.reshape(index.shape)
+            out[part] = forward(model, inputs(model, own), place, None if mask.all() else mask)
     return out
 
 
