@@ -13,12 +13,18 @@ from rankloom.constants import NESTED_TEXT_KEYS
 from rankloom.functions.text import normalize_whitespace
 
 
+#: The one field of a column that holds JSON values as the reader found them.
+JSON_TEXT = "_json_text"
+
+
 def first_text(col: Column, dtype: T.DataType) -> Column:
     """Text of a scalar, of the first list element that has one, or of the first field
     that has one (well-known keys before the others); '' if there is none."""
     if isinstance(dtype, T.ArrayType):
         texts = F.transform(col, lambda item: first_text(item, dtype.elementType))
         return _first_of_list(texts)
+    if isinstance(dtype, T.StructType) and dtype.names == [JSON_TEXT]:
+        return first_text_raw(col.getField(JSON_TEXT))
     if isinstance(dtype, T.StructType):
         known = [k for k in NESTED_TEXT_KEYS if k in dtype.names]
         fields = known + [n for n in dtype.names if n not in known]
@@ -87,9 +93,15 @@ def _json_text_function():
         elif value is not None:
             yield " ".join(str(value).split())
 
+    def decoded(text):
+        try:
+            return json.loads(text)
+        except ValueError:  # a plain text that only begins like an object
+            return text
+
     @F.pandas_udf(T.StringType())
     def first_json_text(raw: pd.Series) -> pd.Series:
-        found = [None if r is None else next(filter(None, texts(json.loads(r))), "") for r in raw]
+        found = [None if r is None else next(filter(None, texts(decoded(r))), "") for r in raw]
         return pd.Series(found, dtype="object")
 
     return first_json_text
@@ -103,6 +115,13 @@ def first_text_json(raw: Column) -> Column:
     return F.coalesce(_first_json_text(raw), F.lit(""))
 
 
+def first_text_raw(raw: Column) -> Column:
+    """First text of a value of any shape, given as JSON source text, strings without their
+    quotes. Plain strings stay in the JVM; objects and lists keep the order of the text."""
+    nested = F.ltrim(raw).startswith("{") | F.ltrim(raw).startswith("[")
+    return F.when(nested, F.coalesce(_first_json_text(F.when(nested, raw)), F.lit(""))).otherwise(normalize_whitespace(raw))
+
+
 def first_text_variant(col: Column) -> Column:
     """First text of a value whose shape differs by row. Plain strings stay in the JVM;
     only nested and other values go through the Arrow batch function. A variant keeps

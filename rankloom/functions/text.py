@@ -88,21 +88,20 @@ def with_value_counts(df: DataFrame, values: str, out: str) -> DataFrame:
 def with_shared_terms(df: DataFrame, query: str, doc: str, out: str) -> DataFrame:
     """Add ``array<struct<value, n, query_n>>``: the terms two token columns share,
     with the count in the document and in the query. Stays within the row."""
-    # The hash-based intersection is small, so looking each document term up in it is cheap.
-    common, hits, counts = f"__{out}_common", f"__{out}_hits", f"__{out}_counts"
-    df = df.withColumn(common, F.array_intersect(query, doc)).withColumn(
-        hits,
-        F.expr(f"if(size({common}) = 0, {common}, filter({doc}, t -> array_contains({common}, t)))"),
-    )
+    # Both sides are counted by one sort, each term with a mark of its side (no term holds a
+    # control character); a shared term's two counts then stand next to each other.
+    marked, counts = f"__{out}_marked", f"__{out}_counts"
+    sides = f"concat(transform({doc}, t -> t || '\\u0001'), transform({query}, t -> t || '\\u0002'))"
+    base = "substr({0}.value, 1, length({0}.value) - 1)"
+    pairs = f"zip_with(slice({counts}, 1, greatest(size({counts}) - 1, 0)), slice({counts}, 2, size({counts})), (c, d) -> named_struct('c', c, 'd', d))"
     shared = f"""
-        transform({counts}, c -> named_struct(
-            'value', c.value,
-            'n', c.n,
-            'query_n', cast(size(filter({query}, t -> t = c.value)) AS bigint)))"""
+        transform(
+            filter({pairs}, p -> {base.format('p.c')} = {base.format('p.d')}),
+            p -> named_struct('value', {base.format('p.c')}, 'n', p.c.n, 'query_n', p.d.n))"""
     return (
-        with_value_counts(df, hits, counts)
+        with_value_counts(df.withColumn(marked, F.expr(f"if(size({query}) = 0, {query}, {sides})")), marked, counts)
         .withColumn(out, F.expr(shared))
-        .drop(common, hits, counts)
+        .drop(marked, counts)
     )
 
 

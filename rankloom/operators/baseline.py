@@ -37,8 +37,8 @@ def compare_baselines(
     tie: str = "pair_id",
 ) -> DataFrame:
     """(method, metric columns) of several scores in one pass: the scores become rows
-    and (method, question) the group. Missing scores count 0 throughout, which changes
-    nothing for scores that have none."""
+    and (method, question) the group. A missing BM25 score counts 0; one of
+    the others, which can be negative, comes last."""
     scores = scores or BASELINE_SCORES
     missing = sorted(set(scores.values()) - set(df.columns))
     if missing:
@@ -47,9 +47,14 @@ def compare_baselines(
         group,
         tie,
         F.col(label).alias("label"),
-        *[fill_missing(F.col(column), 0.0).alias(method) for method, column in scores.items()],
+        *[
+            (fill_missing(F.col(column), 0.0) if column == "bm25_score" else F.col(column).cast("double")).alias(method)
+            for method, column in scores.items()
+        ],
     )
-    rows = wide.unpivot([group, tie, "label"], list(scores), "method", "score")
+    # Not unpivot: it leaves rows with a null score out.
+    cells = [F.struct(F.lit(method).alias("method"), F.col(method).alias("score")) for method in scores]
+    rows = wide.select(group, tie, "label", F.inline(F.array(*cells)))
     kept = top_k(rows, "score", k, ["method", group], tie)
     return ranking_metrics(kept, by=["method"], score="score", group=group, tie=tie, small_groups=True)
 

@@ -10,30 +10,46 @@ distinct terms to counts, pairs to shared terms.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rankloom.constants import BM25_B, BM25_EPSILON, BM25_K1
 from rankloom.functions.text import explode_rows, normalize_whitespace, text_key, tokenize, with_shared_terms
 from rankloom.operators.lexical import with_tokens
-from rankloom.operators.skew import hot_keys, salted_lookup
+from rankloom.operators.skew import salted_lookup
+from rankloom.sources.writers import stage
 
 
 def distinct_documents(docs: DataFrame, text: str = "document") -> DataFrame:
-    return docs.select(normalize_whitespace(F.col(text)).alias("document")).distinct()
+    """One row for each different text; map tasks drop their own copies by a 16-byte key."""
+    texts = docs.select(normalize_whitespace(F.col(text)).alias("document"))
+    return _one_per_key(texts.select("document", text_key(F.col("document")).alias("doc_key"))).select("document")
+
+
+def _one_per_key(texts: DataFrame) -> DataFrame:
+    copy = F.row_number().over(W.partitionBy("doc_key").orderBy("doc_key"))
+    return texts.withColumn("__copy", copy).where("__copy = 1").drop("__copy")
+
+
+def corpus_table(docs: DataFrame, text: str = "document") -> DataFrame:
+    """(doc_key, terms, length) of each different document, as a staged table: distinct terms
+    and the number of tokens. All corpus statistics come from it, and no text is read again."""
+    texts = docs.select(normalize_whitespace(F.col(text)).alias("document"))
+    texts = _one_per_key(texts.select("document", text_key(F.col("document")).alias("doc_key")))
+    tokens = texts.select("doc_key", tokenize(F.col("document")).alias("tokens"))
+    return stage(tokens.select("doc_key", F.array_distinct("tokens").alias("terms"), F.size("tokens").alias("length")), "bm25-corpus")
 
 
 def corpus_size(corpus: DataFrame) -> Column:
-    """Scalar struct (n_docs, avg_len) of a distinct-document table."""
-    stats = corpus.agg(
-        F.count("*").alias("n_docs"), F.avg(F.size(tokenize(F.col("document")))).alias("avg_len")
-    )
+    """Scalar struct (n_docs, avg_len) of a corpus table."""
+    stats = corpus.agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_len"))
     return stats.select(F.struct("n_docs", "avg_len")).scalar()
 
 
 def term_weights(corpus: DataFrame) -> DataFrame:
-    """(term, df, idf) of a distinct-document table; negative weights are replaced by
+    """(term, df, idf) of a corpus table; negative weights are replaced by
     epsilon times the mean weight over all terms."""
-    terms = explode_rows(corpus, items=F.array_distinct(tokenize(F.col("document"))), out="term")
+    terms = explode_rows(corpus, items=F.col("terms"), out="term")
     counts = terms.groupBy("term").agg(F.count("*").alias("df"))
     n_docs = corpus_size(corpus)["n_docs"]
     raw = counts.select(
@@ -44,7 +60,7 @@ def term_weights(corpus: DataFrame) -> DataFrame:
 
 
 def matched_scores(pairs: DataFrame, corpus: DataFrame, key: str = "pair_id") -> DataFrame:
-    """(key, bm25_score) for the pairs that share at least one term."""
+    """(key, bm25_score) for the pairs that share at least one term; ``corpus`` is a corpus table."""
     texts = with_tokens(pairs.select(key, "question", "document"))
     shared = explode_rows(
         with_shared_terms(texts, "q_tokens", "d_tokens", "shared"),
@@ -54,11 +70,8 @@ def matched_scores(pairs: DataFrame, corpus: DataFrame, key: str = "pair_id") ->
         out="s",
     )
     shared = shared.selectExpr(key, "doc_len", "s.value AS term", "s.n AS tf", "s.query_n AS query_n")
-    # A term can be matched no more often than questions ask it.
-    asked = explode_rows(pairs, items=F.array_distinct(tokenize(F.col("question"))), out="term")
-    weighted = salted_lookup(
-        shared, term_weights(corpus), ["term"], spread=key, how="inner", hot=hot_keys(asked, ["term"])
-    )
+    shared = stage(shared, "shared-terms")
+    weighted = salted_lookup(shared, term_weights(corpus), ["term"], spread=key, how="inner")
     size = corpus_size(corpus)
     tf = F.col("tf")
     length_norm = F.lit(1 - BM25_B) + F.lit(BM25_B) * F.col("doc_len") / size["avg_len"]
@@ -76,15 +89,15 @@ def with_bm25(
     complete: bool = False,
 ) -> DataFrame:
     """Add ``bm25_score``. The corpus is the distinct documents of ``corpus_texts``, or
-    of the pairs themselves. A pair whose document is not in the corpus gets NaN, and
+    of the pairs themselves if there is none or it has no rows. A pair whose document is not in the corpus gets NaN, and
     so does every pair when switched off. ``texts`` is the frame to read the pair texts
     from if ``pairs`` has been joined with other scores already. ``complete=True`` states
     that every pair document is in the corpus, which saves looking them up."""
     if not enabled:
         return pairs.withColumn("bm25_score", F.lit(float("nan")))
     texts = pairs if texts is None else texts
-    own = corpus_texts is None
-    corpus = distinct_documents(texts if own else corpus_texts, "document" if own else corpus_column)
+    own = corpus_texts is None or corpus_texts.isEmpty()
+    corpus = corpus_table(texts, "document") if own else corpus_table(corpus_texts, corpus_column)
     scored = pairs.join(matched_scores(texts, corpus, key), key, "left").withColumn(
         "bm25_score", F.coalesce("bm25_score", F.lit(0.0))
     )
@@ -93,7 +106,7 @@ def with_bm25(
     doc_key = text_key(normalize_whitespace(F.col("document")))
     known = salted_lookup(
         texts.select(key, doc_key.alias("doc_key")),
-        corpus.select(text_key(F.col("document")).alias("doc_key")),
+        corpus.select("doc_key"),
         ["doc_key"],
         spread=key,
         how="inner",

@@ -17,8 +17,10 @@ MAX_RANGES = 16**PREFIX_DIGITS
 PAST_LAST_DIGEST = "g"
 
 
-def seeded_digest(seed: int, *keys: Column) -> Column:
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in keys]))
+def seeded_digest(seed: int, purpose: str, *keys: Column) -> Column:
+    """``purpose`` keeps the uses of one seed apart: what a sample keeps says nothing
+    about the split or the draws of a row."""
+    return F.md5(F.concat_ws(":", F.lit(f"{seed}:{purpose}"), *[k.cast("string") for k in keys]))
 
 
 def digest_number(digest: Column) -> Column:
@@ -111,7 +113,7 @@ def sample_exact(df: DataFrame, n: int, key: Column, seed: int = 42) -> DataFram
     """
     if n <= 0:
         return df
-    keyed = df.withColumn("__digest", seeded_digest(seed, key))
+    keyed = df.withColumn("__digest", seeded_digest(seed, "sample", key))
     cuts = digest_cuts(
         keyed.select("__digest"), "__digest", lambda total: {"last": F.least(F.lit(n), total)}
     )

@@ -14,6 +14,7 @@ from rankloom.operators.bm25 import with_bm25
 from rankloom.operators.lexical import entity_count, with_lexical_features
 from rankloom.operators.semantic import encode_texts, with_semantic
 from rankloom.operators.tfidf import pair_texts, weighted_pair_texts, with_tfidf
+from rankloom.sources.writers import stage
 
 
 @dataclass(frozen=True)
@@ -41,13 +42,19 @@ def feature_table(
     pairs were built from, gives the same statistics as the pairs from fewer texts.
 
     All score tables are keyed by pair_id, so the joins share one partitioning of the
-    pairs.
+    pairs. Pairs without that column are numbered; a repeated one is an error.
     """
     options = options or FeatureOptions()
-    needed = {"pair_id", "question_id", "question", "document", "label"}
+    needed = {"question_id", "question", "document", "label"}
     missing = sorted(needed - set(pairs.columns))
     if missing:
         raise ValueError(f"missing columns: {missing}")
+    if "pair_id" not in pairs.columns:
+        # On file, so that all score tables see the same numbers.
+        number = F.monotonically_increasing_id().cast("string")
+        pairs = stage(pairs.withColumn("pair_id", F.concat(F.lit("p_"), number)), "numbered-pairs")
+    elif not pairs.groupBy("pair_id").count().where("count > 1").isEmpty():
+        raise ValueError("pair_id is not unique")
     clean = pairs.withColumns(
         {
             "question": normalize_whitespace(F.col("question")),

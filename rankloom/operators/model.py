@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 from multiprocessing.pool import ThreadPool
+from threading import Lock
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -22,6 +23,7 @@ from rankloom.operators.classification import all_metrics
 from rankloom.operators.lexical import one_hot
 from rankloom.operators.ranking import fill_missing
 from rankloom.session import ensure_checkpoint_dir
+from rankloom.sources.writers import stage
 
 
 def model_matrix(features: DataFrame) -> DataFrame:
@@ -104,8 +106,8 @@ def score(model: GBTClassificationModel, features: DataFrame) -> DataFrame:
 
 
 def evaluate(model: GBTClassificationModel, features: DataFrame) -> DataFrame:
-    """(split, family, metric, value) of all splits in one pass."""
-    return all_metrics(score(model, features), "label", "y_prob", by=["split"])
+    """(split, family, metric, value) of all splits; the model is applied once."""
+    return all_metrics(stage(score(model, features), "scores"), "label", "y_prob", by=["split"])
 
 
 def expand_grid(grid: dict[str, list]) -> list[dict]:
@@ -141,28 +143,36 @@ def grid_search(
             "pair_id", "question_id", "label", vector_to_array("probability")[1].alias("y_prob")
         )
         # Eleven numbers per setting.
-        rows = all_metrics(scored, "label", "y_prob").collect()
+        rows = all_metrics(stage(scored, "grid-scores"), "label", "y_prob").collect()
         return idx, model, {r["metric"]: r["value"] for r in rows}
 
-    fits = base.fitMultiple(fit_rows, maps)
+    # Of the models only the best so far is kept, of the others their numbers.
+    fits, lock, best, rated = base.fitMultiple(fit_rows, maps), Lock(), [None, (0.0, 0), -1], []
+
+    def keep(_) -> None:
+        idx, model, found = rate(next(fits))
+        with lock:
+            rated.append((idx, found))
+            if found["auroc"] > 0 and (found["auroc"], -idx) > best[1]:
+                best[:] = [model, (found["auroc"], -idx), idx]
+
     pool = ThreadPool(min(parallelism, len(maps)))
     try:
-        rated = list(pool.imap_unordered(lambda _: rate(next(fits)), maps))
+        for _ in pool.imap_unordered(keep, maps):
+            pass
     finally:
         pool.close()
         data.unpersist()
-    rated.sort(key=lambda r: r[0])
-    best = max(rated, key=lambda r: (r[2]["auroc"], -r[0]))
-    if best[2]["auroc"] <= 0:
+    if best[0] is None:
         raise ValueError("no setting reached an AUROC above 0")
     table = spark.createDataFrame(
         [
             (i, *[float(v) for _, v in sorted(settings[i].items())], m["auroc"], m["mrr"], m["f1"])
-            for i, _, m in rated
+            for i, m in sorted(rated, key=lambda r: r[0])
         ],
         ["grid_idx", *sorted(grid), "auroc", "mrr", "f1"],
     )
-    return best[1], _settings(settings[best[0]]), table
+    return best[0], _settings(settings[best[2]]), table
 
 
 def importance_table(model: GBTClassificationModel, spark: SparkSession) -> DataFrame:

@@ -20,7 +20,7 @@ def _require(df: DataFrame, names: list[str]) -> None:
 def _pair_key(seed: int, draw: Column) -> Column:
     """Pair id from a digest of question and draw: unique, the same on every run, and
     in an order that says nothing about the label (it breaks ties in rankings)."""
-    return F.concat(F.lit("p_"), seeded_digest(seed, F.col("question_id"), draw))
+    return F.concat(F.lit("p_"), seeded_digest(seed, "pair", F.col("question_id"), draw))
 
 
 def positive_pairs(qa: DataFrame, seed: int = 42) -> DataFrame:
@@ -57,7 +57,7 @@ def negative_pairs(
         "question_id",
         "question",
         "answer",
-        seeded_digest(seed, F.col("question_id")).alias("digest"),
+        seeded_digest(seed, "index", F.col("question_id")).alias("digest"),
     )
     indexed = _blocks_by_answer(keyed) if exclude_same_text else _blocks_by_question(keyed)
     total = qa.agg(F.count("*")).scalar()
@@ -71,7 +71,7 @@ def negative_pairs(
         "block_size",
         F.explode(F.sequence(F.lit(1), F.lit(per_question))).alias("draw"),
     )
-    drawn = F.pmod(digest_number(seeded_digest(seed, F.col("question_id"), F.col("draw"))), others)
+    drawn = F.pmod(digest_number(seeded_digest(seed, "draw", F.col("question_id"), F.col("draw"))), others)
     draws = draws.withColumn("pick", drawn).select(
         _pair_key(seed, F.col("draw")).alias("pair_id"),
         "question_id",

@@ -70,7 +70,7 @@ def with_running_totals(
     )
     inside = W.partitionBy("__part", *by).orderBy("__row")
     upto = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
-    return rows.join(F.broadcast(edges), ["__part", *by]).select(
+    return rows.join(edges, ["__part", *by]).select(
         *df.columns,
         *[(F.col(f"__before_{out}") + F.sum(src).over(upto)).alias(out) for out, src in totals.items()],
         *[

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankloom.constants import ANSWER_FALLBACK_FIELDS, ANSWER_FIELDS, ID_FIELDS, QUESTION_FIELDS
 from rankloom.functions.extract import first_text
-from rankloom.functions.text import normalize_whitespace
+from rankloom.functions.text import normalize_whitespace, text_key
 from rankloom.operators.digest import seeded_digest
 from rankloom.operators.pairs import number_questions
 from rankloom.sources.readers import LOAD_ORDER
@@ -53,15 +54,14 @@ def extract_qa(records: DataFrame, order: list[Column] | None = None) -> DataFra
 
 
 def first_per_question(df: DataFrame, question: str = "question", order: str = "load_order") -> DataFrame:
-    """Keep the row that comes first for each question text. Map tasks reduce their own
-    copies first, so a question a third of the rows share costs one row per task."""
-    rest = [c for c in df.columns if c != question]
-    return (
-        df.groupBy(question)
-        .agg(F.min_by(F.struct(*rest), F.col(order)).alias("first"))
-        .select(question, "first.*")
-        .select(df.columns)
-    )
+    """Keep the row that comes first for each question text (null texts count as one).
+
+    Rows are grouped by a 16-byte key. Filtering on the row number lets every map task
+    keep one row per key before the shuffle, so a question a third of the rows share
+    costs one row per task."""
+    first = W.partitionBy("__key").orderBy(order)
+    keyed = df.withColumn("__key", F.coalesce(text_key(F.col(question)), F.lit(b"")))
+    return keyed.withColumn("__n", F.row_number().over(first)).where("__n = 1").select(df.columns)
 
 
 def build_qa(records: DataFrame, order: list[Column] | None = None, ids: str = "sequential", seed: int = 42) -> DataFrame:
@@ -74,7 +74,7 @@ def build_qa(records: DataFrame, order: list[Column] | None = None, ids: str = "
         raise ValueError(f"unknown ids: {ids}")
     qa = first_per_question(extract_qa(records, order))
     if ids == "digest":
-        qa = qa.withColumn("question_id", F.concat(F.lit("q_"), seeded_digest(seed, F.col("question"))))
+        qa = qa.withColumn("question_id", F.concat(F.lit("q_"), seeded_digest(seed, "question", F.col("question"))))
     else:
         parts = qa.schema["load_order"].dataType
         assert isinstance(parts, T.StructType)

@@ -7,13 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rankloom.constants import RANK_CUTOFFS
-from rankloom.operators.skew import hot_keys
-
-# A question is split over sub-groups only above this size; a window sorts and spills
-# smaller ones in one task without trouble.
-LARGE_GROUP_ROWS = 1_000_000
-SUB_GROUPS = 1_024
-
+from rankloom.sources.writers import stage
 
 def nan_to_null(col: Column) -> Column:
     """NaN sorts above every number in Spark; as null it can be sorted last."""
@@ -74,46 +68,28 @@ def _whole_groups(rows: DataFrame, group: list[str], k_values: list[int]) -> Dat
     )
 
 
-def _split_groups(rows: DataFrame, group: list[str], k_values: list[int]) -> DataFrame:
-    """The same sums for the few groups too large for a task.
+def _reduced_groups(rows: DataFrame, group: list[str], k_values: list[int]) -> DataFrame:
+    """The same sums for groups of any size: only the rows that can matter are ranked.
 
-    Sub-groups are ranked on their own and reduced to the rows that can matter: the top
-    ones by score, the top ones by label and the first hit. Ranking what is left gives
-    the exact top of the group and its best hit; the rank of that hit is one more than
-    the number of rows ahead of it, a count that combines on the map side.
+    The top by score and the top by label are kept by a filter on the row number, which
+    prunes in every map task. The rank of the first hit is one more than the number of
+    rows ahead of the best hit; both that hit and the count combine on the map side.
     """
     k_max = max(k_values)
-    parts = rows.withColumn("part", F.pmod(F.xxhash64("tie"), F.lit(SUB_GROUPS)))
-    local = _ranked(parts, [*group, "part"])
-    hit_rank = F.when(F.col("label") == 1, F.col("rn"))
-    local = local.withColumn("local_hit", F.min(hit_rank).over(W.partitionBy(*group, "part")))
-    kept = local.where(
-        (F.col("rn") <= k_max) | (F.col("ideal_rn") <= k_max) | (F.col("rn") == F.col("local_hit"))
-    ).select(*group, "label", "score", "tie")
-    finalists = _ranked(kept, group)
-    tops = finalists.groupBy(*group).agg(
-        F.min(
-            F.when(F.col("label") == 1, F.struct("rn", "score", "tie"))
-        ).alias("best_hit"),
-        *_top_sums(k_values),
-    )
-    # One row per large group, at most MAX_HOT_KEYS of them.
-    best = F.broadcast(tops.select(*group, "best_hit"))
-    mine, hit = F.col("score"), F.col("best_hit.score")
-    ahead = (
-        F.when(hit.isNull(), mine.isNotNull() | (F.col("tie") < F.col("best_hit.tie")))
-        .when(mine.isNull(), False)
-        .otherwise((mine > hit) | ((mine == hit) & (F.col("tie") < F.col("best_hit.tie"))))
-    )
-    counts = rows.join(best, group).groupBy(*group).agg(
-        F.count("*").alias("n"), F.count(F.when(ahead, 1)).alias("ahead")
-    )
-    return tops.join(F.broadcast(counts), group).select(
-        *group,
-        "n",
-        F.when(F.col("best_hit").isNotNull(), F.col("ahead") + 1).alias("first_hit"),
-        *[f"{name}_{k}" for k in k_values for name in ("hits", "dcg", "idcg")],
-    )
+    by_score = F.row_number().over(W.partitionBy(*group).orderBy(*_best_first("score", "tie")))
+    by_label = F.row_number().over(W.partitionBy(*group).orderBy(F.col("label").desc()))
+    top = rows.select(*group, "label", by_score.alias("rn")).where(F.col("rn") <= k_max)
+    top_sums = [x for k in k_values for x in (F.sum(F.when(F.col("rn") <= k, F.col("label"))).alias(f"hits_{k}"), _discounted("rn", k).alias(f"dcg_{k}"))]
+    ideal = rows.select(*group, "label", by_label.alias("ideal_rn")).where(F.col("ideal_rn") <= k_max)
+    ideal_sums = [_discounted("ideal_rn", k).alias(f"idcg_{k}") for k in k_values]
+    # Missing scores come last: a flag, then the negated score, then the tie column.
+    place = lambda: F.struct(F.col("score").isNull().alias("last"), (-F.col("score")).alias("low"), F.col("tie"))
+    best = rows.where("label = 1").groupBy(*group).agg(F.min(place()).alias("hit"))
+    best = stage(best, "best-hits")
+    ahead = rows.join(best, group).groupBy(*group).agg(F.count(F.when(place() < F.col("hit"), 1)).alias("ahead"))
+    sizes = rows.groupBy(*group).agg(F.count("*").alias("n"))
+    sums = sizes.join(top.groupBy(*group).agg(*top_sums), group).join(ideal.groupBy(*group).agg(*ideal_sums), group)
+    return sums.join(ahead, group, "left").withColumn("first_hit", F.col("ahead") + 1)
 
 
 def question_metrics(
@@ -128,8 +104,8 @@ def question_metrics(
 ) -> DataFrame:
     """One row per (``by``, question): n, rr, and precision@k, dcg@k, ndcg@k.
 
-    ``small_groups=True`` states that group sizes are bounded (a top-k result, say),
-    which saves looking for large ones. Rows without a question are left out.
+    ``small_groups=True`` states that group sizes are bounded (a top-k result, say), so that
+    whole groups can be ranked in one shuffle. Rows without a question are left out.
     """
     by, k_values = by or [], k_values or RANK_CUTOFFS
     keys = [*by, group]
@@ -139,10 +115,8 @@ def question_metrics(
     if small_groups:
         sums = _whole_groups(rows, keys, k_values)
     else:
-        large = F.broadcast(hot_keys(rows.select(keys), keys, min_rows=LARGE_GROUP_ROWS))
-        sums = _whole_groups(rows.join(large, keys, "left_anti"), keys, k_values).unionByName(
-            _split_groups(rows.join(large, keys, "left_semi"), keys, k_values)
-        )
+        # Read five times: narrow rows on file instead of the plan behind them.
+        sums = _reduced_groups(stage(rows, "ranked-rows"), keys, k_values)
     metrics = [F.coalesce(1.0 / F.col("first_hit"), F.lit(0.0)).alias("rr")]
     for k in k_values:
         metrics += [

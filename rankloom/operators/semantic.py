@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rankloom.functions.text import normalize_whitespace, text_key
 from rankloom.functions.vectors import cosine, cosine_batched
 from rankloom.operators.skew import salted_lookup
+from rankloom.sources.writers import stage
 
 
 def encode_texts(texts: DataFrame, encoder, text: str = "text") -> DataFrame:
@@ -61,6 +62,7 @@ def with_semantic(
         text_key(F.col("question")).alias("q_key"),
         text_key(F.col("document")).alias("d_key"),
     )
+    keys = stage(keys, "vector-keys")
     scored = vector_cosines(keys, vectors, "q_key", "d_key", "text_key", key=key)
     return pairs.join(scored.select(key, "semantic_cosine_similarity"), key, "left").withColumn(
         "semantic_cosine_similarity", F.coalesce("semantic_cosine_similarity", F.lit(0.0))

@@ -1,36 +1,23 @@
-"""Joins and groups that stay balanced when one key holds a large share of the rows."""
+"""Joins that stay balanced when one key holds a large share of the rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_HOT_KEYS = 1_000
-MIN_HOT_ROWS = 100_000
-SALTS = 256
+#: Rows of one key that a sub-key takes; keys with more are spread over several.
+SUB_KEY_ROWS = 100_000
 
 
-def hot_keys(
-    df: DataFrame,
-    keys: list[str],
-    max_keys: int = MAX_HOT_KEYS,
-    min_rows: int = MIN_HOT_ROWS,
-) -> DataFrame:
-    """The keys with the most rows, at most ``max_keys`` of them and none below
-    ``min_rows``: a table that is safe to broadcast at any input size. Any key left out
-    holds less than 1/max_keys of all rows. Counting combines on the map side."""
-    return largest(df.groupBy(*keys).agg(F.count("*").alias("n")), keys, "n", max_keys, min_rows)
+def hot_keys(df: DataFrame, keys: list[str], target: int = SUB_KEY_ROWS) -> DataFrame:
+    """(keys, salts): the keys with more than ``target`` rows and the number of sub-keys
+    that brings each below it. Counting combines on the map side."""
+    return largest(df.groupBy(*keys).agg(F.count("*").alias("n")), keys, "n", target)
 
 
-def largest(
-    counts: DataFrame,
-    keys: list[str],
-    n: str,
-    max_keys: int = MAX_HOT_KEYS,
-    min_rows: int = MIN_HOT_ROWS,
-) -> DataFrame:
+def largest(counts: DataFrame, keys: list[str], n: str, target: int = SUB_KEY_ROWS) -> DataFrame:
     """``hot_keys`` for a table that already holds the row count of each key."""
-    return counts.where(f"{n} >= {min_rows}").orderBy(F.desc(n)).limit(max_keys).select(*keys)
+    return counts.where(F.col(n) > target).select(*keys, F.ceil(F.col(n) / target).cast("int").alias("salts"))
 
 
 def salted_lookup(
@@ -40,28 +27,27 @@ def salted_lookup(
     spread: str,
     how: str = "left",
     hot: DataFrame | None = None,
-    salts: int = SALTS,
 ) -> DataFrame:
     """Join ``rows`` with ``table`` (one row per key) on ``keys``.
 
-    Rows of hot keys are spread over ``salts`` sub-keys by the hash of ``spread``, and
-    only the table rows of those keys (at most ``MAX_HOT_KEYS``) are repeated per
-    sub-key. Which side is broadcast, if any, stays with adaptive execution and its
-    size threshold.
+    Rows of hot keys are spread over sub-keys by the hash of ``spread``, and only the
+    table rows of those keys are repeated, once per sub-key. A key's sub-keys follow its
+    own row count and any number of keys may be hot, so the marks are not forced to be
+    broadcast; which side is, if any, stays with adaptive execution and its size threshold.
 
     ``hot`` replaces the counting pass where the caller knows a cheaper bound.
     """
     if hot is None:
         hot = hot_keys(rows.select(*keys), keys)
-    marker = F.broadcast(hot.select(*keys, F.lit(True).alias("__hot")))
+    marker = hot.select(*keys, F.col("salts").alias("__salts"))
     left = (
         rows.join(marker, keys, "left")
-        .withColumn("__salt", F.expr(f"if(__hot, int(pmod(xxhash64(`{spread}`), {salts})), 0)"))
-        .drop("__hot")
+        .withColumn("__salt", F.expr(f"coalesce(int(pmod(xxhash64(`{spread}`), __salts)), 0)"))
+        .drop("__salts")
     )
     right = (
         table.join(marker, keys, "left")
-        .withColumn("__salt", F.expr(f"explode(if(__hot, sequence(0, {salts - 1}), array(0)))"))
-        .drop("__hot")
+        .withColumn("__salt", F.expr("explode(sequence(0, coalesce(__salts, 1) - 1))"))
+        .drop("__salts")
     )
     return left.join(right, [*keys, "__salt"], how).drop("__salt")

@@ -40,7 +40,7 @@ def split_by_question(
         .where("question_id IS NOT NULL")
         .select("question_id")
         .distinct()
-        .select(seeded_digest(seed, F.col("question_id")).alias("digest"))
+        .select(seeded_digest(seed, "split", F.col("question_id")).alias("digest"))
     )
     share = validation / (validation + test)
 
@@ -55,7 +55,7 @@ def split_by_question(
         }
 
     cuts = digest_cuts(ids, "digest", ranks)
-    digest = seeded_digest(seed, F.col("question_id"))
+    digest = seeded_digest(seed, "split", F.col("question_id"))
     return (
         pairs.withColumn("__cuts", cuts)
         .withColumn("__digest", digest)
@@ -84,7 +84,7 @@ def split_by_hash(
         reached = math.floor(fraction * 16**8 + 0.5)
         return PAST_LAST_DIGEST if reached >= 16**8 else f"{reached:08x}"
 
-    prefix = F.substring(seeded_digest(seed, F.col("question_id")), 1, 8)
+    prefix = F.substring(seeded_digest(seed, "split", F.col("question_id")), 1, 8)
     return pairs.withColumn(
         "split",
         F.when(prefix < edge(train), SPLITS[0])

@@ -19,7 +19,8 @@ from rankloom.functions.text import (
     with_shared_terms,
     with_value_counts,
 )
-from rankloom.operators.skew import hot_keys, largest, salted_lookup
+from rankloom.operators.skew import largest, salted_lookup
+from rankloom.sources.writers import stage
 
 
 def pair_texts(pairs: DataFrame) -> DataFrame:
@@ -56,26 +57,30 @@ def weighted_pair_texts(qa: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
-def text_grams(texts: DataFrame) -> DataFrame:
-    """(text_key, gram, tf) of a distinct-text table."""
+def text_grams(texts: DataFrame, *keep: str) -> DataFrame:
+    """(text_key, gram, tf) and kept columns of a distinct-text table."""
     counted = with_value_counts(with_grams(texts, "text", "grams"), "grams", "counts")
     return explode_rows(
-        counted, text_key(F.col("text")).alias("text_key"), items=F.col("counts"), out="c"
-    ).selectExpr("text_key", "c.value AS gram", "c.n AS tf")
+        counted, text_key(F.col("text")).alias("text_key"), *keep, items=F.col("counts"), out="c"
+    ).selectExpr("text_key", "c.value AS gram", "c.n AS tf", *keep)
 
 
 def gram_weights(texts: DataFrame) -> DataFrame:
     """(gram, df, n_texts, idf) of a text column, repeats included or given as weights: df and the corpus
     size count copies of a text, n_texts is the number of distinct texts with the gram.
     Grams are counted once per distinct text and weighted by its copies."""
-    copies = F.sum("weight") if "weight" in texts.columns else F.count("*")
-    total = texts.agg(copies).scalar()
+    different = distinct_texts(texts)
     grams = explode_rows(
-        with_grams(distinct_texts(texts), "text", "grams"),
+        with_grams(different, "text", "grams"),
         "weight",
         items=F.array_distinct("grams"),
         out="gram",
     )
+    copies = F.sum("weight") if "weight" in texts.columns else F.count("*")
+    return _weights(grams, texts.agg(copies).scalar())
+
+
+def _weights(grams: DataFrame, total) -> DataFrame:
     counts = grams.groupBy("gram").agg(F.sum("weight").alias("df"), F.count("*").alias("n_texts"))
     return counts.withColumn("idf", F.log((total + 1.0) / (F.col("df") + 1.0)) + 1.0)
 
@@ -88,12 +93,20 @@ def cosines(
 ) -> DataFrame:
     """(key, tfidf_similarity) for the pairs that share at least one known gram.
 
-    ``fit_texts`` (column ``text``) sets vocabulary and weights; without it the pairs'
-    own texts do. ``own_texts`` may give those as (text, weight)."""
+    ``fit_texts`` (column ``text``) sets vocabulary and weights; without it, or without rows in it,
+    the pairs' own texts do. ``own_texts`` may give those as (text, weight)."""
     if own_texts is None:
         own_texts = pair_texts(pairs)
-    own_grams = text_grams(distinct_texts(own_texts))
-    weights = gram_weights(own_texts if fit_texts is None else fit_texts)
+    if fit_texts is not None and fit_texts.isEmpty():
+        fit_texts = None
+    # Every text is cut into grams once; lengths and weights both start from this table.
+    different = distinct_texts(own_texts)
+    own_grams = stage(text_grams(different, "weight"), "text-grams")
+    if fit_texts is None:
+        copies = F.sum("weight") if "weight" in own_texts.columns else F.count("*")
+        weights = stage(_weights(own_grams, own_texts.agg(copies).scalar()), "gram-weights")
+    else:
+        weights = stage(gram_weights(fit_texts), "gram-weights")
     hot_grams = largest(weights, ["gram"], "n_texts") if fit_texts is None else None
     idf = weights.select("gram", "idf")
 
@@ -117,26 +130,17 @@ def cosines(
         out="s",
     )
     shared = shared.selectExpr(key, "q_key", "d_key", "s.value AS gram", "s.n * s.query_n AS tf2")
-    asked = explode_rows(
-        with_grams(pairs.select("question"), "question", "grams"),
-        items=F.array_distinct("grams"),
-        out="gram",
-    )
-    products = salted_lookup(shared, idf, ["gram"], spread=key, how="inner", hot=hot_keys(asked, ["gram"]))
+    shared = stage(shared, "shared-grams")
+    products = salted_lookup(shared, idf, ["gram"], spread=key, how="inner")
     dots = products.groupBy(key, "q_key", "d_key").agg(
         F.expr("sum(tf2 * idf * idf) AS dot")
     )
 
-    for side, text in (("q", "question"), ("d", "document")):
+    dots, lengths = stage(dots, "dots"), stage(lengths, "text-lengths")
+    for side in ("q", "d"):
         side_key = f"{side}_key"
-        copies = keyed.select(text_key(F.col(text)).alias(side_key))
         dots = salted_lookup(
-            dots,
-            lengths.selectExpr(f"text_key AS {side_key}", f"length AS {side}_len"),
-            [side_key],
-            spread=key,
-            how="inner",
-            hot=hot_keys(copies, [side_key]),
+            dots, lengths.selectExpr(f"text_key AS {side_key}", f"length AS {side}_len"), [side_key], spread=key, how="inner"
         )
     return dots.selectExpr(key, "try_divide(dot, q_len * d_len) AS tfidf_similarity")
 

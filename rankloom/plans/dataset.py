@@ -28,7 +28,7 @@ def build_dataset(
     source: str,
     path: str,
     output: str,
-    sample_size: int = 3000,
+    sample_size: int = 0,
     negatives_per_question: int = 1,
     fractions: tuple[float, float, float] = (0.70, 0.15, 0.15),
     seed: int = 42,
@@ -40,7 +40,8 @@ def build_dataset(
     """Write ``raw/qa``, ``processed/pairs``, ``processed/features`` (both with a
     ``split`` column and folder) and ``processed/dataset_summary.json`` under ``output``
     and return the written tables. Each step starts from the files of the one before.
-    Reading a table without a split filter gives the 'all' variant.
+    Reading a table without a split filter gives the 'all' variant. ``sample_size`` keeps so
+    many records, drawn by the seed; 0, the default, keeps all.
     """
     options = options or FeatureOptions()
     records = read_records(

@@ -58,20 +58,20 @@ def pair_ctes(qa: str, n: int = 3) -> str:
     return f"""
 indexed AS (
   SELECT question_id, question, answer,
-         row_number() OVER (ORDER BY md5('42:' || question_id), question_id) - 1 AS idx
+         row_number() OVER (ORDER BY md5('42:index:' || question_id), question_id) - 1 AS idx
   FROM {qa}
 ),
 draws AS (
   SELECT question_id, question, idx, draw,
-         {number60("md5('42:' || question_id || ':' || draw)")} % ((SELECT count(*) FROM {qa}) - 1) AS r
+         {number60("md5('42:draw:' || question_id || ':' || draw)")} % ((SELECT count(*) FROM {qa}) - 1) AS r
   FROM indexed, range(1, {n + 1}) AS d(draw)
 ),
-pairs AS (
-  SELECT 'p_' || md5('42:' || question_id || ':0') AS pair_id, question_id, question, answer AS document,
+pairs AS MATERIALIZED (
+  SELECT 'p_' || md5('42:pair:' || question_id || ':0') AS pair_id, question_id, question, answer AS document,
          1 AS label, 'positive' AS pair_type, question_id AS source_doc_question_id
   FROM {qa}
   UNION ALL
-  SELECT 'p_' || md5('42:' || d.question_id || ':' || d.draw), d.question_id, d.question, s.answer,
+  SELECT 'p_' || md5('42:pair:' || d.question_id || ':' || d.draw), d.question_id, d.question, s.answer,
          0, 'negative', s.question_id
   FROM draws d
   JOIN indexed s ON s.idx = CASE WHEN d.r >= d.idx THEN d.r + 1 ELSE d.r END
@@ -83,7 +83,7 @@ PAIRS = QA_OPENED + "," + pair_ctes("qo")
 SPLIT = """
 held AS (SELECT count(DISTINCT question_id) AS n, ceil((1.0::DOUBLE - 0.7::DOUBLE) * count(DISTINCT question_id)) AS h FROM pairs),
 ranked_q AS (
-  SELECT question_id, row_number() OVER (ORDER BY md5('42:' || question_id)) AS r
+  SELECT question_id, row_number() OVER (ORDER BY md5('42:split:' || question_id)) AS r
   FROM (SELECT DISTINCT question_id FROM pairs)
 ),
 split_q AS (
@@ -92,12 +92,14 @@ split_q AS (
   FROM ranked_q, held
 )"""
 
-HASH_SPLIT = """CASE WHEN substr(md5('42:' || question_id), 1, 8) < 'b3333333' THEN 'train'
-     WHEN substr(md5('42:' || question_id), 1, 8) < 'd999999a' THEN 'validation' ELSE 'test' END"""
+HASH_SPLIT = """CASE WHEN substr(md5('42:split:' || question_id), 1, 8) < 'b3333333' THEN 'train'
+     WHEN substr(md5('42:split:' || question_id), 1, 8) < 'd999999a' THEN 'validation' ELSE 'test' END"""
 
 LEX = f"""
-tok AS (
-  SELECT *, {tokens('question')} AS q_tok, {tokens('document')} AS d_tok FROM pairs
+asked_tok AS MATERIALIZED (SELECT question, {tokens('question')} AS q_tok FROM (SELECT DISTINCT question FROM pairs)),
+given_tok AS MATERIALIZED (SELECT document, {tokens('document')} AS d_tok FROM (SELECT DISTINCT document FROM pairs)),
+tok AS MATERIALIZED (
+  SELECT * FROM pairs JOIN asked_tok USING (question) JOIN given_tok USING (document)
 ),
 lex AS (
   SELECT *, CAST(len(list_intersect(list_distinct(q_tok), list_distinct(d_tok))) AS BIGINT) AS token_overlap,
@@ -116,31 +118,31 @@ def bm25_ctes(corpus: str) -> str:
     """``corpus``: a query giving distinct normalised documents as ``document``."""
     return f"""
 corpus AS ({corpus}),
-corpus_tok AS (SELECT document, {tokens('document')} AS t FROM corpus),
+corpus_tok AS MATERIALIZED (SELECT document, {tokens('document')} AS t FROM corpus),
 corpus_size AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM corpus_tok),
 term_df AS (
   SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(t)) AS term FROM corpus_tok) GROUP BY term
 ),
-term_raw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM term_df, corpus_size),
-term_idf AS (
-  SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM term_raw) ELSE raw END AS idf
-  FROM term_raw
+term_raw AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM term_df, corpus_size),
+term_idf AS MATERIALIZED (
+  SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * mean_raw ELSE raw END AS idf
+  FROM term_raw, (SELECT avg(raw) AS mean_raw FROM term_raw)
 )"""
 
 
 BM25_SCORES = f"""
-q_terms AS (
-  SELECT pair_id, term, count(*) AS qn
-  FROM (SELECT pair_id, unnest({tokens('question')}) AS term FROM pairs) GROUP BY ALL
+q_terms AS MATERIALIZED (
+  SELECT question, term, count(*) AS qn
+  FROM (SELECT question, unnest({tokens('question')}) AS term FROM (SELECT DISTINCT question FROM pairs)) GROUP BY ALL
 ),
-d_terms AS (
-  SELECT pair_id, term, count(*) AS tf
-  FROM (SELECT pair_id, unnest({tokens('document')}) AS term FROM pairs) GROUP BY ALL
+d_toks AS MATERIALIZED (SELECT document, {tokens('document')} AS t FROM (SELECT DISTINCT document FROM pairs)),
+d_terms AS MATERIALIZED (
+  SELECT document, term, count(*) AS tf, any_value(dl) AS dl
+  FROM (SELECT document, len(t) AS dl, unnest(t) AS term FROM d_toks) GROUP BY document, term
 ),
-d_len AS (SELECT pair_id, len({tokens('document')}) AS dl FROM pairs),
 bm25_sums AS (
   SELECT pair_id, sum(qn * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS s
-  FROM q_terms JOIN d_terms USING (pair_id, term) JOIN term_idf USING (term) JOIN d_len USING (pair_id), corpus_size
+  FROM pairs JOIN q_terms USING (question) JOIN d_terms USING (document, term) JOIN term_idf USING (term), corpus_size
   GROUP BY pair_id
 ),
 bm25 AS (SELECT pair_id, coalesce(s, 0.0) AS bm25_score FROM pairs LEFT JOIN bm25_sums USING (pair_id))"""
@@ -158,7 +160,7 @@ text_words AS (SELECT regexp_extract_all(lower(coalesce(text, '')), '{LONG_WORD}
 gram_df AS (
   SELECT gram, count(*) AS df FROM (SELECT unnest(list_distinct({grams('w')})) AS gram FROM text_words) GROUP BY gram
 ),
-gram_idf AS (
+gram_idf AS MATERIALIZED (
   SELECT gram, df, ln((1.0 + (SELECT count(*) FROM texts)) / (1.0 + df)) + 1.0 AS idf FROM gram_df
 )"""
 
@@ -206,10 +208,11 @@ def vec_of(x: str) -> str:
 
 SEMANTIC = f"""
 vec_texts AS (SELECT {norm('question')} AS text FROM pairs UNION SELECT {norm('document')} FROM pairs),
-text_vec AS (SELECT text, embedding FROM vec_texts JOIN embeddings ON vec_id = {vec_of('text')}),
+text_vec AS MATERIALIZED (SELECT text, embedding FROM vec_texts JOIN embeddings ON vec_id = {vec_of('text')}),
+normed AS MATERIALIZED (SELECT pair_id, {norm('question')} AS q_norm, {norm('document')} AS d_norm FROM pairs),
 semantic AS (
   SELECT pair_id, coalesce({cos('a.embedding', 'b.embedding')}, 0.0) AS semantic_cosine_similarity
-  FROM pairs LEFT JOIN text_vec a ON a.text = {norm('question')} LEFT JOIN text_vec b ON b.text = {norm('document')}
+  FROM normed LEFT JOIN text_vec a ON a.text = q_norm LEFT JOIN text_vec b ON b.text = d_norm
 )"""
 
 OWN_CORPUS = f"SELECT DISTINCT {norm('document')} AS document FROM pairs"
@@ -245,7 +248,7 @@ vp AS (
 
 DOC_SCORES = """
 ds AS (
-  SELECT doc_id, quality AS label, CAST(round(least(n_chars, 2000) / 2000.0::DOUBLE, 1) AS DOUBLE) AS y_prob
+  SELECT doc_id, quality AS label, round(n_chars / (n_chars + 2000.0::DOUBLE), 6) AS y_prob
   FROM labels JOIN documents USING (doc_id)
 )"""
 
@@ -364,7 +367,7 @@ sweep AS (
 )"""
 
 DIGEST_QA = f"""
-SELECT 'q_' || md5('42:' || question) AS question_id, source_example_id, question, answer
+SELECT 'q_' || md5('42:question:' || question) AS question_id, source_example_id, question, answer
 FROM (SELECT question_id AS source_example_id, {norm('question')} AS question, {norm('answer')} AS answer FROM qa)
 WHERE question <> '' AND answer <> ''"""
 
@@ -379,8 +382,15 @@ def oracle_sql() -> dict[str, str]:
     for name in ("scan_csv_roundtrip", "scan_jsonl_roundtrip", "scan_parquet_qa"):
         sql[name] = with_(QA, DIGEST_QA)
     sql["sample_exact_n"] = (
-        "SELECT doc_id, lang, source FROM documents ORDER BY md5('42:' || doc_id), doc_id LIMIT 100"
-    )
+        "SELECT doc_id, lang, source FROM documents ORDER BY md5('42:sample:' || doc_id), doc_id LIMIT 100"
+    )
+    sql["sample_then_split"] = """
+WITH chosen AS (SELECT doc_id FROM documents ORDER BY md5('42:sample:' || doc_id), doc_id LIMIT 400)
+SELECT CAST(doc_id AS VARCHAR) AS question_id,
+       CASE WHEN substr(md5('42:split:' || doc_id), 1, 8) < 'b3333333' THEN 'train'
+            WHEN substr(md5('42:split:' || doc_id), 1, 8) < 'd999999a' THEN 'validation' ELSE 'test' END AS split
+FROM chosen"""
+    sql["extract_first_text_json_order"] = with_(QA, f"SELECT question_id, {norm('answer')} AS answer FROM qa")
     sql["extract_first_text_array"] = with_(QA, f"SELECT question_id, {norm('answer')} AS answer FROM qa")
     sql["extract_first_text_struct"] = with_(
         QA,
@@ -418,16 +428,16 @@ QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1"""
         f"""
 blocks AS (
   SELECT CAST(doc_id AS VARCHAR) AS question_id, text AS answer, count(*) OVER (PARTITION BY text) AS size,
-         row_number() OVER (ORDER BY md5(text), md5('42:' || doc_id)) - 1 AS idx
+         row_number() OVER (ORDER BY md5(text), md5('42:index:' || doc_id)) - 1 AS idx
   FROM documents
 ),
 starts AS (SELECT *, min(idx) OVER (PARTITION BY answer) AS start FROM blocks),
 drawn AS (
   SELECT question_id, draw, start, size,
-         {number60("md5('42:' || question_id || ':' || draw)")} % ((SELECT count(*) FROM documents) - size) AS r
+         {number60("md5('42:draw:' || question_id || ':' || draw)")} % ((SELECT count(*) FROM documents) - size) AS r
   FROM starts, range(1, 4) AS d(draw)
 )""",
-        """SELECT 'p_' || md5('42:' || d.question_id || ':' || d.draw) AS pair_id, d.question_id, s.answer AS document,
+        """SELECT 'p_' || md5('42:pair:' || d.question_id || ':' || d.draw) AS pair_id, d.question_id, s.answer AS document,
        s.question_id AS source_doc_question_id
 FROM drawn d JOIN starts s ON s.idx = CASE WHEN d.r >= d.start THEN d.r + d.size ELSE d.r END""",
     )

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from rankloom.constants import (
     BASELINE_SCORES,
     MODEL_FEATURES,
+    QUICK_GRID,
     QUESTION_TYPES,
     SPLITS,
 )
@@ -80,7 +81,7 @@ def _qa_of_records(records: DataFrame) -> DataFrame:
 def scan_csv_roundtrip(spark, folder):
     path = scratch_path(spark, "qa-csv")
     write_csv(qa_view(spark, folder).select(F.col("question_id").alias("id"), "question", "answer"), path)
-    return _qa_of_records(read_records(spark, "csv", path))
+    return _qa_of_records(read_records(spark, "csv", path, multiline_csv=True))
 
 
 @query
@@ -117,6 +118,24 @@ def sample_exact_n(spark, folder):
     return sample_exact(table(spark, folder, "documents"), 100, F.col("doc_id")).select("doc_id", "lang", "source")
 
 
+@query
+def sample_then_split(spark, folder):
+    """What a sample keeps must not decide the split of the same seed."""
+    chosen = sample_exact(table(spark, folder, "documents"), 400, F.col("doc_id"))
+    return split_by_hash(chosen.select(F.col("doc_id").cast("string").alias("question_id")))
+
+
+@query
+def extract_first_text_json_order(spark, folder):
+    """Objects whose unknown keys are out of name order: the first in the text counts."""
+    answer = F.concat(F.lit('{"zeta": '), F.to_json(F.struct(F.col("answer").alias("x"))), F.lit(', "alpha": "no"}'))
+    rows = qa_view(spark, folder).select("question_id", answer.alias("answer"))
+    path = scratch_path(spark, "irregular")
+    rows.select(F.format_string('{"question_id": "%s", "answer": %s}', "question_id", "answer").alias("value")).write.text(path)
+    records = read_records(spark, "jsonl", path, irregular=["answer"])
+    return records.select("question_id", first_text(F.col("answer"), records.schema["answer"].dataType).alias("answer"))
+
+
 @query
 def extract_first_text_array(spark, folder):
     nested = qa_view(spark, folder).select("question_id", F.array(F.lit(""), "answer").alias("answers"))
@@ -315,8 +334,7 @@ def distinct_documents(spark, folder):
 
 @query
 def bm25_term_idf(spark, folder):
-    corpus = stage(bm25.distinct_documents(table(spark, folder, "documents"), "text"), "corpus")
-    return rounded(bm25.term_weights(corpus))
+    return rounded(bm25.term_weights(bm25.corpus_table(table(spark, folder, "documents"), "text")))
 
 
 @query
@@ -520,9 +538,6 @@ def metrics_pivot(spark, folder):
 
 # --- Model (no SQL form) -----------------------------------------------------------
 
-SMALL_MODEL = {"n_estimators": 10, "max_depth": 4}
-
-
 def _model_features(spark, folder) -> DataFrame:
     base = stage(split_by_question(pairs_view(spark, folder)), "pairs-split")
     return stage(feature_table(base, vectors=text_vectors_view(spark, folder, base)), "features")
@@ -531,25 +546,24 @@ def _model_features(spark, folder) -> DataFrame:
 @query
 def train_and_score(spark, folder):
     features = _model_features(spark, folder)
-    return model.evaluate(model.train(features, SMALL_MODEL), features)
+    return model.evaluate(model.train(features), features)
 
 
 @query
 def feature_importance(spark, folder):
-    return model.importance_table(model.train(_model_features(spark, folder), SMALL_MODEL), spark)
+    return model.importance_table(model.train(_model_features(spark, folder)), spark)
 
 
 @query
 def top_features(spark, folder):
-    trained = model.train(_model_features(spark, folder), SMALL_MODEL)
+    trained = model.train(_model_features(spark, folder))
     return model.top_features(model.importance_table(trained, spark))
 
 
 @query
 def tune_best(spark, folder):
-    grid = {"max_depth": [3, 5], "n_estimators": [5], "scale_pos_weight": [1, 3]}
-    _, settings, results = model.grid_search(_model_features(spark, folder), grid)
+    _, settings, results = model.grid_search(_model_features(spark, folder), QUICK_GRID)
     chosen = F.lit(True)
-    for name in grid:
+    for name in QUICK_GRID:
         chosen = chosen & (F.col(name) == float(settings[name]))
     return results.where(chosen)

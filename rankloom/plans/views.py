@@ -79,8 +79,8 @@ def vector_pairs_view(spark: SparkSession, folder: str, neighbours: int = 8) ->
 
 
 def doc_scores_view(spark: SparkSession, folder: str) -> DataFrame:
-    """Labelled documents with a length-based score that has many ties."""
+    """Labelled documents with a score that grows with their length."""
     docs = table(spark, folder, "documents").select("doc_id", "n_chars")
     labels = table(spark, folder, "labels").select("doc_id", F.col("quality").alias("label"))
-    score = F.round(F.least(F.col("n_chars"), F.lit(2000)) / F.lit(2000.0), 1).cast("double")
+    score = F.round(F.col("n_chars") / (F.col("n_chars") + F.lit(2000.0)), 6)
     return labels.join(docs, "doc_id").select("doc_id", "label", score.alias("y_prob"))

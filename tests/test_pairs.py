@@ -145,7 +145,7 @@ def test_semi_join_and_concat(spark):
 
 def test_sample_is_exact_and_by_digest(spark):
     df = spark.range(5000).repartition(7)
-    expected = sorted(range(5000), key=lambda i: hashlib.md5(f"42:{i}".encode()).hexdigest())
+    expected = sorted(range(5000), key=lambda i: hashlib.md5(f"42:sample:{i}".encode()).hexdigest())
     for n in (1, 777, 4999, 5000, 9000):
         got = {r.id for r in sample_exact(df, n, F.col("id")).collect()}
         assert got == set(expected[:n])
@@ -160,7 +160,7 @@ def test_sample_refuses_keys_shared_across_the_cut(spark):
 
 
 def test_digest_index(spark):
-    df = spark.range(3000).withColumn("d", seeded_digest(7, F.col("id")))
+    df = spark.range(3000).withColumn("d", seeded_digest(7, "index", F.col("id")))
     rows = with_digest_index(df, "d", "id", "i").collect()
     assert [r.id for r in sorted(rows, key=lambda r: r.i)] == [r.id for r in sorted(rows, key=lambda r: (r.d, r.id))]
     assert sorted(r.i for r in rows) == list(range(3000))

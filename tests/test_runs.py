@@ -1,11 +1,14 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from rankloom.constants import FULL_GRID, MODEL_FEATURES, QUICK_GRID
 from rankloom.operators.model import classifier, expand_grid, grid_search, importance_table, model_matrix, train
+from rankloom.operators.digest import sample_exact
+from rankloom.operators.splits import split_by_hash
 from rankloom.plans.dataset import build_dataset
-from rankloom.plans.retrieval import baseline_run
+from rankloom.plans.retrieval import baseline_run, model_gain_run
 from rankloom.plans.training import train_run, tuning_run
 from rankloom.plans.views import pairs_view, qa_view
 from rankloom.sources.readers import read_importance_json, read_metrics_json, read_records, read_split
@@ -19,7 +22,9 @@ FOLDER = "/root/testdata/sf0.001"
 def dataset(spark, tmp_path_factory):
     root = str(tmp_path_factory.mktemp("data"))
     write_csv(qa_view(spark, FOLDER).select("question", "answer"), f"{root}/in.csv")
-    tables = build_dataset(spark, "csv", f"{root}/in.csv", f"{root}/out", sample_size=30, negatives_per_question=3)
+    tables = build_dataset(
+        spark, "csv", f"{root}/in.csv", f"{root}/out", sample_size=30, negatives_per_question=3, multiline_csv=True
+    )
     return root, tables
 
 
@@ -92,11 +97,49 @@ def test_reader_guards_and_order(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         read_records(spark, "csv", str(tmp_path / "none.csv"))
     (tmp_path / "a.csv").write_text('id,question,answer\n1,"two\nlines","say ""hi"""\n2,plain,\n')
-    rows = read_records(spark, "csv", str(tmp_path / "a.csv")).orderBy("_load_order").collect()
+    rows = read_records(spark, "csv", str(tmp_path / "a.csv"), multiline_csv=True).orderBy("_load_order").collect()
     assert [(r.id, r.question, r.answer) for r in rows] == [("1", "two\nlines", 'say "hi"'), ("2", "plain", None)]
     (tmp_path / "b.jsonl").write_text("".join(json.dumps({"id": i, "answer": ["x", {"text": i}][i % 2]}) + "\n" for i in range(50)))
     records = read_records(spark, "jsonl", str(tmp_path / "b.jsonl"), irregular=["answer"], sample_size=10)
-    assert records.count() == 10 and dict(records.dtypes)["answer"] == "variant"
+    assert records.count() == 10 and dict(records.dtypes)["answer"] == "struct<_json_text:string>"
+
+
+@pytest.mark.parametrize("source", ["parquet", "jsonl"])
+def test_a_sample_does_not_depend_on_folders_or_file_splits(spark, tmp_path, source):
+    df = spark.range(5000).selectExpr("id % 2500 AS id", "concat('t', id % 2500) AS text").repartition(1)
+    for name in ("a", "b"):
+        folder = tmp_path / name
+        (df.write.parquet if source == "parquet" else df.write.json)(str(folder))
+        if name == "b":  # the same file in another folder
+            for old in folder.glob("part-*"):
+                old.unlink()
+            for part in (tmp_path / "a").glob("part-*"):
+                (folder / part.name).write_bytes(part.read_bytes())
+    found = []
+    for name, size in (("a", "128m"), ("b", "20k")):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            rows = read_records(spark, source, str(tmp_path / name), sample_size=300)
+            found.append(sorted(r.id for r in rows.collect()))
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(found[0]) == 300 and found[0] == found[1]
+
+
+def test_a_sample_keeps_the_fractions_of_the_hash_split(spark):
+    rows = spark.range(10_000).selectExpr("concat('q', id) AS question_id")
+    split = split_by_hash(sample_exact(rows, 2000, F.col("question_id")))
+    n = {r["split"]: r["count"] for r in split.groupBy("split").count().collect()}
+    assert abs(n["train"] - 1400) < 100 and abs(n["test"] - 300) < 70
+
+
+def test_model_gain_run_joins_test_metrics_with_baselines(spark, tmp_path):
+    rows = [("test", f"q{g}", f"p{g}{i}", int(i == 0), 0.1 * i, 0.2, -0.1 * i) for g in range(5) for i in range(3)]
+    names = "split string, question_id string, pair_id string, label int, semantic_cosine_similarity double, bm25_score double, tfidf_similarity double"
+    spark.createDataFrame(rows, names).write.partitionBy("split").parquet(str(tmp_path / "f.parquet"))
+    ours = spark.createDataFrame([("test", "ranking", "mrr", 0.9), ("train", "ranking", "mrr", 1.0)], "split string, family string, metric string, value double")
+    gain = {r.method: r.gain for r in model_gain_run(spark, str(tmp_path / "f.parquet"), ours, str(tmp_path)).collect()}
+    assert gain["tfidf"] == pytest.approx(-0.1) and gain["semantic"] == pytest.approx(0.9 - 1 / 3)
 
 
 def test_metric_files_round_trip(spark, tmp_path):

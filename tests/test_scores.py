@@ -1,4 +1,5 @@
 import math
+import time
 import re
 from collections import Counter
 
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankloom.functions.text import text_key
+from rankloom.functions.text import with_shared_terms
 from rankloom.operators import skew
 from rankloom.operators.bm25 import with_bm25
 from rankloom.operators.features import FeatureOptions, feature_columns, feature_table
@@ -72,7 +74,7 @@ def heat(request, monkeypatch):
     """Once as is, once with every frequent key treated as hot."""
     if request.param == "hot":
         for function in (skew.hot_keys, skew.largest):
-            monkeypatch.setattr(function, "__defaults__", (5, 2))
+            monkeypatch.setattr(function, "__defaults__", (2,))
     return request.param
 
 
@@ -114,18 +116,45 @@ def test_tfidf_other_corpus_ignores_unknown_grams(spark, heat):
 def test_salted_lookup_equals_join_with_one_hot_key(spark):
     rows = spark.range(9000).selectExpr("id", "IF(id % 3 = 0, 0, id) AS k")
     table = spark.range(0, 9000, 2).selectExpr("id AS k", "id * 10 AS v")
-    hot = skew.hot_keys(rows, ["k"], max_keys=10, min_rows=1000)
-    assert [r.k for r in hot.collect()] == [0]
+    hot = skew.hot_keys(rows, ["k"], target=1000)
+    assert [tuple(r) for r in hot.collect()] == [(0, 3)]
     for how in ("left", "inner"):
-        salted = skew.salted_lookup(rows, table, ["k"], spread="id", how=how, hot=hot, salts=16)
+        salted = skew.salted_lookup(rows, table, ["k"], spread="id", how=how, hot=hot)
         assert sorted(map(tuple, salted.select("id", "k", "v").collect()), key=str) == sorted(
             map(tuple, rows.join(table, "k", how).select("id", "k", "v").collect()), key=str
         )
 
 
+def test_any_number_of_keys_may_be_hot(spark):
+    """Equal counts, and more hot keys than any fixed limit would keep."""
+    rows = spark.range(30_000).selectExpr("id", "id % 3000 AS k")
+    hot = skew.hot_keys(rows, ["k"], target=4)
+    assert hot.count() == 3000 and hot.agg(F.max("salts")).first()[0] == 3
+    table = spark.range(3000).selectExpr("id AS k", "id * 2 AS v")
+    joined = skew.salted_lookup(rows, table, ["k"], spread="id", how="inner", hot=hot)
+    assert joined.count() == 30_000 and joined.where("v <> k * 2").isEmpty()
+
+
+def test_shared_terms_of_long_rows_take_linear_time(spark):
+    words = " ".join(f"w{i}" for i in range(16_000))
+    df = spark.createDataFrame([(words, words + " w0")], "question string, document string")
+    rows = with_shared_terms(df.selectExpr("split(question, ' ') AS q", "split(document, ' ') AS d"), "q", "d", "s")
+    began = time.time()
+    shared = rows.select(F.size("s"), F.expr("filter(s, x -> x.value = 'w0')")).first()
+    assert shared[0] == 16_000 and [tuple(x) for x in shared[1]] == [("w0", 2, 1)]
+    assert time.time() - began < 10
+
+
+def test_empty_reference_corpora_fall_back(spark):
+    empty = spark.createDataFrame([], "document string, text string")
+    own = {r.pair_id: (r.bm25_score, r.tfidf_similarity) for r in with_tfidf(with_bm25(toy(spark))).collect()}
+    back = with_tfidf(with_bm25(toy(spark), empty), empty.select("text"), texts=toy(spark))
+    assert {r.pair_id: (r.bm25_score, r.tfidf_similarity) for r in back.collect()} == own
+
+
 def test_hot_rows_are_spread(spark):
     rows = spark.range(9000).selectExpr("id", "IF(id % 3 = 0, 0, id) AS k")
-    hot = skew.hot_keys(rows, ["k"], max_keys=10, min_rows=1000)
+    hot = skew.hot_keys(rows, ["k"], target=200)
     table = spark.range(9000).selectExpr("id AS k", "id AS v")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
