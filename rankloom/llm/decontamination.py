@@ -255,15 +255,20 @@ def _scan(shared, overlap: int, keep: list[str], with_text: bool):
     return run
 
 
+def _windows_of_text(text: str, size: int) -> Iterator[list[bytes]]:
+    data = np.frombuffer(text.encode(), np.uint8)
+    _, begin, end, _ = word_hashes(data, np.array([0, len(data)]))
+    lower = _LOWER[data].tobytes()
+    words = [lower[b:e] for b, e in zip(begin.tolist(), end.tolist())]
+    for k in range(max(1, len(words) - size + 1) if words else 0):
+        yield words[k : k + size]
+
+
 def _windows_of(benchmark: DataFrame, item_id: str, text: str, size: int) -> Iterator[tuple[str | None, list[bytes]]]:
     rows = benchmark.select(F.col(item_id).cast("string").alias("item"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     for row in rows.toLocalIterator():
-        data = np.frombuffer(row["text"].encode(), np.uint8)
-        _, begin, end, _ = word_hashes(data, np.array([0, len(data)]))
-        lower = _LOWER[data].tobytes()
-        words = [lower[b:e] for b, e in zip(begin.tolist(), end.tolist())]
-        for k in range(max(1, len(words) - size + 1) if words else 0):
-            yield row["item"], words[k : k + size]
+        for words in _windows_of_text(row["text"], size):
+            yield row["item"], words
 
 
 def benchmark_overlap(
@@ -308,7 +313,7 @@ def benchmark_overlap(
             break
         if n_blocks:  # one block at a time is in memory
             rows = staged(rows, "decontamination-block").drop("n_words")
-        windows = Windows(held or [(None, [b"\x00"])], shingle)  # a word that no text has
+        windows = Windows(held or [(None, [b"\xff"])], shingle)  # a word that no UTF-8 text has
         known = windows.by_size()
         counted = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(
             _count_shingles(spark.sparkContext.broadcast(known), window), "size int, shingle long, n long"
