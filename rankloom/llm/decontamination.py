@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm.shared import PIECE_BYTES, flat_bytes, pieces, staged
+from rankloom.llm.shared import PIECE_BYTES, flat_bytes, pieces, staged, with_own_text
 
 WINDOW_WORDS = 10
 SHINGLE_WORDS = 3
@@ -232,25 +232,25 @@ def _hits(windows: Windows, prefixes, tables, data: np.ndarray, at: np.ndarray):
     return np.diff(first_word), found
 
 
-def _scan(shared, overlap: int, keep: list[str], with_text: bool):
+def _scan(shared, overlap: int, keep: list[str], text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows, prefixes = shared.value
         tables = {size: _table(keys) for size, (keys, *_) in prefixes.items()}
         for batch in batches:
-            data, offsets = flat_bytes(batch.column("__text"))
+            data, offsets = flat_bytes(batch.column(text))
             runs = [[(r["first"], r["end"]) for r in x or ()] for x in batch.column("hit_runs").to_pylist()]
             items = [set(x or ()) for x in batch.column("hit_items").to_pylist()]
             n_words = np.zeros(batch.num_rows, np.int64)
             for first, last, part, at, skipped in _text_pieces(data, offsets, overlap):
                 own, found = _hits(windows, prefixes, tables, part, at)
                 n_words[first:last] = skipped + own
-                for text, word, window in found:
-                    runs[first + text].append((skipped + word, skipped + word + len(windows.words[window])))
-                    items[first + text].update(windows.items[window])
+                for row, word, window in found:
+                    runs[first + row].append((skipped + word, skipped + word + len(windows.words[window])))
+                    items[first + row].update(windows.items[window])
             merged = [[{"first": f, "end": e} for f, e in _merged(x)] for x in runs]
-            arrays = [batch.column(c) for c in keep] + ([batch.column("__text")] if with_text else [])
+            arrays = [batch.column(c) for c in keep]
             arrays += [pa.array(n_words), pa.array(merged, _RUNS), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(arrays, keep + ["__text"] * with_text + ["n_words", "hit_runs", "hit_items"])
+            yield pa.RecordBatch.from_arrays(arrays, keep + ["n_words", "hit_runs", "hit_items"])
 
     return run
 
@@ -292,13 +292,11 @@ def benchmark_overlap(
     """
     spark: SparkSession = docs.sparkSession
     keep = [c for c in docs.columns if c not in ("n_words", "hit_runs", "hit_items") and (keep_text or c != text)]
-    rows = docs.select(
-        *[F.col(f"`{c}`") for c in keep],
-        F.col(text).alias("__text"),
+    none = (
         F.lit(None).cast("array<struct<first:bigint,end:bigint>>").alias("hit_runs"),
         F.lit(None).cast("array<string>").alias("hit_items"),
     )
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*[F.col(f"`{c}`") for c in keep]).schema)
+    rows, name, fields = with_own_text(docs, keep, text, *none)
     results = "n_words long, hit_runs array<struct<first:bigint,end:bigint>>, hit_items array<string>"
     source, held, n_blocks = _windows_of(benchmark, item_id, item_text, window), [], 0
     done = False
@@ -323,7 +321,10 @@ def benchmark_overlap(
         for r in counted.groupBy("size", "shingle").agg(F.sum("n").alias("n")).toLocalIterator():
             counts[r["size"]][r["shingle"]] = r["n"]
         shared = spark.sparkContext.broadcast((windows, windows.prefixes(counts)))
-        rows = rows.mapInArrow(_scan(shared, window - 1, keep, True), f"{fields}__text string, {results}")
+        # Another block needs the text again; the last one lets go of what is not kept.
+        carried = keep if done or name in keep else [*keep, name]
+        extra = "" if carried == keep else f"{name} string, "
+        rows = rows.mapInArrow(_scan(shared, window - 1, carried, name), f"{fields}{extra}{results}")
         n_blocks += 1
     return rows.drop("__text")
 

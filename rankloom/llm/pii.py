@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.llm.shared import with_own_text
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "ssn")
 MIN_SCORE = 0.5
@@ -143,31 +145,32 @@ def redact(text: str, spans: list[Span]) -> str:
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("base", pa.bool_())]))
 
 
-def _annotate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for begin in range(0, batch.num_rows, 256):
-            part = batch.slice(begin, 256)
-            names = [n for n in part.schema.names if n != "__text"]
-            texts = part.column("__text").to_pylist()
-            found = [find_spans(t) if t else [] for t in texts]
-            clean = [redact(t, f) if f else t for t, f in zip(texts, found)]
-            yield pa.RecordBatch.from_arrays(
-                [*(part.column(n) for n in names), pa.array([[s._asdict() for s in f] for f in found], _SPANS), pa.array(clean, pa.string())],
-                [*names, "pii_spans", "pii_redacted"],
-            )
+def _annotate(keep: list[str], text: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 256):
+                part = batch.slice(begin, 256)
+                texts = part.column(text).to_pylist()
+                found = [find_spans(t) if t else [] for t in texts]
+                clean = [redact(t, f) if f else t for t, f in zip(texts, found)]
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(n) for n in keep), pa.array([[s._asdict() for s in f] for f in found], _SPANS), pa.array(clean, pa.string())],
+                    [*keep, "pii_spans", "pii_redacted"],
+                )
+
+    return run
 
 
-def with_pii(docs: DataFrame, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` plus ``pii_spans`` (kind, start, end, score, base) and ``pii_redacted``.
+def with_pii(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The kept columns (all by default) plus ``pii_spans`` (kind, start, end, score, base) and ``pii_redacted``.
 
     A null text has no spans and stays null, an empty one stays empty; repeated rows are
     judged each on its own; columns of those two names in the input are replaced.
     """
-    own = [c for c in docs.columns if c not in ("pii_spans", "pii_redacted")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in own], F.col(text).alias("__text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("__text").schema)
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("pii_spans", "pii_redacted")]
+    rows, name, fields = with_own_text(docs, keep, text)
     spans = "array<struct<kind:string,start:int,end:int,score:double,base:boolean>>"
-    return rows.mapInArrow(_annotate, f"{fields}, pii_spans {spans}, pii_redacted string")
+    return rows.mapInArrow(_annotate(keep, name), f"{fields}pii_spans {spans}, pii_redacted string")
 
 
 def _equals(value: str):

@@ -53,7 +53,7 @@ def op6_topk_search(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
-    return pii_digest(with_pii(table(spark, folder, "documents").select("doc_id", "text")))
+    return pii_digest(with_pii(table(spark, folder, "documents"), keep=["doc_id"]))
 
 
 def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:

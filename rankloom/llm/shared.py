@@ -26,6 +26,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_own_text(docs: DataFrame, keep: list[str], text: str, *more: Column) -> tuple[DataFrame, str, str]:
+    """The kept columns and more, with the text among them once; its name there, and the kept columns' schema."""
+    kept = docs.select(*[F.col(f"`{c}`") for c in keep])
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema)
+    if text in keep and docs.schema[text].dataType.simpleString() == "string":
+        return docs.select(*[F.col(f"`{c}`") for c in keep], *more), text, fields
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).cast("string").alias("__text"), *more), "__text", fields
+
+
 def text_digest(text: Column) -> Column:
     """16 bytes that name a text; a null counts as the empty text."""
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))

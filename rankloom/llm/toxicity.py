@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.llm.langid import _joined, _letters
-from rankloom.llm.shared import flat_bytes, pieces
+from rankloom.llm.shared import flat_bytes, pieces, with_own_text
 
 WINDOW, STRIDE = 32, 16
 HIDDEN, ATTENTION = 8, 8
@@ -33,7 +33,7 @@ BITS = {"word": 20, "char": 18, "start": 20}
 STARTS = (2, 4, 6)
 THRESHOLD = 0.7
 #: Labelled documents the model is fitted on, at most, and the length above which a text is not among them.
-FIT_TOXIC, FIT_CLEAN, FIT_TEXT_BYTES = 800, 2_400, 40_000
+FIT_TOXIC, FIT_CLEAN, FIT_TEXT_BYTES = 800, 1_600, 20_000
 STAGES, STEPS, BATCH, RATE, SEED = 3, 160, 256, 0.01, 7
 #: Words and 4-grams of fewer training documents have no vector.
 MIN_DOCS = 4
@@ -394,15 +394,18 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     chosen = chosen[0].unionByName(chosen[1])
     found = rows.join(F.broadcast(chosen), "__id").where(F.octet_length("__text") <= FIT_TEXT_BYTES).dropDuplicates(["__id"]).collect()
     found.sort(key=lambda r: (str(r["__id"]), r["__text"]))
-    return train([r["__text"].encode() for r in found], np.array([int(r["__label"] >= 1) for r in found], np.int64), **settings)
+    marks = np.array([int(r["__label"] >= 1) for r in found], np.int64)
+    texts = [r["__text"].encode() for r in found]
+    del found
+    return train(texts, marks, **settings)
 
 
-def _score(shared, keep: list[str]):
+def _score(shared, keep: list[str], text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         slope, shift = model["calibration"]
         for batch in batches:
-            data, at = flat_bytes(batch.column("__text"))
+            data, at = flat_bytes(batch.column(text))
             found = np.full(batch.num_rows, -np.inf)
             for a, b in pieces(at, _SCORE_PIECE):
                 begin, end = int(at[a]), int(at[b])
@@ -424,6 +427,5 @@ def with_toxicity(docs: DataFrame, model: Model, text: str = "text", keep: list[
     no letters) score 0; repeated rows are scored each on its own; a column ``score`` in
     the input is replaced."""
     keep = [c for c in (docs.columns if keep is None else keep) if c != "score"]
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.drop("__text").schema)
-    return rows.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model), keep), f"{fields}score double")
+    rows, name, fields = with_own_text(docs, keep, text)
+    return rows.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model), keep, name), f"{fields}score double")

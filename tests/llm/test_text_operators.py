@@ -71,7 +71,7 @@ def test_long_texts_come_in_pieces(monkeypatch, piece):
     windows = decontamination.Windows([("7", w) for w in rows], 3)
     counts = {n: np.arange(len(k)) for n, k in windows.by_size().items()}
     table = pa.table({"doc_id": [d for d, _ in docs], "__text": [t for _, t in docs], "hit_runs": pa.nulls(5, decontamination._RUNS), "hit_items": pa.nulls(5, pa.list_(pa.string()))})
-    run = decontamination._scan(types.SimpleNamespace(value=(windows, windows.prefixes(counts))), 9, ["doc_id"], False)
+    run = decontamination._scan(types.SimpleNamespace(value=(windows, windows.prefixes(counts))), 9, ["doc_id"], "__text")
     got = [x for b in run(table.to_batches()) for x in b.to_pylist()]
     for (_, expected), x in zip(brute_overlap(docs, [(7, " ".join(item))]), got):
         assert (x["n_words"], sum(y["end"] - y["first"] for y in x["hit_runs"]), len(x["hit_items"])) == expected[:3]
