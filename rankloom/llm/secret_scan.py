@@ -87,8 +87,8 @@ def propose(text: str) -> list[tuple[str, int, int]]:
         value = m.group()
         digits = any(c.isdigit() for c in value)
         mixed = len(value) >= 24 and not value[1:].islower() and not value.isupper() and value.isalpha()
-        if (digits or mixed) and not any(s < m.end() and m.start() < e for _, s, e in taken):
-            kind = next((k for k, p in _FORMATS if p.fullmatch(value)), "token")
+        kind = next((k for k, p in _FORMATS if p.fullmatch(value)), "token")
+        if (digits or mixed or kind != "token") and not any(s < m.end() and m.start() < e for _, s, e in taken):
             found.append((kind, m.start(), m.end()))
     return sorted(found, key=lambda f: f[1:])
 
