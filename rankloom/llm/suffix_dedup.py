@@ -297,7 +297,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     searched = small.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, schema)
 
     windows = staged(pieces_of(asked.where(F.col("size") > SHARD_SEGMENTS), True).distinct(), "hot-windows")
-    twice = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
+    twice = staged(windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window"), "repeated-windows")
     split = windows.where("single").join(twice, "window").select("digest", "first", F.lit(1).alias("windows"))
 
     spans = copies.select("digest", "first", "windows").unionByName(searched).unionByName(split)
