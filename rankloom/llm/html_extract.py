@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rankloom.llm.shared import staged
+from rankloom.llm.shared import small_batches, staged
 
 #: Paths of a host that are tried in turn, and the share of its votes that a path needs.
 MAX_PATHS = 3
@@ -304,6 +304,7 @@ def extract_pages(pages: DataFrame, url: str = "url", html: str = "html", keep:
     without a host form a group of their own; repeated pages vote and are read each on
     its own; input columns named as the results are replaced.
     """
+    small_batches(pages.sparkSession)
     keep = [c for c in (keep or [c for c in pages.columns if c != html]) if c not in ("text", "n_chars")]
     rows = pages.select(
         *[F.col(f"`{c}`") for c in keep],

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.shared import flat_bytes, pieces
+from rankloom.llm.shared import flat_bytes, pieces, small_batches
 
 BUCKET_BITS = 15
 SWITCH_PENALTY = 12.0
@@ -243,6 +243,7 @@ def with_language(docs: DataFrame, model: Model, text: str = "text", penalty: fl
     """
     new = ("lang_pred", "score", "lang_spans")
     keep = [c for c in (docs.columns if keep is None else keep) if c not in new]
+    small_batches(docs.sparkSession)
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(text), F.lit("")).alias("__text"))
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.drop("__text").schema)
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -21,7 +21,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.shared import flat_bytes, pieces, staged
+from rankloom.llm.shared import flat_bytes, pieces, small_batches, staged
 
 MIN_LENGTH = 12
 THRESHOLD = 0.5
@@ -60,6 +60,8 @@ FEATURES = "length entropy upper lower digit other hexadecimal transition covera
 def trigram_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
     """How often three characters (letters without case, digits as one, all else as one) follow each other, over all documents."""
 
+    small_batches(docs.sparkSession)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(_ALPHABET**3, np.int64)
         for batch in batches:

@@ -14,6 +14,9 @@ from rankloom.session import scratch_path
 #: Bytes of text that numpy works on at a time; temporary arrays take up to some 60 times as much.
 PIECE_BYTES = 1 << 21
 
+#: Bytes of an Arrow batch between Spark and Python.
+BATCH_BYTES = 8 << 20
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -26,8 +29,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold ``BATCH_BYTES`` at most from now on: texts are long, and a task
+    holds its batch several times, in the JVM and in Python."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def with_own_text(docs: DataFrame, keep: list[str], text: str, *more: Column) -> tuple[DataFrame, str, str]:
     """The kept columns and more, with the text among them once; its name there, and the kept columns' schema."""
+    small_batches(docs.sparkSession)
     kept = docs.select(*[F.col(f"`{c}`") for c in keep])
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema)
     if text in keep and docs.schema[text].dataType.simpleString() == "string":

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rankloom.llm.shared import flat_bytes, staged, text_digest
+from rankloom.llm.shared import flat_bytes, small_batches, staged, text_digest
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
@@ -83,6 +83,7 @@ def _fingerprints(words: int):
 
 def with_fingerprint(docs: DataFrame, text: str = "text", words: int = SHINGLE_WORDS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns and ``fp``, the fingerprint as a signed long. A null text has no words."""
+    small_batches(docs.sparkSession)
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(text), F.lit("")).alias("__text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("__text").schema)
     return rows.mapInArrow(_fingerprints(words), f"{fields}, fp long")
@@ -307,6 +308,7 @@ def near_duplicates(docs: DataFrame, row: str, text: str = "text", words: int =
     Candidate links are checked in rounds, a node's closest first and four times as many
     each time; links within a group that is already together need no check.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(row).alias("row"), text_digest(F.col(text)).alias("digest"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
     views = [f"fp{k}" for k in range(len(VIEW_SEEDS))]
     prints = staged(rows.mapInArrow(_word_prints, "row long, digest binary, " + ", ".join(f"{v} long" for v in views)), "word-fingerprints")

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.shared import flat_bytes, staged, text_digest
+from rankloom.llm.shared import flat_bytes, small_batches, staged, text_digest
 
 WIDTH = 400
 ANCHOR = 32
@@ -263,6 +263,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     ``digest`` is ``text_digest`` of the text. Null texts count as empty; equal texts and
     repeated rows are copies of each other; other columns are not looked at.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(
         text_digest(F.col(text)).alias("digest"),
         F.xxhash64(F.col(doc_id)).alias("row_key"),
