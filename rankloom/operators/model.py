@@ -26,6 +26,10 @@ from rankloom.session import ensure_checkpoint_dir
 from rankloom.sources.writers import stage
 
 
+#: Rows of the training table that a partition holds before another is used.
+PARTITION_ROWS = 50_000
+
+
 def model_matrix(features: DataFrame) -> DataFrame:
     """The 17 model inputs in order, as floats, a missing BM25 score as 0; all other
     columns that are not features stay."""
@@ -87,11 +91,18 @@ def classifier(overrides: dict | None = None) -> GBTClassifier:
     )
 
 
+def packed(data: DataFrame) -> DataFrame:
+    """No more partitions than hold ``PARTITION_ROWS`` rows each: every level of every tree
+    is a job over all of them."""
+    partitions = max(1, -(-data.count() // PARTITION_ROWS))
+    return data.coalesce(partitions) if partitions < data.rdd.getNumPartitions() else data
+
+
 def train(features: DataFrame, overrides: dict | None = None) -> GBTClassificationModel:
     """Fit on the training split (all rows if there is no split column)."""
     ensure_checkpoint_dir(features.sparkSession)
     rows = features.where("split = 'train'") if "split" in features.columns else features
-    data = assemble(rows, [_settings(overrides)["scale_pos_weight"]]).persist()
+    data = packed(assemble(rows, [_settings(overrides)["scale_pos_weight"]])).persist()
     try:
         return classifier(overrides).fit(data)
     finally:
@@ -117,7 +128,7 @@ def expand_grid(grid: dict[str, list]) -> list[dict]:
 
 
 def grid_search(
-    features: DataFrame, grid: dict[str, list], parallelism: int = 4
+    features: DataFrame, grid: dict[str, list], parallelism: int = 8
 ) -> tuple[GBTClassificationModel, dict, DataFrame]:
     """Fit every setting on the train split and rate it on the validation split.
 
@@ -129,7 +140,7 @@ def grid_search(
     ensure_checkpoint_dir(spark)
     settings = expand_grid(grid)
     weights = sorted({_settings(s)["scale_pos_weight"] for s in settings})
-    data = assemble(features.where("split IN ('train', 'validation')"), weights).persist()
+    data = packed(assemble(features.where("split IN ('train', 'validation')"), weights)).persist()
     fit_rows, check_rows = data.where("split = 'train'"), data.where("split = 'validation'")
     base = classifier()
     maps = []
