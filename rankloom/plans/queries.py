@@ -5,6 +5,7 @@ Doubles are rounded where another engine may sum in another order.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -536,7 +537,7 @@ def metrics_pivot(spark, folder):
     return rounded(baseline.pivot_splits(_metrics_by_split(spark, folder), SPLITS))
 
 
-# --- Model (no SQL form) -----------------------------------------------------------
+# --- Model (scores have no SQL form, their properties have) ----------------------
 
 def _model_features(spark, folder) -> DataFrame:
     base = stage(split_by_question(pairs_view(spark, folder)), "pairs-split")
@@ -549,6 +550,28 @@ def train_and_score(spark, folder):
     return model.evaluate(model.train(features), features)
 
 
+@query
+def model_checks(spark, folder):
+    """What must hold of a trained model whatever its trees: (check, value), counts and 1 for true."""
+    features = _model_features(spark, folder)
+    trained = model.train(features)
+    metrics = stage(model.evaluate(trained, features), "metrics")
+    weights = model.importance_table(trained, spark)
+    right = (F.col("y_prob") >= 0.5).cast("int") == F.col("label")
+    again = model.score(trained, features).groupBy("split").agg(F.avg(right.cast("int")).alias("again"))
+    agree = metrics.where("metric = 'accuracy'").join(again, "split")
+    true = lambda column: F.min(column.cast("bigint")).alias("value")
+    parts = {
+        "features": weights.agg(F.count("*").alias("value")),
+        "importance adds up to 1": weights.agg((F.abs(F.sum("importance") - 1) < 1e-6).cast("bigint").alias("value")),
+        "metrics": metrics.agg(F.count("*").alias("value")),
+        "metrics from 0 to 1": metrics.agg(true(F.col("value").between(0, 1))),
+        "accuracy of the scored rows": agree.agg(true(F.abs(F.col("value") - F.col("again")) < 1e-9)),
+        "scored pairs": model.score(trained, features).agg(F.count("*").alias("value")),
+    }
+    return functools.reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("check"), "value") for name, df in parts.items()])
+
+
 @query
 def feature_importance(spark, folder):
     return model.importance_table(model.train(_model_features(spark, folder)), spark)
