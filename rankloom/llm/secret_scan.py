@@ -10,7 +10,6 @@ corpora that come without a reviewed list.
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 

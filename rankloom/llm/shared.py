@@ -77,7 +77,3 @@ def pieces(offsets: np.ndarray, limit: int = PIECE_BYTES) -> Iterator[tuple[int,
         last = min(n, max(first + 1, last))
         yield first, last
         first = last
-
-
-def string_values(column: pa.Array) -> list[str]:
-    return ["" if x is None else x for x in column.to_pylist()]

@@ -1,6 +1,5 @@
 """HTML, mixing, toxicity, search, secrets and the pipeline."""
 
-import hashlib
 import html
 import random
 import re
@@ -10,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rankloom.llm import html_extract, langid, mixing, pii, secret_scan, topk_search, toxicity
+from rankloom.llm import html_extract, mixing, secret_scan, topk_search, toxicity
 
 SMALL = "/root/testdata/sf0.001"
 
