@@ -16,7 +16,7 @@ Components come from star contraction, rounds of joins and minima over written t
 similarities that 64 bits of shingles cannot tell (at a Jaccard similarity of 0.8 over
 five words they differ in 5 to 14 bits): its candidates come from two fingerprints of
 the set of words, which differ in a few bits only, and every link is confirmed by the
-exact similarity of the shingle sets.
+similarity of the whole shingle sets.
 """
 
 from __future__ import annotations
@@ -305,9 +305,10 @@ def near_duplicates(docs: DataFrame, row: str, text: str = "text", words: int =
     similarity of at least ``similarity`` and that meet as candidates. A text with fewer
     words is one shingle; texts without words are only equal to each other.
 
-    Shingles are compared by 32-bit hashes: in some 10,000 pairs of texts of 600 words, one
-    has a shingle too many in common. Candidate links are checked in rounds, a node's closest first and four times as many
-    each time; links within a group that is already together need no check.
+    Shingles are compared by 32-bit hashes: of 10,000 pairs of texts of 600 words about one
+    gets a shingle too many in common. Candidate links are checked in rounds, a node's
+    closest first and four times as many each time; links within a group that is already
+    together need no check.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(row).alias("row"), text_digest(F.col(text)).alias("digest"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
@@ -327,7 +328,7 @@ def near_duplicates(docs: DataFrame, row: str, text: str = "text", words: int =
         candidates = both if candidates is None else candidates.unionByName(both)
     pairs = candidates.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.min("bits").alias("bits"))
     pairs = staged(pairs, "candidate-pairs")
-    # A node's links are dealt to the rounds; its number of links is bounded by the keys it shares.
+    # A node's links, three numbers each, are dealt to the rounds.
     turn = F.row_number().over(W.partitionBy("b").orderBy("bits", "a"))
     pairs = staged(pairs.withColumn("turn", turn), "candidate-turns")
 
