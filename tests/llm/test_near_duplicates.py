@@ -48,3 +48,18 @@ def test_added_and_replaced_blocks(spark):
     true = brute_force(texts)
     assert true[:3] == [0, 0, 0] and len(set(true)) > 30
     assert groups(spark, texts) == true
+
+
+def test_texts_of_the_same_words_in_another_order(spark):
+    r = random.Random(2)
+    texts = []
+    for _ in range(12):
+        sentences = [new_words(r, 8) for _ in range(60)]
+        one = sum(sentences, [])
+        two = sum(r.sample(sentences, 60), [])
+        three = two[:100] + [two[101], two[100]] + two[102:]
+        texts += [one, two, three]
+    texts = [" ".join(t) for t in texts]
+    true = brute_force(texts)
+    assert true == [i - (i % 3 == 2) for i in range(len(texts))]
+    assert groups(spark, texts) == true
