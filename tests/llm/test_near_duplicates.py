@@ -63,3 +63,23 @@ def test_texts_of_the_same_words_in_another_order(spark):
     true = brute_force(texts)
     assert true == [i - (i % 3 == 2) for i in range(len(texts))]
     assert groups(spark, texts) == true
+
+
+
+def test_hundreds_of_variants_of_a_text(spark):
+    r = random.Random(3)
+    base, texts = new_words(r, 404), []
+    for _ in range(300):
+        text = list(base)
+        for k in r.sample(range(404), r.randint(3, 7)):
+            text[k] = base[(k + 7) % 404]
+        texts.append(" ".join(text))
+    for _ in range(60):  # the same words, but other shingles
+        cut = r.randint(3, 9)
+        parts = [base[i : i + cut] for i in range(0, 404, cut)]
+        r.shuffle(parts)
+        texts.append(" ".join(sum(parts, [])))
+        texts.append(" ".join(sum(parts[:-2], []) + parts[-1] + parts[-2]))
+    true = brute_force(texts)
+    assert 60 < len(set(true)) < 200
+    assert groups(spark, texts) == true
