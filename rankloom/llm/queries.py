@@ -15,6 +15,7 @@ from rankloom.llm.pii import pii_digest, with_pii
 from rankloom.llm.secret_scan import scan
 from rankloom.llm.shared import table
 from rankloom.llm.simhash import simhash_components
+from rankloom.llm.source_divergence import audit_sources
 from rankloom.llm.suffix_dedup import remove_repeats
 from rankloom.llm.topk_search import top_k
 from rankloom.llm.toxicity import THRESHOLD, with_toxicity
@@ -73,6 +74,10 @@ def op10_langid(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out(key).alias("held_out"), "lang_pred", "score")
 
 
+def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return audit_sources(table(spark, folder, "documents"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_html_extract": op2_html_extract,
@@ -84,4 +89,5 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_simhash": op9_simhash,
     "op10_langid": op10_langid,
+    "op11_source_divergence": op11_source_divergence,
 }
