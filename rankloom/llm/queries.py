@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankloom.llm.bpe_automaton import load_vocabulary, with_decoded_text, with_token_ids
 from rankloom.llm.decontamination import benchmark_overlap, overlap_digest
 from rankloom.llm.html_extract import extract_pages
 from rankloom.llm.langid import fit, held_out, with_language
@@ -78,6 +79,18 @@ def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return audit_sources(table(spark, folder, "documents"))
 
 
+def op12_bpe_automaton(spark: SparkSession, folder: str, vocabulary: str | None = None) -> DataFrame:
+    if vocabulary is None:
+        import public_tokenizers
+
+        vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    automaton = load_vocabulary(vocabulary)
+    ids = with_token_ids(table(spark, folder, "documents"), automaton, keep=["doc_id"])
+    decoded = with_decoded_text(ids, automaton)
+    digests = [F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256")]
+    return decoded.select("doc_id", "n_tokens", *digests)
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_html_extract": op2_html_extract,
@@ -90,4 +103,5 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_langid": op10_langid,
     "op11_source_divergence": op11_source_divergence,
+    "op12_bpe_automaton": op12_bpe_automaton,
 }
