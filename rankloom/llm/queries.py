@@ -21,6 +21,7 @@ from rankloom.llm.suffix_dedup import remove_repeats
 from rankloom.llm.topk_search import top_k
 from rankloom.llm.toxicity import THRESHOLD, with_toxicity
 from rankloom.llm.toxicity import fit as fit_toxicity
+from rankloom.llm.vector_codes import compress_vectors
 
 
 def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -91,6 +92,10 @@ def op12_bpe_automaton(spark: SparkSession, folder: str, vocabulary: str | None
     return decoded.select("doc_id", "n_tokens", *digests)
 
 
+def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return compress_vectors(table(spark, folder, "embeddings"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_html_extract": op2_html_extract,
@@ -104,4 +109,5 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_langid": op10_langid,
     "op11_source_divergence": op11_source_divergence,
     "op12_bpe_automaton": op12_bpe_automaton,
+    "op13_vector_codes": op13_vector_codes,
 }

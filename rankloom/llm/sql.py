@@ -90,4 +90,37 @@ ranked AS (
 SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10
 """
 
-LLM_SQL: dict[str, str] = {"op3_mixing": OP3, "op6_topk_search": OP6, "op11_source_divergence": OP11}
+# Four rounds over lists of whole numbers; distances are inner products of differences.
+_PARTS = """
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+numbered AS (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS at_row FROM kept),
+parts AS (
+  SELECT at_row, part, v[part * (len(v) // 4) + 1 : (part + 1) * (len(v) // 4)] AS x
+  FROM numbered, (SELECT unnest(range(4)) AS part)),
+book0 AS (SELECT part, at_row AS entry, x AS e FROM parts WHERE at_row < 256)"""
+_ROUND = """,
+near{n} AS (
+  SELECT at_row, part, unnest(arg_min(entry, (d, entry), 1)) AS entry, min(d) AS d
+  FROM (SELECT p.at_row, p.part, b.entry,
+               CAST(list_sum(list_transform(list_zip(p.x, b.e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d
+        FROM parts p JOIN book{n} b USING (part)) GROUP BY at_row, part)"""
+_MOVE = """,
+means{n} AS (
+  SELECT part, entry, list(CAST(floor_sum AS BIGINT) ORDER BY place) AS e
+  FROM (SELECT part, entry, place, CASE WHEN s >= 0 THEN s // c ELSE -((c - 1 - s) // c) END AS floor_sum
+        FROM (SELECT a.part, a.entry, i.place, sum(p.x[i.place]) AS s, count(*) AS c
+              FROM near{n} a JOIN parts p USING (at_row, part), (SELECT unnest(range(1, (SELECT max(len(x)) FROM parts) + 1)) AS place) i
+              GROUP BY ALL))
+  GROUP BY part, entry),
+book{m} AS (SELECT b.part, b.entry, coalesce(m.e, b.e) AS e FROM book{n} b LEFT JOIN means{n} m USING (part, entry))"""
+_CODES = """
+SELECT n.vec_id, string_agg(printf('%02x', CAST(a.entry AS BIGINT)), '' ORDER BY a.part) AS code, CAST(sum(a.d) AS BIGINT) AS error,
+       CAST(sum(sum(a.d)) OVER (PARTITION BY n.label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY part, entry)) FROM book4) AS codebooks_sha256
+FROM near4 a JOIN numbered n USING (at_row) GROUP BY n.at_row, n.vec_id, n.label
+"""
+OP13 = _PARTS + "".join(_ROUND.format(n=n) + _MOVE.format(n=n, m=n + 1) for n in range(4)) + _ROUND.format(n=4) + _CODES
+
+LLM_SQL: dict[str, str] = {"op3_mixing": OP3, "op6_topk_search": OP6, "op11_source_divergence": OP11, "op13_vector_codes": OP13}
