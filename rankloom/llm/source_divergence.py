@@ -1,10 +1,11 @@
 """Source divergence audit by chunk factorization.
 
-Texts are counted as whitespace chunks, not as terms: a task counts the chunks of each
-document and puts up to 64 documents of one language and source together, each of them a
-bit of a long. Every chunk that occurs anywhere is cut into terms once, and its terms are
-joined back to the counts. Bits say in how many documents a term occurs, whatever the
-number of different chunks that hold it; the counts say how often.
+Texts are counted as whitespace chunks, not as terms. A task counts the chunks of its
+documents per language and source, and names the documents that hold a chunk, as many as
+``min_documents``: more are never asked for. Rows of equal chunks meet, each chunk that
+occurs anywhere is cut into terms once, and its terms take over its counts and documents.
+Rows of equal terms meet next; with ``min_documents`` different documents a term is kept.
+Counts of several sources travel in one row, written one after the other as bytes.
 
 What follows works on the counts of terms per source. Sources are compared in tiles: a
 group holds some of the terms and two ranges of the sources, so no group grows with the
@@ -30,24 +31,24 @@ from rankloom.llm.shared import PIECE_BYTES, small_batches, staged
 MIN_DOCUMENTS = 10
 TOP_TERMS = 10
 
-#: Documents of a block: the bits of a long.
-BLOCK_DOCUMENTS = 64
-#: Chunk counts that a task holds before it puts all of them out.
-HELD_CHUNKS = 400_000
-#: Rows of one chunk that a sub-key takes in the join with the terms.
-SUB_KEY_ROWS = 20_000
-#: Tasks whose blocks of one source are added up in one place, as a power of two.
-PART_TASKS_LOG = 10
+#: Counts and document ids that a task holds before it puts all of them out.
+HELD_COUNTS = 800_000
+HELD_TERMS = 100_000
+#: Bytes of counts from which on those of the same source are added up.
+LONG_COUNTS = 4_096
+#: Rows of a batch between Python and Spark.
+BATCH_ROWS = 10_000
 #: Terms and sources of a tile, on average and at most.
 TILE_TERMS = 4_096
 TILE_SOURCES = 64
 
 _TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
-_MASK = (1 << 64) - 1
+_ID = 8
 
-_PIECES = "lang string, source string, block long, chunk binary, n long, docs long"
-_TERMS = "chunk binary, salts int, term binary, k long"
+_CHUNKS = "lang string, chunk binary, docs binary, counts binary"
+_TERMS = "lang string, term binary, docs binary, counts binary"
+_KEPT = "lang string, source string, term binary, n long, n_lang long"
 
 
 def text_pieces(text: bytes, size: int = PIECE_BYTES) -> Iterator[bytes]:
@@ -62,109 +63,217 @@ def text_pieces(text: bytes, size: int = PIECE_BYTES) -> Iterator[bytes]:
     yield text[first:] if first else text
 
 
-class _Blocks:
-    """Chunk counts of a task: up to 64 documents of one language and source per block."""
+def chunk_terms(chunk: bytes) -> dict[bytes, int]:
+    """The terms of a chunk and how often each occurs in it; only A-Z are lower-cased."""
+    return Counter(_TERM.findall(chunk.lower()))
 
-    def __init__(self, task: int):
-        self.next_block, self.open, self.held = task << 32, {}, 0
 
-    def add(self, group: tuple, text: bytes) -> Iterator[pa.RecordBatch]:
-        seen, counts = self.open.get(group) or self.open.setdefault(group, [0, {}])
-        bit, before = 1 << seen, len(counts)
-        for piece in text_pieces(text):
-            for chunk, n in Counter(piece.split()).items():
-                # The count above the bits of the documents.
-                counts[chunk] = (counts.get(chunk, 0) | bit) + (n << 64)
-        self.held += len(counts) - before
-        self.open[group][0] = seen + 1
-        if self.held >= HELD_CHUNKS:
-            yield from self.flush()
-        elif seen + 1 == BLOCK_DOCUMENTS:
-            yield from self._out(group)
-
-    def flush(self) -> Iterator[pa.RecordBatch]:
-        for group in list(self.open):
-            yield from self._out(group)
-
-    def _out(self, group: tuple) -> Iterator[pa.RecordBatch]:
-        counts = self.open.pop(group)[1]
-        n = len(counts)
-        self.held -= n
-        if not n:
-            return
-        docs = np.fromiter((c & _MASK for c in counts.values()), np.uint64, n).view(np.int64)
-        times = np.fromiter((c >> 64 for c in counts.values()), np.int64, n)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([group[0]] * n, pa.string()),
-                pa.array([group[1]] * n, pa.string()),
-                pa.array(np.full(n, self.next_block)),
-                pa.array(list(counts), pa.binary()),
-                pa.array(times),
-                pa.array(docs),
-            ],
-            ["lang", "source", "block", "chunk", "n", "docs"],
-        )
-        self.next_block += 1
+def _number(n: int) -> bytes:
+    """A whole number in as few bytes as it needs, seven bits each."""
+    out = bytearray()
+    while n > 127:
+        out.append(n & 127 | 128)
+        n >>= 7
+    out.append(n)
+    return bytes(out)
 
 
-def _count_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    blocks = _Blocks(TaskContext.get().partitionId())
-    for batch in batches:
-        langs, sources = batch.column("lang").to_pylist(), batch.column("source").to_pylist()
-        texts = batch.column("text")
-        for i in range(batch.num_rows):
-            yield from blocks.add((langs[i], sources[i]), texts[i].as_py())
-    yield from blocks.flush()
+_SMALL = [_number(n) for n in range(1 << 12)]
 
 
-def chunk_terms(chunk: bytes) -> dict[bytes, int]:
-    """The terms of a chunk and how often each occurs in it; only A-Z are lower-cased."""
-    return Counter(_TERM.findall(chunk.lower()))
+def write_count(source: bytes, n: int) -> bytes:
+    """One source's count; several are written one after the other, also twice for a source."""
+    return _number(len(source)) + source + (_SMALL[n] if n < len(_SMALL) else _number(n))
 
 
-def _cut_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        chunks, salts, rows, terms, counts = batch.column("chunk"), batch.column("salts"), [], [], []
-        for i, chunk in enumerate(chunks.to_pylist()):
-            found = chunk_terms(chunk)
-            rows += [i] * len(found)
-            terms += found.keys()
-            counts += found.values()
-        at = pa.array(rows, pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [chunks.take(at), salts.take(at), pa.array(terms, pa.binary()), pa.array(counts, pa.int64())],
-            ["chunk", "salts", "term", "k"],
-        )
+def read_counts(counts: bytes) -> dict[bytes, int]:
+    """Counts by source."""
+    found, i, end = {}, 0, len(counts)
+    while i < end:
+        values = []
+        for _ in range(2):
+            n = shift = 0
+            while counts[i] > 127:
+                n |= (counts[i] & 127) << shift
+                i, shift = i + 1, shift + 7
+            n |= counts[i] << shift
+            i += 1
+            values.append(n)
+            if len(values) == 1:
+                source = counts[i : i + n]
+                i += n
+        found[source] = found.get(source, 0) + values[1]
+    return found
+
+
+def _times(counts: bytes, k: int) -> bytes:
+    return counts if k == 1 else b"".join(write_count(s, n * k) for s, n in read_counts(counts).items())
+
+
+class _Sum:
+    """Documents and counts of rows added up; documents are None where there are ``least`` or more."""
 
+    __slots__ = ("docs", "counts", "longest")
 
-def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """(lang, source, term binary, docs, n): in how many rows of the source a term occurs, and how often.
+    def __init__(self, docs: bytes | None, counts: bytes):
+        self.docs, self.counts, self.longest = docs, counts, LONG_COUNTS
 
-    Nulls count as ''; each row is a document. Only terms that occur have a row.
+    def add(self, docs: bytes | None, counts: bytes, least: int) -> None:
+        if self.docs is None or docs is None:
+            self.docs = None
+        else:
+            both = self.docs + docs
+            ids = {both[i : i + _ID] for i in range(0, len(both), _ID)}
+            self.docs = b"".join(ids) if len(ids) < least else None
+        self.counts += counts
+        if len(self.counts) > self.longest:
+            self.counts = b"".join(write_count(s, n) for s, n in read_counts(self.counts).items())
+            self.longest = LONG_COUNTS + 2 * len(self.counts)
+
+
+def _rows(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "binary": pa.binary(), "long": pa.int64()}
+    fields = [f.split() for f in schema.split(", ")]
+    columns = zip(*rows) if rows else [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], [n for n, _ in fields])
+
+
+def _batched(schema: str, rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    some = []
+    for row in rows:
+        some.append(row)
+        if len(some) == BATCH_ROWS:
+            yield _rows(schema, some)
+            some = []
+    if some:
+        yield _rows(schema, some)
+
+
+class _Chunks:
+    """What a task knows of its documents' chunks."""
+
+    def __init__(self, task: int, least: int):
+        self.next_id, self.least = task << 32, least
+        self._clear()
+
+    def _clear(self) -> None:
+        self.held, self.counts, self.docs = 0, {}, {}
+
+    def add(self, lang: str, source: str, text: bytes) -> None:
+        counts, docs = self.counts.setdefault((lang, source), {}), self.docs.setdefault(lang, {})
+        own, full = self.next_id.to_bytes(_ID, "big"), self.least * _ID
+        self.next_id += 1
+        before, named = len(counts), 0
+        for piece in text_pieces(text):
+            for chunk, n in Counter(piece.split()).items():
+                counts[chunk] = counts.get(chunk, 0) + n
+                known = docs.get(chunk, b"")
+                if len(known) < full and not known.endswith(own):
+                    docs[chunk] = known + own
+                    named += 1
+        self.held += len(counts) - before + named
+
+    def flush(self) -> Iterator[tuple]:
+        for lang, docs in self.docs.items():
+            written: dict[bytes, bytes] = {}
+            for (other, source), counts in self.counts.items():
+                if other != lang:
+                    continue
+                name = source.encode()
+                for chunk, n in counts.items():
+                    written[chunk] = written.get(chunk, b"") + write_count(name, n)
+                counts.clear()
+            for chunk, counts in written.items():
+                known = docs[chunk]
+                yield lang, chunk, known if len(known) < self.least * _ID else None, counts
+        self._clear()
+
+
+def _count_chunks(least: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        chunks = _Chunks(TaskContext.get().partitionId(), least)
+        for batch in batches:
+            langs, sources = batch.column("lang").to_pylist(), batch.column("source").to_pylist()
+            texts = batch.column("text")
+            for i in range(batch.num_rows):
+                chunks.add(langs[i], sources[i], texts[i].as_py())
+                if chunks.held >= HELD_COUNTS:
+                    yield from chunks.flush()
+        yield from chunks.flush()
+
+    return lambda batches: _batched(_CHUNKS, rows(batches))
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str], least: int) -> Iterator[tuple]:
+    """(key, documents, counts) of each run of rows with equal keys, added up."""
+    last, held = None, None
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in (*keys, "docs", "counts")]
+        for *key, docs, counts in zip(*columns):
+            if key == last:
+                held.add(docs, counts, least)
+                continue
+            if last is not None:
+                yield last, held.docs, held.counts
+            last, held = key, _Sum(docs, counts)
+    if last is not None:
+        yield last, held.docs, held.counts
+
+
+def _cut_chunks(least: int):
+    """Rows of terms out of rows sorted by chunk, added up as far as a task can hold them."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        held: dict[tuple, _Sum] = {}
+        chunk, terms = None, {}
+        for (now, lang), docs, counts in _runs(batches, ["chunk", "lang"], least):
+            if now != chunk:
+                chunk, terms = now, chunk_terms(now)
+            for term, k in terms.items():
+                known = held.get((lang, term))
+                if known is None:
+                    held[lang, term] = _Sum(docs, _times(counts, k))
+                else:
+                    known.add(docs, _times(counts, k), least)
+            if len(held) >= HELD_TERMS:
+                yield from ((*key, x.docs, x.counts) for key, x in held.items())
+                held.clear()
+        yield from ((*key, x.docs, x.counts) for key, x in held.items())
+
+    return lambda batches: _batched(_TERMS, rows(batches))
+
+
+def _keep_terms(least: int):
+    """Counts by source of the terms with enough documents, out of rows sorted by term."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for (lang, term), docs, counts in _runs(batches, ["lang", "term"], least):
+            if docs is None or len(docs) >= least * _ID:
+                by_source = read_counts(counts)
+                total = sum(by_source.values())
+                for source, n in by_source.items():
+                    yield lang, source.decode(), term, n, total
+
+    return lambda batches: _batched(_KEPT, rows(batches))
+
+
+def kept_terms(
+    docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_documents: int = MIN_DOCUMENTS
+) -> DataFrame:
+    """(lang, source, term binary, n, n_lang): how often the source and its language have each term
+    that at least ``min_documents`` rows of the language hold; sources without it have no row.
+
+    Nulls count as ''; each row is a document.
     """
+    if min_documents < 1:
+        raise ValueError("min_documents is 1 at least")
     small_batches(docs.sparkSession)
     own = docs.select(*_group(docs, lang, source), _known(docs, text).cast("binary").alias("text"))
-    pieces = staged(own.mapInArrow(_count_chunks, _PIECES), "chunk-counts")
-    sub_keys = F.ceil(F.count("*") / SUB_KEY_ROWS).cast("int").alias("salts")
-    terms = staged(pieces.groupBy("chunk").agg(sub_keys).mapInArrow(_cut_chunks, _TERMS), "chunk-terms")
-    hot = staged(terms.where(F.col("salts") > 1).select("chunk", "salts").distinct(), "frequent-chunks")
-    # Rows of frequent chunks go to sub-keys, and only the terms of those are repeated.
-    spread = pieces.join(hot, "chunk", "left").withColumn(
-        "salt", F.expr("coalesce(int(pmod(xxhash64(block), salts)), 0)")
-    )
-    repeated = terms.withColumn("salt", F.expr("explode(sequence(0, salts - 1))")).drop("salts")
-    joined = spread.drop("salts").join(repeated.hint("merge"), ["chunk", "salt"])
-    part = F.shiftright("block", 32 + PART_TASKS_LOG).alias("part")
-    rows = joined.select("lang", "source", part, "block", "term", (F.col("n") * F.col("k")).alias("n"), "docs")
-    # One shuffle for both: a term's blocks meet where the documents of the blocks are counted.
-    per_block = (
-        rows.repartition("lang", "source", "part", "term")
-        .groupBy("lang", "source", "part", "term", "block")
-        .agg(F.bit_count(F.bit_or("docs")).cast("long").alias("docs"), F.sum("n").alias("n"))
-    )
-    per_part = per_block.groupBy("lang", "source", "part", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
-    return per_part.groupBy("lang", "source", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
+    # A key has a row per task that met it (or per filling of its memory), however often it
+    # occurs, and is added up as a stream: no group is held.
+    chunks = own.mapInArrow(_count_chunks(min_documents), _CHUNKS)
+    terms = chunks.repartition("chunk").sortWithinPartitions("chunk", "lang").mapInArrow(_cut_chunks(min_documents), _TERMS)
+    return terms.repartition("lang", "term").sortWithinPartitions("lang", "term").mapInArrow(_keep_terms(min_documents), _KEPT)
 
 
 def _known(docs: DataFrame, name: str) -> Column:
@@ -278,10 +387,7 @@ def audit_sources(
     source no pairs. Texts of any length are read whole, in parts cut at white space. Only
     the three named columns are read, so others may have any name.
     """
-    counts = staged(term_counts(docs, text, lang, source), "term-counts")
-    by_term = W.partitionBy("lang", "term")
-    kept = counts.withColumns({"docs": F.sum("docs").over(by_term), "n_lang": F.sum("n").over(by_term)})
-    kept = staged(kept.where(F.col("docs") >= min_documents).drop("docs"), "kept-terms")
+    kept = staged(kept_terms(docs, text, lang, source, min_documents), "kept-terms")
     terms = kept.groupBy("lang", "term").agg(F.max("n_lang").alias("n_lang"))
     by_lang = terms.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("n_lang").alias("lang_total"))
     by_source = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))

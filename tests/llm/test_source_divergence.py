@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 import rankloom.llm.source_divergence as sd
@@ -68,36 +69,54 @@ def test_equals_the_definition(spark):
     assert audit(spark, rows) == brute(rows)
 
 
-def test_blocks_tiles_and_sub_keys_do_not_show(spark, monkeypatch):
-    # Workers import the module by name, so what they use is patched where it is read on the driver only.
-    monkeypatch.setattr(sd, "SUB_KEY_ROWS", 2)
+def test_tiles_and_small_memories_do_not_show(spark, monkeypatch):
     monkeypatch.setattr(sd, "TILE_TERMS", 3)
     rows = prose(2, 400, [f"s{i}" for i in range(70)], ("en",)) + [("the the The,", "en", "s0")] * 200
     assert audit(spark, rows, min_documents=3) == brute(rows, least=3)
 
 
-def test_blocks_hold_documents_as_bits():
-    texts = [b"a b a", b"", b"a"] * 50 + [b"z " * 10]
-    blocks, rows = sd._Blocks(3), []
-    for text in texts:
-        for batch in blocks.add(("en", "s"), text):
-            rows += batch.to_pylist()
-    for batch in blocks.flush():
-        rows += batch.to_pylist()
-    assert len({r["block"] for r in rows}) == 3 and all(r["block"] >> 32 == 3 for r in rows)
-    docs, times = Counter(), Counter()
-    for r in rows:
-        docs[r["chunk"]] += bin(r["docs"] & sd._MASK).count("1")
-        times[r["chunk"]] += r["n"]
-    assert docs == {b"a": 100, b"b": 50, b"z": 1} and times == {b"a": 150, b"b": 50, b"z": 10}
-    assert blocks.held == 0 and not blocks.open
-
-
-def test_held_chunks_are_bounded(monkeypatch):
-    monkeypatch.setattr(sd, "HELD_CHUNKS", 10)
-    blocks = sd._Blocks(0)
-    out = sum(b.num_rows for i in range(30) for b in blocks.add(("en", f"s{i}"), f"a{i} b{i} c{i}".encode()))
-    assert blocks.held < 10 and out + blocks.held == 90
+def in_a_task(rows, least, held, monkeypatch):
+    """Kept terms out of the three steps as tasks run them, all rows in one task each."""
+    monkeypatch.setattr(sd, "HELD_COUNTS", held)
+    monkeypatch.setattr(sd, "HELD_TERMS", held)
+    monkeypatch.setattr(sd, "LONG_COUNTS", held)
+    monkeypatch.setattr(sd, "BATCH_ROWS", held)
+
+    def sort(batches, *keys):
+        found = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: [r[k] for k in keys])
+        return [pa.RecordBatch.from_pylist(found[i : i + held], batches[0].schema) for i in range(0, len(found), held)]
+
+    monkeypatch.setattr(sd.TaskContext, "get", classmethod(lambda c: type("T", (), {"partitionId": lambda s: 3})()))
+    texts = pa.RecordBatch.from_pylist([{"text": (t or "").encode(), "lang": l or "", "source": s or ""} for t, l, s in rows])
+    chunks = list(sd._count_chunks(least)(iter([texts])))
+    terms = list(sd._cut_chunks(least)(iter(sort(chunks, "chunk", "lang"))))
+    kept = list(sd._keep_terms(least)(iter(sort(terms, "lang", "term"))))
+    return sum(c.num_rows for c in chunks), sorted(tuple(r.values()) for b in kept for r in b.to_pylist())
+
+
+def test_what_a_task_holds_is_bounded_and_changes_nothing(monkeypatch):
+    rows = prose(3, 300, ["s1", "s2", "é"])
+    few, result = in_a_task(rows, 10, 1 << 30, monkeypatch)
+    many, same = in_a_task(rows, 10, 7, monkeypatch)
+    assert many > few and same == result and result
+
+
+def test_counts_as_bytes():
+    found = {b"": 1, b"s" * 300: 127, b"x": 128, "é".encode(): 1 << 40}
+    written = b"".join(sd.write_count(s, n) for s, n in found.items())
+    assert sd.read_counts(written) == found
+    assert sd.read_counts(written * 3) == {s: 3 * n for s, n in found.items()}
+    assert sd._times(written, 1) == written and sd.read_counts(sd._times(written, 5)) == {s: 5 * n for s, n in found.items()}
+
+
+def test_documents_are_named_up_to_the_number_asked_for():
+    one = sd._Sum(b"a" * 8, b"")
+    one.add(b"a" * 8 + b"b" * 8, b"", 4)
+    assert sorted(one.docs) == sorted(b"a" * 8 + b"b" * 8)
+    one.add(b"c" * 8 + b"d" * 8, b"", 4)
+    assert one.docs is None
+    one.add(b"e" * 8, b"", 4)
+    assert one.docs is None
 
 
 @pytest.mark.parametrize("text", [b"", b" ", b"a", b"ab cd  ef\n" * 20, b"x" * 100 + b" y", b" " * 50])
