@@ -21,23 +21,22 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rankloom.llm.shared import PIECE_BYTES, small_batches, staged
+from rankloom.llm.shared import PIECE_BYTES, flat_bytes, small_batches, staged
 
 MIN_DOCUMENTS = 10
 TOP_TERMS = 10
 
-#: Counts and document ids that a task holds before it puts all of them out.
-HELD_COUNTS = 800_000
+#: Counts and document ids that a task holds before it puts them out, and terms likewise.
+HELD_COUNTS = 600_000
 HELD_TERMS = 100_000
 #: Bytes of counts from which on those of the same source are added up.
-LONG_COUNTS = 4_096
-#: Rows of a batch between Python and Spark.
-BATCH_ROWS = 10_000
+LONG_COUNTS = 1 << 16
 #: Terms and sources of a tile, on average and at most.
 TILE_TERMS = 4_096
 TILE_SOURCES = 64
@@ -88,24 +87,27 @@ def write_count(source: bytes, n: int) -> bytes:
 
 def read_counts(counts: bytes) -> dict[bytes, int]:
     """Counts by source."""
-    found, i, end = {}, 0, len(counts)
+    found: dict[bytes, int] = {}
+    i, end = 0, len(counts)
     while i < end:
-        values = []
-        for _ in range(2):
-            n = shift = 0
-            while counts[i] > 127:
-                n |= (counts[i] & 127) << shift
-                i, shift = i + 1, shift + 7
-            n |= counts[i] << shift
-            i += 1
-            values.append(n)
-            if len(values) == 1:
-                source = counts[i : i + n]
-                i += n
-        found[source] = found.get(source, 0) + values[1]
+        length, i = _read_number(counts, i)
+        source = counts[i : i + length]
+        n, i = _read_number(counts, i + length)
+        found[source] = found.get(source, 0) + n
     return found
 
 
+def _read_number(data: bytes, i: int) -> tuple[int, int]:
+    n = data[i]
+    if n < 128:
+        return n, i + 1
+    n, shift = n & 127, 7
+    while data[i := i + 1] > 127:
+        n |= (data[i] & 127) << shift
+        shift += 7
+    return n | data[i] << shift, i + 1
+
+
 def _times(counts: bytes, k: int) -> bytes:
     return counts if k == 1 else b"".join(write_count(s, n * k) for s, n in read_counts(counts).items())
 
@@ -131,66 +133,72 @@ class _Sum:
             self.longest = LONG_COUNTS + 2 * len(self.counts)
 
 
-def _rows(schema: str, rows: list[tuple]) -> pa.RecordBatch:
-    kinds = {"string": pa.string(), "binary": pa.binary(), "long": pa.int64()}
-    fields = [f.split() for f in schema.split(", ")]
-    columns = zip(*rows) if rows else [()] * len(fields)
-    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], [n for n, _ in fields])
-
-
-def _batched(schema: str, rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-    some = []
-    for row in rows:
-        some.append(row)
-        if len(some) == BATCH_ROWS:
-            yield _rows(schema, some)
-            some = []
-    if some:
-        yield _rows(schema, some)
+def _batch(names: str, *columns: list) -> pa.RecordBatch:
+    kinds = {"lang": pa.string(), "source": pa.string(), "n": pa.int64(), "n_lang": pa.int64()}
+    fields = names.split()
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(n, pa.binary())) for n, c in zip(fields, columns)], fields)
 
 
 class _Chunks:
-    """What a task knows of its documents' chunks."""
+    """What a task knows of its documents' chunks: counts by language and source, and by
+    language the documents of a chunk until there are ``least``."""
 
     def __init__(self, task: int, least: int):
-        self.next_id, self.least = task << 32, least
-        self._clear()
-
-    def _clear(self) -> None:
-        self.held, self.counts, self.docs = 0, {}, {}
+        self.next_id, self.least, self.held = task << 32, least, 0
+        self.counts: dict[tuple, Counter] = {}
+        self.docs: dict[str, dict] = {}
+        self.full: dict[str, set] = {}
 
     def add(self, lang: str, source: str, text: bytes) -> None:
-        counts, docs = self.counts.setdefault((lang, source), {}), self.docs.setdefault(lang, {})
-        own, full = self.next_id.to_bytes(_ID, "big"), self.least * _ID
+        counts = self.counts.setdefault((lang, source), Counter())
+        docs, full = self.docs.setdefault(lang, {}), self.full.setdefault(lang, set())
+        own, last = self.next_id.to_bytes(_ID, "big"), (self.least - 1) * _ID
         self.next_id += 1
-        before, named = len(counts), 0
+        self.held -= len(counts)
         for piece in text_pieces(text):
-            for chunk, n in Counter(piece.split()).items():
-                counts[chunk] = counts.get(chunk, 0) + n
+            chunks = piece.split()
+            counts.update(chunks)
+            for chunk in set(chunks).difference(full):
                 known = docs.get(chunk, b"")
-                if len(known) < full and not known.endswith(own):
+                if known.endswith(own):  # from the piece before
+                    continue
+                if len(known) == last:
+                    full.add(chunk)
+                    docs.pop(chunk, None)
+                    self.held -= last // _ID
+                else:
                     docs[chunk] = known + own
-                    named += 1
-        self.held += len(counts) - before + named
+                    self.held += 1
+        self.held += len(counts)
 
-    def flush(self) -> Iterator[tuple]:
+    def flush(self, everything: bool) -> Iterator[pa.RecordBatch]:
+        """Put out the chunks with few documents, or all. Chunks that are known to have enough
+        documents come again and again, so their counts are best kept for a while."""
         for lang, docs in self.docs.items():
-            written: dict[bytes, bytes] = {}
+            full, written = self.full[lang], {}
             for (other, source), counts in self.counts.items():
                 if other != lang:
                     continue
                 name = source.encode()
+                name = _number(len(name)) + name
+                stay = Counter()
                 for chunk, n in counts.items():
-                    written[chunk] = written.get(chunk, b"") + write_count(name, n)
-                counts.clear()
-            for chunk, counts in written.items():
-                known = docs[chunk]
-                yield lang, chunk, known if len(known) < self.least * _ID else None, counts
-        self._clear()
+                    if not everything and chunk in full:
+                        stay[chunk] = n
+                    else:
+                        written[chunk] = written.get(chunk, b"") + name + (_SMALL[n] if n < len(_SMALL) else _number(n))
+                self.counts[other, source] = stay
+            yield _batch("lang chunk docs counts", [lang] * len(written), list(written), [docs.get(c) for c in written], list(written.values()))
+            docs.clear()
+        self.held = sum(map(len, self.counts.values()))
+        if everything:
+            self.counts.clear()
+            if sum(map(len, self.full.values())) >= HELD_COUNTS:
+                self.full = {lang: set() for lang in self.full}
 
 
 def _count_chunks(least: int):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = _Chunks(TaskContext.get().partitionId(), least)
         for batch in batches:
             langs, sources = batch.column("lang").to_pylist(), batch.column("source").to_pylist()
@@ -198,37 +206,66 @@ def _count_chunks(least: int):
             for i in range(batch.num_rows):
                 chunks.add(langs[i], sources[i], texts[i].as_py())
                 if chunks.held >= HELD_COUNTS:
-                    yield from chunks.flush()
-        yield from chunks.flush()
+                    yield from chunks.flush(False)
+                    if chunks.held >= HELD_COUNTS // 2:
+                        yield from chunks.flush(True)
+        yield from chunks.flush(True)
 
-    return lambda batches: _batched(_CHUNKS, rows(batches))
+    return run
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: list[str], least: int) -> Iterator[tuple]:
-    """(key, documents, counts) of each run of rows with equal keys, added up."""
+    """(*key, documents, counts) of each run of rows with equal keys, added up.
+
+    The bytes of a run's rows lie one after the other in a batch, so only a run that goes
+    on from one batch to the next is added up by hand. Documents are None where a row says
+    that there are enough, else the ids of all rows.
+    """
     last, held = None, None
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in (*keys, "docs", "counts")]
-        for *key, docs, counts in zip(*columns):
+        n = batch.num_rows
+        if not n:
+            continue
+        same = np.ones(n - 1, bool)
+        for key in keys:
+            column = batch.column(key)
+            same &= pc.equal(column.slice(1), column.slice(0, n - 1)).to_numpy(zero_copy_only=False).astype(bool)
+        starts = np.flatnonzero(np.r_[True, ~same])
+        enough = np.logical_or.reduceat(batch.column("docs").is_null().to_numpy(zero_copy_only=False), starts)
+        docs, docs_at = flat_bytes(batch.column("docs"))
+        counts, counts_at = flat_bytes(batch.column("counts"))
+        docs, counts, bounds = docs.tobytes(), counts.tobytes(), np.r_[starts, n]
+        named = [batch.column(key).take(pa.array(starts)).to_pylist() for key in keys]
+        at, more = docs_at[bounds].tolist(), counts_at[bounds].tolist()
+        for i, (key, none) in enumerate(zip(zip(*named), enough.tolist())):
+            own = None if none else docs[at[i] : at[i + 1]]
+            its = counts[more[i] : more[i + 1]]
             if key == last:
-                held.add(docs, counts, least)
+                held.add(own, its, least)
                 continue
             if last is not None:
-                yield last, held.docs, held.counts
-            last, held = key, _Sum(docs, counts)
+                yield *last, held.docs, held.counts
+            last, held = key, _Sum(own, its)
     if last is not None:
-        yield last, held.docs, held.counts
+        yield *last, held.docs, held.counts
 
 
 def _cut_chunks(least: int):
     """Rows of terms out of rows sorted by chunk, added up as far as a task can hold them."""
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    def out(held: dict[tuple, _Sum]) -> pa.RecordBatch:
+        langs, terms = zip(*held) if held else ((), ())
+        return _batch("lang term docs counts", langs, terms, [x.docs for x in held.values()], [x.counts for x in held.values()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, _Sum] = {}
         chunk, terms = None, {}
-        for (now, lang), docs, counts in _runs(batches, ["chunk", "lang"], least):
+        for now, lang, docs, counts in _runs(batches, ["chunk", "lang"], least):
             if now != chunk:
                 chunk, terms = now, chunk_terms(now)
+            # A document is in one row of a chunk only.
+            if docs is not None and len(docs) >= least * _ID:
+                docs = None
             for term, k in terms.items():
                 known = held.get((lang, term))
                 if known is None:
@@ -236,25 +273,33 @@ def _cut_chunks(least: int):
                 else:
                     known.add(docs, _times(counts, k), least)
             if len(held) >= HELD_TERMS:
-                yield from ((*key, x.docs, x.counts) for key, x in held.items())
+                yield out(held)
                 held.clear()
-        yield from ((*key, x.docs, x.counts) for key, x in held.items())
+        yield out(held)
 
-    return lambda batches: _batched(_TERMS, rows(batches))
+    return run
 
 
 def _keep_terms(least: int):
     """Counts by source of the terms with enough documents, out of rows sorted by term."""
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for (lang, term), docs, counts in _runs(batches, ["lang", "term"], least):
-            if docs is None or len(docs) >= least * _ID:
-                by_source = read_counts(counts)
-                total = sum(by_source.values())
-                for source, n in by_source.items():
-                    yield lang, source.decode(), term, n, total
-
-    return lambda batches: _batched(_KEPT, rows(batches))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns: tuple[list, ...] = ([], [], [], [], [])
+        for lang, term, docs, counts in _runs(batches, ["lang", "term"], least):
+            # Rows of a term may name a document twice.
+            if docs is not None and (len(docs) < least * _ID or len({docs[i : i + _ID] for i in range(0, len(docs), _ID)}) < least):
+                continue
+            by_source = read_counts(counts)
+            m = len(by_source)
+            own = ([lang] * m, [s.decode() for s in by_source], [term] * m, by_source.values(), [sum(by_source.values())] * m)
+            for column, values in zip(columns, own):
+                column += values
+            if len(columns[0]) >= HELD_TERMS:
+                yield _batch("lang source term n n_lang", *columns)
+                columns = ([], [], [], [], [])
+        yield _batch("lang source term n n_lang", *columns)
+
+    return run
 
 
 def kept_terms(

@@ -80,7 +80,6 @@ def in_a_task(rows, least, held, monkeypatch):
     monkeypatch.setattr(sd, "HELD_COUNTS", held)
     monkeypatch.setattr(sd, "HELD_TERMS", held)
     monkeypatch.setattr(sd, "LONG_COUNTS", held)
-    monkeypatch.setattr(sd, "BATCH_ROWS", held)
 
     def sort(batches, *keys):
         found = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: [r[k] for k in keys])
