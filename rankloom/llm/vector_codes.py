@@ -31,9 +31,11 @@ ENTRIES = 256
 ROUNDS = 4
 
 #: Numbers of a (vectors x entries) table that a task works on at a time.
-TILE_CELLS = 1 << 18
-#: Coefficients that are added between two looks at which entries are left.
-FIRST_COEFFICIENTS = 4
+TILE_CELLS = 1 << 16
+#: The part of the coefficients that is added for all entries, and how many are added between
+#: two looks at which entries are left.
+FIRST_SHARE = 0.75
+COEFFICIENTS_AT_ONCE = 4
 _LONGEST = (1 << 63) - 1
 _LIMB = 10**25
 
@@ -85,21 +87,25 @@ def nearest(parts: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndar
 def _nearest_of_tile(rows: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Entries and scaled distances: the first coefficients for all entries, then only for those left."""
     size, kind = rows.shape[1], rows.dtype
-    done = min(FIRST_COEFFICIENTS, size)
+    done = max(1, int(size * FIRST_SHARE))
+    by_row, by_entry = np.ascontiguousarray(rows.T), np.ascontiguousarray(book.T)
     reached = np.zeros((len(rows), len(book)), kind)
     for c in range(done):
-        gap = rows[:, c, None] - book[None, :, c]
-        reached += gap * gap
+        gap = by_row[c][:, None] - by_entry[c]
+        gap *= gap
+        reached += gap
     # The whole distance of the entry that leads so far is a bound: what exceeds it is out.
     leads = reached.argmin(1)
     bound = ((rows - book[leads]) ** 2).sum(1)
     row, entry = np.nonzero(reached <= bound[:, None])
-    reached = reached[row, entry]
+    reached, bound = reached[row, entry], bound[row]
     while done < size:
-        upto = min(size, 2 * done)
-        reached = reached + ((rows[row, done:upto] - book[entry, done:upto]) ** 2).sum(1)
-        left = reached <= bound[row]
-        row, entry, reached, done = row[left], entry[left], reached[left], upto
+        upto = min(size, done + COEFFICIENTS_AT_ONCE)
+        for c in range(done, upto):
+            gap = by_row[c].take(row) - by_entry[c].take(entry)
+            reached += gap * gap
+        left = reached <= bound
+        row, entry, reached, bound, done = row[left], entry[left], reached[left], bound[left], upto
     # The first of a row's entries with the least distance; rows and entries are in order.
     starts = np.searchsorted(row, np.arange(len(rows)))
     least = np.minimum.reduceat(reached, starts)

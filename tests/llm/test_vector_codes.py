@@ -60,7 +60,7 @@ def test_walsh_keeps_distances_and_counts_sign_changes():
     assert (((vc.walsh(a) - vc.walsh(b)) ** 2).sum(1) == 16 * ((a - b) ** 2).sum(1)).all()
 
 
-@pytest.mark.parametrize("width", [1, 3, 7, 16, 33])
+@pytest.mark.parametrize("width", [1, 3, 7, 16, 33, 70])
 @pytest.mark.parametrize("high", [2, 1000, 1 << 40])
 def test_nearest_equals_all_distances(width, high, monkeypatch):
     monkeypatch.setattr(vc, "TILE_CELLS", 500)
