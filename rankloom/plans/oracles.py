@@ -655,6 +655,12 @@ UNION ALL SELECT 'importance adds up to 1', 1 UNION ALL SELECT 'metrics', 3 * (5
 UNION ALL SELECT 'metrics from 0 to 1', 1 UNION ALL SELECT 'accuracy of the scored rows', 1
 UNION ALL SELECT 'scored pairs', count(*) FROM pairs""",
     )
+    sql["training_curve"] = """SELECT 'points' AS "check", CAST(2 * 100 // 10 AS BIGINT) AS value
+UNION ALL SELECT 'rounds', 100 UNION ALL SELECT 'last round is the model', 2
+UNION ALL SELECT 'auroc and error from 0 to 1', 1 UNION ALL SELECT 'training loss falls', 1"""
+    sql["tune_checks"] = """SELECT 'settings rated' AS "check", CAST(3 * 2 * 2 * 2 AS BIGINT) AS value
+UNION ALL SELECT 'first of the highest auroc is taken', 1
+UNION ALL SELECT 'metrics from 0 to 1', 1 UNION ALL SELECT 'trees of the best', 1"""
     sql["all_metrics"] = with_(ALL_BY_SPLIT, "SELECT split, family, metric, round(value, 6) AS value FROM long")
     sql["metrics_pivot"] = with_(
         ALL_BY_SPLIT,

@@ -8,7 +8,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.constants import (
@@ -544,6 +544,15 @@ def _model_features(spark, folder) -> DataFrame:
     return stage(feature_table(base, vectors=text_vectors_view(spark, folder, base)), "features")
 
 
+def _all(column: Column) -> Column:
+    """1 if it holds of every row."""
+    return F.min(column.cast("bigint")).alias("value")
+
+
+def _checks(parts: dict[str, DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("check"), "value") for name, df in parts.items()])
+
+
 @query
 def train_and_score(spark, folder):
     features = _model_features(spark, folder)
@@ -560,16 +569,15 @@ def model_checks(spark, folder):
     right = (F.col("y_prob") >= 0.5).cast("int") == F.col("label")
     again = model.score(trained, features).groupBy("split").agg(F.avg(right.cast("int")).alias("again"))
     agree = metrics.where("metric = 'accuracy'").join(again, "split")
-    true = lambda column: F.min(column.cast("bigint")).alias("value")
     parts = {
         "features": weights.agg(F.count("*").alias("value")),
         "importance adds up to 1": weights.agg((F.abs(F.sum("importance") - 1) < 1e-6).cast("bigint").alias("value")),
         "metrics": metrics.agg(F.count("*").alias("value")),
-        "metrics from 0 to 1": metrics.agg(true(F.col("value").between(0, 1))),
-        "accuracy of the scored rows": agree.agg(true(F.abs(F.col("value") - F.col("again")) < 1e-9)),
+        "metrics from 0 to 1": metrics.agg(_all(F.col("value").between(0, 1))),
+        "accuracy of the scored rows": agree.agg(_all(F.abs(F.col("value") - F.col("again")) < 1e-9)),
         "scored pairs": model.score(trained, features).agg(F.count("*").alias("value")),
     }
-    return functools.reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("check"), "value") for name, df in parts.items()])
+    return _checks(parts)
 
 
 @query
@@ -583,6 +591,40 @@ def top_features(spark, folder):
     return model.top_features(model.importance_table(trained, spark))
 
 
+@query
+def training_curve(spark, folder):
+    """What must hold of the curve over the evaluation sets: (check, value)."""
+    features = _model_features(spark, folder)
+    trained = model.train(features)
+    curve = stage(model.training_curve(trained, features), "curve")
+    metrics = model.evaluate(trained, features).where("metric = 'auroc'").select("split", F.col("value").alias("whole"))
+    last = curve.where(F.col("round") == len(trained.trees)).join(metrics, "split")
+    losses = curve.where("split = 'train'").agg(F.max_by("log_loss", "round").alias("last"), F.min_by("log_loss", "round").alias("first"))
+    parts = {
+        "points": curve.agg(F.count("*").alias("value")),
+        "rounds": curve.agg(F.max("round").cast("bigint").alias("value")),
+        "last round is the model": last.agg(F.sum((F.abs(F.col("auroc") - F.col("whole")) < 1e-9).cast("bigint")).alias("value")),
+        "auroc and error from 0 to 1": curve.agg(_all(F.col("auroc").between(0, 1) & F.col("error").between(0, 1))),
+        "training loss falls": losses.select((F.col("last") < F.col("first")).cast("bigint").alias("value")),
+    }
+    return _checks(parts)
+
+
+@query
+def tune_checks(spark, folder):
+    """What must hold of a grid search: (check, value)."""
+    best, settings, results = model.grid_search(_model_features(spark, folder), QUICK_GRID)
+    same = functools.reduce(lambda a, b: a & b, [F.col(n) == float(settings[n]) for n in QUICK_GRID])
+    top = results.select(F.min_by("grid_idx", F.struct(-F.col("auroc"), F.col("grid_idx"))).alias("top"))
+    parts = {
+        "settings rated": results.agg(F.count_distinct(*QUICK_GRID).cast("bigint").alias("value")),
+        "first of the highest auroc is taken": results.where(same).agg(_all(F.col("grid_idx") == top.scalar())),
+        "metrics from 0 to 1": results.agg(_all(functools.reduce(lambda a, b: a & b, [F.col(c).between(0, 1) for c in ("auroc", "mrr", "f1")]))),
+        "trees of the best": results.limit(1).select((F.lit(len(best.trees)) == settings["n_estimators"]).cast("bigint").alias("value")),
+    }
+    return _checks(parts)
+
+
 @query
 def tune_best(spark, folder):
     _, settings, results = model.grid_search(_model_features(spark, folder), QUICK_GRID)

@@ -2,36 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassificationModel
 from pyspark.sql import DataFrame
 
 from rankloom.constants import FULL_GRID, QUICK_GRID
-from rankloom.operators.model import evaluate, grid_search, importance_table, top_features, train
+from rankloom.operators.boosting import AT_ONCE, BoostedTrees
+from rankloom.operators.model import (
+    evaluate,
+    grid_search,
+    importance_table,
+    save_model,
+    top_features,
+    train,
+    training_curve,
+)
 from rankloom.sources.writers import write_json
 
 
-def save_run(model: GBTClassificationModel, metrics: DataFrame, output: str) -> None:
+def save_run(model: BoostedTrees, metrics: DataFrame, output: str) -> None:
     """Model, metrics and importance (highest first) under ``output``."""
-    model.write().overwrite().save(f"{output}/model")
+    save_model(model, metrics.sparkSession, f"{output}/model")
     write_json(metrics, f"{output}/metrics.json")
     importance = importance_table(model, metrics.sparkSession)
     write_json(top_features(importance, n=importance.count()), f"{output}/feature_importance.json")
 
 
 def train_run(features: DataFrame, output: str | None = None, **overrides):
-    """Fit, rate all three splits, save. Keyword arguments replace single parameters."""
+    """Fit, rate all three splits, save, with the curve over the evaluation sets. Keyword
+    arguments replace single parameters."""
     model = train(features, overrides)
     metrics = evaluate(model, features)
     if output:
         save_run(model, metrics, output)
+        write_json(training_curve(model, features), f"{output}/training_curve.json")
     return model, metrics
 
 
 def tuning_run(
-    features: DataFrame, output: str | None = None, quick: bool = False, grid: dict | None = None, parallelism: int = 4
+    features: DataFrame, output: str | None = None, quick: bool = False, grid: dict | None = None, at_once: int = AT_ONCE
 ):
     """Grid search on the validation split, then the best model on the test split."""
-    model, settings, results = grid_search(features, grid or (QUICK_GRID if quick else FULL_GRID), parallelism)
+    model, settings, results = grid_search(features, grid or (QUICK_GRID if quick else FULL_GRID), at_once)
     metrics = evaluate(model, features.where("split = 'test'"))
     if output:
         save_run(model, metrics, output)

@@ -24,7 +24,7 @@ def test_query_equals_sql(spark, tables, name):
     assert compare(spark, tables, QUERIES[name], SQL[name], FOLDER) == []
 
 
-# The grid of tune_best takes minutes; test_runs.py covers the search with a small one.
+# tune_checks runs the grid of tune_best; test_runs.py covers the search with a small one.
 @pytest.mark.parametrize("name", ["train_and_score", "feature_importance", "top_features"])
 def test_model_query_runs(spark, name):
     assert not QUERIES[name](spark, FOLDER).isEmpty()

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankloom.constants import FULL_GRID, MODEL_FEATURES, QUICK_GRID
-from rankloom.operators.model import classifier, expand_grid, grid_search, importance_table, model_matrix, train
+from rankloom.operators.model import expand_grid, importance_table, load_model, model_matrix, score, train
 from rankloom.operators.digest import sample_exact
 from rankloom.operators.splits import split_by_hash
 from rankloom.plans.dataset import build_dataset
@@ -59,6 +59,10 @@ def test_training_and_retrieval_runs(spark, dataset):
     assert [r.feature for r in importance] == MODEL_FEATURES
     assert sum(r.importance for r in importance) == pytest.approx(1.0)
     assert spark.read.json(f"{root}/model/feature_importance.json").count() == 17
+    curve = {(r.split, r.round): r.auroc for r in spark.read.json(f"{root}/model/training_curve.json").collect()}
+    assert curve == {("train", 3): pytest.approx(values["train", "auroc"]), ("validation", 3): pytest.approx(values["validation", "auroc"])}
+    ours, read = (sorted(map(tuple, score(m, tables.features).collect())) for m in (model, load_model(spark, f"{root}/model/model")))
+    assert ours == read
     rows = baseline_run(spark, f"{root}/out/processed/features.parquet", f"{root}/base").collect()
     assert {r.method for r in rows} == {"semantic", "bm25", "tfidf"}
     for r in rows:
@@ -78,15 +82,13 @@ def test_tuning_run_picks_the_best_auroc(spark, dataset):
 def test_model_parameters(spark, dataset):
     _, tables = dataset
     assert len(expand_grid(QUICK_GRID)) == 24 and len(expand_grid(FULL_GRID)) == 2916
-    gbt = classifier({"max_depth": 4})
-    assert gbt.getMaxDepth() == 4 and gbt.getMaxIter() == 100 and gbt.getStepSize() == 0.1
     with pytest.raises(ValueError):
-        classifier({"depth": 4})
+        train(tables.features, {"depth": 4})
     matrix = model_matrix(tables.features)
     assert [c for c in matrix.columns if c in MODEL_FEATURES] == MODEL_FEATURES
     assert matrix.where("isnan(bm25_score)").isEmpty()
-    assert train(tables.features, {"n_estimators": 1, "max_depth": 2}).getNumTrees == 1
-    assert grid_search is not None
+    small = train(tables.features, {"n_estimators": 1, "max_depth": 2})
+    assert len(small.trees) == 1 and small.settings["max_depth"] == 2 and small.settings["learning_rate"] == 0.1
 
 
 def test_reader_guards_and_order(spark, tmp_path):
