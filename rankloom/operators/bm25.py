@@ -50,8 +50,11 @@ def term_weights(corpus: DataFrame) -> DataFrame:
     """(term, df, idf) of a corpus table; negative weights are replaced by
     epsilon times the mean weight over all terms."""
     terms = explode_rows(corpus, items=F.col("terms"), out="term")
-    counts = terms.groupBy("term").agg(F.count("*").alias("df"))
-    n_docs = corpus_size(corpus)["n_docs"]
+    return idf_of(terms.groupBy("term").agg(F.count("*").alias("df")), corpus_size(corpus)["n_docs"])
+
+
+def idf_of(counts: DataFrame, n_docs: Column) -> DataFrame:
+    """(term, df, idf) of document counts (term, df)."""
     raw = counts.select(
         "term", "df", (F.log(n_docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")
     )
@@ -59,8 +62,9 @@ def term_weights(corpus: DataFrame) -> DataFrame:
     return raw.select("term", "df", F.when(F.col("raw") < 0, floor).otherwise(F.col("raw")).alias("idf"))
 
 
-def matched_scores(pairs: DataFrame, corpus: DataFrame, key: str = "pair_id") -> DataFrame:
-    """(key, bm25_score) for the pairs that share at least one term; ``corpus`` is a corpus table."""
+def matched_scores(pairs: DataFrame, weights: DataFrame, size: Column, key: str = "pair_id") -> DataFrame:
+    """(key, bm25_score) for the pairs that share at least one term, by ``term_weights`` and
+    ``corpus_size`` of a corpus."""
     texts = with_tokens(pairs.select(key, "question", "document"))
     shared = explode_rows(
         with_shared_terms(texts, "q_tokens", "d_tokens", "shared"),
@@ -71,8 +75,7 @@ def matched_scores(pairs: DataFrame, corpus: DataFrame, key: str = "pair_id") ->
     )
     shared = shared.selectExpr(key, "doc_len", "s.value AS term", "s.n AS tf", "s.query_n AS query_n")
     shared = stage(shared, "shared-terms")
-    weighted = salted_lookup(shared, term_weights(corpus), ["term"], spread=key, how="inner")
-    size = corpus_size(corpus)
+    weighted = salted_lookup(shared, weights, ["term"], spread=key, how="inner")
     tf = F.col("tf")
     length_norm = F.lit(1 - BM25_B) + F.lit(BM25_B) * F.col("doc_len") / size["avg_len"]
     gain = F.col("query_n") * F.col("idf") * tf * (BM25_K1 + 1) / (tf + F.lit(BM25_K1) * length_norm)
@@ -98,15 +101,19 @@ def with_bm25(
     texts = pairs if texts is None else texts
     own = corpus_texts is None or corpus_texts.isEmpty()
     corpus = corpus_table(texts, "document") if own else corpus_table(corpus_texts, corpus_column)
-    scored = pairs.join(matched_scores(texts, corpus, key), key, "left").withColumn(
-        "bm25_score", F.coalesce("bm25_score", F.lit(0.0))
-    )
+    scores = matched_scores(texts, term_weights(corpus), corpus_size(corpus), key)
+    scored = pairs.join(scores, key, "left").withColumn("bm25_score", F.coalesce("bm25_score", F.lit(0.0)))
     if own or complete:
         return scored
+    return with_known(scored, texts, corpus.select("doc_key"), key)
+
+
+def with_known(scored: DataFrame, texts: DataFrame, doc_keys: DataFrame, key: str) -> DataFrame:
+    """``scored`` with NaN for the pairs whose document is not among the keys of a corpus."""
     doc_key = text_key(normalize_whitespace(F.col("document")))
     known = salted_lookup(
         texts.select(key, doc_key.alias("doc_key")),
-        corpus.select("doc_key"),
+        doc_keys,
         ["doc_key"],
         spread=key,
         how="inner",

@@ -81,7 +81,11 @@ def gram_weights(texts: DataFrame) -> DataFrame:
 
 
 def _weights(grams: DataFrame, total) -> DataFrame:
-    counts = grams.groupBy("gram").agg(F.sum("weight").alias("df"), F.count("*").alias("n_texts"))
+    return idf_of_grams(grams.groupBy("gram").agg(F.sum("weight").alias("df"), F.count("*").alias("n_texts")), total)
+
+
+def idf_of_grams(counts: DataFrame, total) -> DataFrame:
+    """(gram, df, n_texts, idf) of counts (gram, df, n_texts) in ``total`` texts."""
     return counts.withColumn("idf", F.log((total + 1.0) / (F.col("df") + 1.0)) + 1.0)
 
 
@@ -90,11 +94,13 @@ def cosines(
     fit_texts: DataFrame | None = None,
     key: str = "pair_id",
     own_texts: DataFrame | None = None,
+    weights: DataFrame | None = None,
 ) -> DataFrame:
     """(key, tfidf_similarity) for the pairs that share at least one known gram.
 
     ``fit_texts`` (column ``text``) sets vocabulary and weights; without it, or without rows in it,
-    the pairs' own texts do. ``own_texts`` may give those as (text, weight)."""
+    the pairs' own texts do. ``own_texts`` may give those as (text, weight). ``weights``
+    (gram, df, n_texts, idf) of an earlier corpus take the place of ``fit_texts``."""
     if own_texts is None:
         own_texts = pair_texts(pairs)
     if fit_texts is not None and fit_texts.isEmpty():
@@ -102,12 +108,15 @@ def cosines(
     # Every text is cut into grams once; lengths and weights both start from this table.
     different = distinct_texts(own_texts)
     own_grams = stage(text_grams(different, "weight"), "text-grams")
-    if fit_texts is None:
+    if weights is not None:
+        fitted, weights = True, stage(weights, "gram-weights")
+    elif fit_texts is None:
+        fitted = False
         copies = F.sum("weight") if "weight" in own_texts.columns else F.count("*")
         weights = stage(_weights(own_grams, own_texts.agg(copies).scalar()), "gram-weights")
     else:
-        weights = stage(gram_weights(fit_texts), "gram-weights")
-    hot_grams = largest(weights, ["gram"], "n_texts") if fit_texts is None else None
+        fitted, weights = True, stage(gram_weights(fit_texts), "gram-weights")
+    hot_grams = None if fitted else largest(weights, ["gram"], "n_texts")
     idf = weights.select("gram", "idf")
 
     squares = salted_lookup(
@@ -151,9 +160,11 @@ def with_tfidf(
     key: str = "pair_id",
     texts: DataFrame | None = None,
     own_texts: DataFrame | None = None,
+    weights: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``tfidf_similarity``; pairs without a common gram get 0. ``texts`` is as in
-    ``with_bm25``."""
-    return pairs.join(cosines(pairs if texts is None else texts, fit_texts, key, own_texts), key, "left").withColumn(
+    ``with_bm25``, ``weights`` as in ``cosines``."""
+    found = cosines(pairs if texts is None else texts, fit_texts, key, own_texts, weights)
+    return pairs.join(found, key, "left").withColumn(
         "tfidf_similarity", F.coalesce("tfidf_similarity", F.lit(0.0))
     )

@@ -511,6 +511,14 @@ FROM bm25 JOIN known USING (pair_id)""",
     sql["tfidf_idf"] = with_(
         gram_idf_ctes("SELECT text FROM documents"), "SELECT gram, df, round(idf, 6) AS idf FROM gram_idf"
     )
+    sql["bm25_idf_from_batches"] = sql["bm25_term_idf"]
+    sql["bm25_saved_corpus"] = sql["bm25_reference_corpus"]
+    sql["tfidf_idf_from_batches"] = sql["tfidf_idf"]
+    texts = f"SELECT DISTINCT {norm('text')} AS text FROM documents"
+    sql["vector_store_runs"] = f"""WITH part AS ({texts} WHERE doc_id % 2 = 0), whole AS ({texts})
+SELECT CAST(1 AS BIGINT) AS run, count(*) AS encoded, count(*) AS stored FROM part
+UNION ALL SELECT 2, count(*) - (SELECT count(*) FROM part), count(*) FROM whole
+UNION ALL SELECT 3, 0, count(*) FROM whole"""
     sql["tfidf_similarity"] = with_(
         PAIRS + "," + TFIDF, "SELECT pair_id, round(tfidf_similarity, 6) AS tfidf_similarity FROM tfidf"
     )

@@ -20,7 +20,7 @@ from rankloom.constants import (
 )
 from rankloom.functions.extract import first_text
 from rankloom.functions.text import normalize_whitespace, question_type, title_word_count, tokenize
-from rankloom.operators import baseline, bm25, classification, lexical, model, pairs, qa, ranking, tfidf
+from rankloom.operators import baseline, bm25, classification, lexical, model, pairs, qa, ranking, statistics, tfidf, vector_store
 from rankloom.operators.digest import sample_exact
 from rankloom.operators.features import feature_table
 from rankloom.operators.semantic import vector_cosines
@@ -349,11 +349,64 @@ def bm25_reference_corpus(spark, folder):
     split = stage(split_by_hash(pairs_view(spark, folder)), "pairs-split")
     corpus = split.where("split = 'train' AND label = 1").select("document")
     scored = bm25.with_bm25(split, corpus).select("pair_id", "bm25_score")
+    return _known_scores(scored)
+
+
+def _known_scores(scored: DataFrame) -> DataFrame:
     return rounded(scored.withColumn("in_corpus", (~F.isnan("bm25_score")).cast("int")).withColumn(
         "bm25_score", ranking.nan_to_null(F.col("bm25_score"))
     ))
 
 
+def _halves(df: DataFrame, name: str) -> list[DataFrame]:
+    """Two parts of a table that share every sixteenth row, by the hash of a column."""
+    place = F.pmod(F.xxhash64(name), F.lit(16))
+    return [df.where(place < 8), df.where(place >= 7)]
+
+
+@query
+def bm25_idf_from_batches(spark, folder):
+    """Statistics added up over two batches with common documents: as those of one corpus."""
+    path = scratch_path(spark, "bm25-statistics")
+    for part in _halves(table(spark, folder, "documents").select("doc_id", "text"), "doc_id"):
+        statistics.add_documents(part, path, "text")
+    return rounded(statistics.saved_term_weights(spark, path))
+
+
+@query
+def tfidf_idf_from_batches(spark, folder):
+    path, docs = scratch_path(spark, "tfidf-statistics"), table(spark, folder, "documents").select("doc_id", "text")
+    even = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    for part in (docs.where(even), docs.where(~even)):
+        statistics.add_fit_texts(part, path)
+    return rounded(statistics.saved_gram_weights(spark, path).select("gram", "df", "idf"))
+
+
+@query
+def bm25_saved_corpus(spark, folder):
+    """``bm25_reference_corpus`` by statistics that were saved before, batch by batch."""
+    split, path = stage(split_by_hash(pairs_view(spark, folder)), "pairs-split"), scratch_path(spark, "bm25-statistics")
+    for part in _halves(split.where("split = 'train' AND label = 1"), "pair_id"):
+        statistics.add_documents(part, path)
+    scored = statistics.with_saved_bm25(split, path).select("pair_id", "bm25_score")
+    return _known_scores(scored)
+
+
+@query
+def vector_store_runs(spark, folder):
+    """Two runs over the documents, the second over all of them: (run, encoded, stored)."""
+    path, docs = scratch_path(spark, "vector-store"), table(spark, folder, "documents").select("doc_id", "text")
+    encoder = lambda text: F.array(F.length(text).cast("float"), F.ascii(text).cast("float"))
+    runs = []
+    for i, part in enumerate((docs.where(F.pmod("doc_id", F.lit(2)) == 0), docs, docs), 1):
+        lacking = vector_store.missing_texts(part, vector_store.stored_vectors(spark, path, "stand-in"))
+        encoded = stage(lacking.agg(F.count("*").alias("encoded")), "encoded")
+        # Counted now: within one plan, scans of one folder are taken for the same.
+        stored = stage(vector_store.add_texts(part, encoder, "stand-in", path).agg(F.count("*").alias("stored")), "stored")
+        runs.append(encoded.select(F.lit(i).cast("bigint").alias("run"), "encoded", stored.scalar().alias("stored")))
+    return functools.reduce(DataFrame.unionByName, runs)
+
+
 @query
 def tfidf_idf(spark, folder):
     return rounded(tfidf.gram_weights(_documents(spark, folder).select("text")).select("gram", "df", "idf"))
