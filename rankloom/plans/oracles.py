@@ -107,7 +107,7 @@ lex AS (
          {first_token_type('question')} AS question_type
   FROM tok
 ),
-lexical AS (
+lexical AS MATERIALIZED (
   SELECT *, token_overlap / greatest(query_length, 1)::DOUBLE AS token_overlap_ratio,
          token_overlap / greatest(document_length, 1)::DOUBLE AS normalized_overlap
   FROM lex
@@ -117,9 +117,9 @@ lexical AS (
 def bm25_ctes(corpus: str) -> str:
     """``corpus``: a query giving distinct normalised documents as ``document``."""
     return f"""
-corpus AS ({corpus}),
+corpus AS MATERIALIZED ({corpus}),
 corpus_tok AS MATERIALIZED (SELECT document, {tokens('document')} AS t FROM corpus),
-corpus_size AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM corpus_tok),
+corpus_size AS MATERIALIZED (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM corpus_tok),
 term_df AS (
   SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(t)) AS term FROM corpus_tok) GROUP BY term
 ),
@@ -140,12 +140,12 @@ d_terms AS MATERIALIZED (
   SELECT document, term, count(*) AS tf, any_value(dl) AS dl
   FROM (SELECT document, len(t) AS dl, unnest(t) AS term FROM d_toks) GROUP BY document, term
 ),
-bm25_sums AS (
+bm25_sums AS MATERIALIZED (
   SELECT pair_id, sum(qn * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS s
   FROM pairs JOIN q_terms USING (question) JOIN d_terms USING (document, term) JOIN term_idf USING (term), corpus_size
   GROUP BY pair_id
 ),
-bm25 AS (SELECT pair_id, coalesce(s, 0.0) AS bm25_score FROM pairs LEFT JOIN bm25_sums USING (pair_id))"""
+bm25 AS MATERIALIZED (SELECT pair_id, coalesce(s, 0.0) AS bm25_score FROM pairs LEFT JOIN bm25_sums USING (pair_id))"""
 
 
 def grams(x: str) -> str:
@@ -155,8 +155,8 @@ def grams(x: str) -> str:
 def gram_idf_ctes(texts: str) -> str:
     """``texts``: a query giving all texts, repeats included, as ``text``."""
     return f"""
-texts AS ({texts}),
-text_words AS (SELECT regexp_extract_all(lower(coalesce(text, '')), '{LONG_WORD}') AS w FROM texts),
+texts AS MATERIALIZED ({texts}),
+text_words AS MATERIALIZED (SELECT regexp_extract_all(lower(coalesce(text, '')), '{LONG_WORD}') AS w FROM texts),
 gram_df AS (
   SELECT gram, count(*) AS df FROM (SELECT unnest(list_distinct({grams('w')})) AS gram FROM text_words) GROUP BY gram
 ),
@@ -167,13 +167,13 @@ gram_idf AS MATERIALIZED (
 
 def side_weights(side: str, column: str) -> str:
     return f"""
-{side}_words AS (SELECT pair_id, regexp_extract_all(lower(coalesce({column}, '')), '{LONG_WORD}') AS w FROM pairs),
-{side}_weights AS (
+{side}_words AS MATERIALIZED (SELECT pair_id, regexp_extract_all(lower(coalesce({column}, '')), '{LONG_WORD}') AS w FROM pairs),
+{side}_weights AS MATERIALIZED (
   SELECT pair_id, gram, count(*) * any_value(idf) AS wt
   FROM (SELECT pair_id, unnest({grams('w')}) AS gram FROM {side}_words) JOIN gram_idf USING (gram)
   GROUP BY pair_id, gram
 ),
-{side}_norm AS (SELECT pair_id, sqrt(sum(wt * wt)) AS len FROM {side}_weights GROUP BY pair_id)"""
+{side}_norm AS MATERIALIZED (SELECT pair_id, sqrt(sum(wt * wt)) AS len FROM {side}_weights GROUP BY pair_id)"""
 
 
 TFIDF = (
@@ -183,11 +183,11 @@ TFIDF = (
     + ","
     + side_weights("d", "document")
     + """,
-dots AS (
+dots AS MATERIALIZED (
   SELECT pair_id, sum(q.wt * d.wt) AS dot
   FROM q_weights q JOIN d_weights d USING (pair_id, gram) GROUP BY pair_id
 ),
-tfidf AS (
+tfidf AS MATERIALIZED (
   SELECT pair_id, coalesce(dot / (q.len * d.len), 0.0) AS tfidf_similarity
   FROM pairs LEFT JOIN dots USING (pair_id) LEFT JOIN q_norm q USING (pair_id) LEFT JOIN d_norm d USING (pair_id)
 )"""
@@ -207,10 +207,10 @@ def vec_of(x: str) -> str:
 
 
 SEMANTIC = f"""
-vec_texts AS (SELECT {norm('question')} AS text FROM pairs UNION SELECT {norm('document')} FROM pairs),
+vec_texts AS MATERIALIZED (SELECT {norm('question')} AS text FROM pairs UNION SELECT {norm('document')} FROM pairs),
 text_vec AS MATERIALIZED (SELECT text, embedding FROM vec_texts JOIN embeddings ON vec_id = {vec_of('text')}),
 normed AS MATERIALIZED (SELECT pair_id, {norm('question')} AS q_norm, {norm('document')} AS d_norm FROM pairs),
-semantic AS (
+semantic AS MATERIALIZED (
   SELECT pair_id, coalesce({cos('a.embedding', 'b.embedding')}, 0.0) AS semantic_cosine_similarity
   FROM normed LEFT JOIN text_vec a ON a.text = q_norm LEFT JOIN text_vec b ON b.text = d_norm
 )"""
@@ -229,7 +229,7 @@ FEATURES = (
     + ","
     + SEMANTIC
     + f""",
-features AS (
+features AS MATERIALIZED (
   SELECT pair_id, question_id, {norm('question')} AS question, {norm('document')} AS document, label, pair_type,
          source_doc_question_id, semantic_cosine_similarity, token_overlap, token_overlap_ratio,
          tfidf_similarity, bm25_score, document_length, query_length, question_type,
