@@ -83,5 +83,25 @@ def feature_table(
     return scored.select(*preferred, *[c for c in scored.columns if c not in preferred])
 
 
+def score_table(pairs: DataFrame, scores: list[str], vectors: DataFrame | None = None) -> DataFrame:
+    """(pair_id, question_id, label) and the named ones of the three corpus-level scores.
+
+    For who wants to rank by a score: what the others and the row-level features need is
+    not computed. Values are those of ``feature_table``; pair ids have to be unique."""
+    makers = {
+        "bm25_score": lambda df, texts: with_bm25(df, texts=texts),
+        "tfidf_similarity": lambda df, texts: with_tfidf(df, texts=texts),
+        "semantic_cosine_similarity": lambda df, texts: with_semantic(df, vectors, texts=texts),
+    }
+    unknown = sorted(set(scores) - set(makers))
+    if unknown:
+        raise ValueError(f"no such scores: {unknown}")
+    texts = pairs.withColumns({c: normalize_whitespace(F.col(c)) for c in ("question", "document")})
+    scored = pairs.select("pair_id", "question_id", "label")
+    for name in scores:
+        scored = makers[name](scored, texts)
+    return scored.select("pair_id", "question_id", "label", *scores)
+
+
 def feature_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in KEY_COLUMNS]

@@ -22,7 +22,7 @@ from rankloom.functions.extract import first_text
 from rankloom.functions.text import normalize_whitespace, question_type, title_word_count, tokenize
 from rankloom.operators import baseline, bm25, classification, lexical, model, pairs, qa, ranking, statistics, tfidf, vector_store
 from rankloom.operators.digest import sample_exact
-from rankloom.operators.features import feature_table
+from rankloom.operators.features import feature_table, score_table
 from rankloom.operators.semantic import vector_cosines
 from rankloom.operators.splits import (
     concat_splits,
@@ -475,15 +475,16 @@ def ranking_metrics(spark, folder):
     return plain_names(rounded(ranking.ranking_metrics(scored, score="score")))
 
 
-def _stable_scores(spark, folder) -> DataFrame:
-    """Features with the three baseline scores rounded, so that engines rank alike."""
-    scored = _features(spark, folder).select("pair_id", "question_id", "label", *BASELINE_SCORES.values())
-    return stage(rounded(scored), "scores")
+def _stable_scores(spark, folder, *names: str) -> DataFrame:
+    """The named baseline scores (all three, unless named), rounded so that engines rank alike."""
+    base, names = pairs_view(spark, folder), names or tuple(BASELINE_SCORES.values())
+    vectors = text_vectors_view(spark, folder, base) if "semantic_cosine_similarity" in names else None
+    return stage(rounded(score_table(base, list(names), vectors)), "scores")
 
 
 def _top(score: str) -> Query:
     def run(spark, folder):
-        scored = _stable_scores(spark, folder)
+        scored = _stable_scores(spark, folder, score)
         scored = scored.withColumn(score, ranking.fill_missing(F.col(score), 0.0))
         return ranking.top_k(scored, score, 3, ["question_id"]).select("question_id", "pair_id", "label", score)
 
@@ -492,7 +493,7 @@ def _top(score: str) -> Query:
 
 def _single(score: str) -> Query:
     return lambda spark, folder: plain_names(
-        rounded(baseline.single_score_baseline(_stable_scores(spark, folder), score, fill=0.0))
+        rounded(baseline.single_score_baseline(_stable_scores(spark, folder, score), score, fill=0.0))
     )
 
 
@@ -509,7 +510,7 @@ def baseline_comparison(spark, folder):
 @query
 def metric_gain(spark, folder):
     """TF-IDF over all candidates against semantic top-3."""
-    scored = _stable_scores(spark, folder)
+    scored = _stable_scores(spark, folder, "tfidf_similarity", "semantic_cosine_similarity")
     ours = ranking.ranking_metrics(scored, score="tfidf_similarity")
     theirs = baseline.single_score_baseline(scored, "semantic_cosine_similarity")
     return rounded(baseline.metric_gain(ours, theirs))

@@ -96,3 +96,16 @@ def test_a_run_that_fails_leaves_the_store_as_it_was(spark, tmp_path):
         vector_store.add_texts(texts, lambda text: F.when(text == "t39", F.array(F.raise_error(F.lit("lost")).cast("int"))).otherwise(good(text)), "e", path).count()
     assert vector_store.stored_vectors(spark, path, "e").count() == before
     assert vector_store.add_texts(texts, good, "e", path).count() == 40
+
+
+def test_single_scores_are_those_of_the_feature_table(spark):
+    from rankloom.operators.features import feature_table, score_table
+
+    rows = [("1", "q1", "red fox", "the red  fox", 1), ("2", "q1", "red fox", "a blue sea", 0), ("3", "q2", None, "red", 0)]
+    data = spark.createDataFrame(rows, "pair_id string, question_id string, question string, document string, label int")
+    names = ["tfidf_similarity", "bm25_score", "semantic_cosine_similarity"]
+    whole = feature_table(data)
+    for some in (names, names[:1], names[1:2], []):
+        assert table(score_table(data, some), "pair_id", "question_id", "label", *some) == table(whole, "pair_id", "question_id", "label", *some)
+    with pytest.raises(ValueError):
+        score_table(data, ["token_overlap"])
