@@ -33,7 +33,7 @@ MIN_DOCUMENTS = 10
 TOP_TERMS = 10
 
 #: Counts and document ids that a task holds before it puts them out, and terms likewise.
-HELD_COUNTS = 600_000
+HELD_COUNTS = 1_200_000
 HELD_TERMS = 100_000
 #: Bytes of counts from which on those of the same source are added up.
 LONG_COUNTS = 1 << 16
