@@ -33,7 +33,7 @@ MIN_DOCUMENTS = 10
 TOP_TERMS = 10
 
 #: Counts and document ids that a task holds before it puts them out, and terms likewise.
-HELD_COUNTS = 1_200_000
+HELD_COUNTS = 600_000
 HELD_TERMS = 100_000
 #: Bytes of counts from which on those of the same source are added up.
 LONG_COUNTS = 1 << 16
@@ -90,9 +90,14 @@ def read_counts(counts: bytes) -> dict[bytes, int]:
     found: dict[bytes, int] = {}
     i, end = 0, len(counts)
     while i < end:
-        length, i = _read_number(counts, i)
+        length, i = counts[i], i + 1
+        if length > 127:
+            length, i = _read_number(counts, i - 1)
         source = counts[i : i + length]
-        n, i = _read_number(counts, i + length)
+        i += length
+        n, i = counts[i], i + 1
+        if n > 127:
+            n, i = _read_number(counts, i - 1)
         found[source] = found.get(source, 0) + n
     return found
 
@@ -155,13 +160,14 @@ class _Chunks:
         own, last = self.next_id.to_bytes(_ID, "big"), (self.least - 1) * _ID
         self.next_id += 1
         self.held -= len(counts)
-        for piece in text_pieces(text):
+        for i, piece in enumerate(text_pieces(text)):
             chunks = piece.split()
             counts.update(chunks)
-            for chunk in set(chunks).difference(full):
+            new = set(chunks).difference(full)
+            if i:  # some are known from the pieces before
+                new = [chunk for chunk in new if not docs.get(chunk, b"").endswith(own)]
+            for chunk in new:
                 known = docs.get(chunk, b"")
-                if known.endswith(own):  # from the piece before
-                    continue
                 if len(known) == last:
                     full.add(chunk)
                     docs.pop(chunk, None)
