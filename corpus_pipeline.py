@@ -18,7 +18,7 @@ from rankloom.llm.langid import held_out
 from rankloom.llm.mixing import mix_sources
 from rankloom.llm.pii import with_pii
 from rankloom.llm.shared import staged, table
-from rankloom.llm.simhash import near_duplicates
+from rankloom.llm.simhash import MAX_BITS, SHINGLE_WORDS, simhash_components
 from rankloom.llm.toxicity import THRESHOLD, fit, with_toxicity
 
 
@@ -33,15 +33,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8): the one
-    with the smallest doc_id, a null id only if all are null."""
+    """One document of each component of op9 (four-word shingles, fingerprints at 4 bits or fewer):
+    the one with the smallest doc_id, a null id only if all are null, of repeated rows any one.
+    All texts without words are one component."""
     rows = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered-documents")
-    groups = staged(near_duplicates(rows, "__row").join(rows.select("__row", "doc_id"), "__row"), "near-duplicate-groups")
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))
-    kept = groups.groupBy("root").agg(first.alias("first")).select(F.col("first.__row").alias("__row"))
+    name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row").alias("__name")
+    found = simhash_components(rows.select(name, "text"), doc_id="__name", words=SHINGLE_WORDS, limit=MAX_BITS)
     # Those that go are far fewer than those that stay.
-    dropped = staged(groups.select("__row").join(kept, "__row", "left_anti"), "dropped-rows")
-    return rows.join(dropped, "__row", "left_anti").select(*docs.columns)
+    dropped = found.where("__name.__row != component_id.__row").select("__name.__row")
+    return rows.join(staged(dropped, "dropped-rows"), "__row", "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -79,7 +79,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("mixing", mix),
 ]
 
-#: Trained scores and near-duplicate groups are beyond SQL; tests compare with a brute-force version.
+#: Trained scores and fingerprint components are beyond SQL; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 
