@@ -12,11 +12,8 @@ pairs that pass are put out, of a large one a spanning forest of links (each sea
 compares the frontier with what is not reached yet, and removes what it reaches).
 Components come from star contraction, rounds of joins and minima over written tables.
 
-``simhash_components`` links fingerprints of word shingles. ``near_duplicates`` is for
-similarities that 64 bits of shingles cannot tell (at a Jaccard similarity of 0.8 over
-five words they differ in 5 to 14 bits): it has no fingerprints. Its candidates share one
-of their rarest shingles, and every link is confirmed by the similarity of the whole
-shingle sets.
+The bound is on bits alone: at a Jaccard similarity of 0.8 over five words texts differ in
+5 to 14 bits, so such copies are linked only if nearer texts lie between them.
 """
 
 from __future__ import annotations
@@ -29,16 +26,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.shared import flat_bytes, small_batches, staged, text_digest
+from rankloom.llm.shared import flat_bytes, small_batches, staged
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
 SEGMENTS = 5
 SEED = 42
-#: Shingles are counted by so many bits of their hash; the counts order the shingles of a text.
-COUNT_BITS = 20
-#: Rounding never excludes a pair.
-SLACK = 1e-6
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SHINGLES_AT_ONCE = 1 << 15
 
@@ -261,221 +254,6 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def _shingle_hashes(text: bytes, words: int) -> np.ndarray:
-    """The different XXH64 values of the text's shingles, ascending."""
-    plain, starts, ends = shingle_bounds(text, words)
-    found = [np.zeros(0, np.uint64)]
-    for at in range(0, len(starts), _SHINGLES_AT_ONCE):
-        pairs = zip(starts[at : at + _SHINGLES_AT_ONCE], ends[at : at + _SHINGLES_AT_ONCE])
-        hashes = b"".join([xxhash.xxh64_digest(plain[s:e], SEED) for s, e in pairs])
-        found.append(np.frombuffer(hashes, ">u8").astype(np.uint64))
-    return np.unique(np.concatenate(found))
-
-
-def _bucket(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
-
-
-def _shingle_counts(words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, held, n = np.zeros(1 << COUNT_BITS, np.int64), [], 0
-        for batch in batches:
-            data, at = flat_bytes(batch.column("__text"))
-            for i in range(batch.num_rows):
-                held.append(_bucket(_shingle_hashes(data[at[i] : at[i + 1]].tobytes(), words)))
-                n += len(held[-1])
-                if n >= len(counts):
-                    counts += np.bincount(np.concatenate(held), minlength=len(counts))
-                    held, n = [], 0
-        if held:
-            counts += np.bincount(np.concatenate(held), minlength=len(counts))
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], ["bucket", "texts"])
-
-    return run
-
-
-def _prefixes(words: int, similarity: float, counts: np.ndarray):
-    """A text's rarest shingles, as many as are needed: texts at least as similar have one of them in common."""
-    names = ["key", "node", "n", "at"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, at = flat_bytes(batch.column("__text"))
-            nodes, out, held = batch.column("node").to_numpy(), [], 0
-            for i in range(batch.num_rows):
-                hashes = _shingle_hashes(data[at[i] : at[i + 1]].tobytes(), words)
-                n = len(hashes)
-                if n:
-                    size = n - int(np.ceil(similarity * n - SLACK)) + 1
-                    first = hashes[np.argsort(counts[_bucket(hashes)], kind="stable")[:size]]
-                    out.append((first.view(np.int64), np.full(len(first), nodes[i]), np.full(len(first), n, np.int32), np.arange(len(first), dtype=np.int32)))
-                    held += len(first)
-                if out and (held >= 1 << 18 or i + 1 == batch.num_rows):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names)
-                    out, held = [], 0
-
-    return run
-
-
-def _whole_groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[np.ndarray]]:
-    """Columns of batches sorted by their first one, cut only where its value changes."""
-    held = []
-    for batch in batches:
-        new = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
-        if not len(new[0]):
-            continue
-        cut = int(np.searchsorted(new[0], new[0][-1], "left"))
-        if held and (cut or new[0][0] != held[-1][0][-1]):
-            yield [np.concatenate(x) for x in zip(*held, [c[:cut] for c in new])]
-            held, new = [], [c[cut:] for c in new]
-        elif cut:
-            yield [c[:cut] for c in new]
-            new = [c[cut:] for c in new]
-        held.append(new)
-    if held:
-        yield [np.concatenate(x) for x in zip(*held)]
-
-
-def _comparable(similarity: float):
-    """Rows of a group, sorted by size, without those that differ too much in size from all others."""
-    names = ["key", "node", "n", "at"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in _whole_groups(batches, names):
-            key, n = columns[0], columns[2]
-            near = (key[1:] == key[:-1]) & (n[:-1] >= similarity * n[1:] - SLACK)
-            keep = np.r_[near, False] | np.r_[False, near]
-            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], names)
-
-    return run
-
-
-def _not_done(high: int):
-    """Groups with rows more than ``high`` apart, unless they all have one root."""
-    names = ["key", "node", "n", "at", "root"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in _whole_groups(batches, names):
-            key, root = columns[0], columns[4]
-            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            size = np.diff(np.r_[first, len(key)])
-            several = np.minimum.reduceat(root, first) != np.maximum.reduceat(root, first)
-            keep = np.repeat((size > high + 1) & several, size)
-            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], names)
-
-    return run
-
-
-def _prefix_pairs(low: int, high: int, similarity: float):
-    """Pairs of a group more than ``low`` and at most ``high`` rows apart, of different roots, that can
-    be similar by their sizes and by what is left of them from the common shingle on."""
-    share = similarity / (1 + similarity)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def put(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-            x, y = (np.concatenate(side) for side in zip(*pairs))
-            both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
-
-        out, held = [], 0
-        for key, node, n, at, root in _whole_groups(batches, ["key", "node", "n", "at", "root"]):
-            left = np.arange(len(key))
-            for step in range(low + 1, high + 1):
-                left = left[left < len(key) - step]
-                right = left + step
-                left = left[(key[left] == key[right]) & (n[left] >= similarity * n[right] - SLACK)]
-                if not len(left):
-                    break
-                right = left + step
-                most = np.minimum(n[left] - at[left], n[right] - at[right])
-                ok = (root[left] != root[right]) & (most >= share * (n[left] + n[right]) - SLACK)
-                out.append((node[left[ok]], node[right[ok]]))
-                held += len(out[-1][0])
-                if held >= 1 << 19:
-                    yield put(out)
-                    out, held = [], 0
-        if held:
-            yield put(out)
-
-    return run
-
-
-def _shingle_sets(words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, at = flat_bytes(batch.column("__text"))
-            for begin in range(0, batch.num_rows, 128):
-                part = batch.slice(begin, 128)
-                sets = []
-                for i in range(begin, begin + part.num_rows):
-                    plain, starts, ends = shingle_bounds(data[at[i] : at[i + 1]].tobytes(), words)
-                    sets.append(sorted({xxhash.xxh32_intdigest(plain[s:e]) - (1 << 31) for s, e in zip(starts, ends)}))
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.list_(pa.int32()))], ["node", "shingles"])
-
-    return run
-
-
-def near_duplicates(docs: DataFrame, row: str, text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(row, root) for every row: rows of a group have the same root, a row number of the group.
-
-    ``row`` is a column of distinct longs. Equal texts are in one group (a null text is an
-    empty one), and so are texts whose sets of ``words``-word shingles have a Jaccard
-    similarity of at least ``similarity``. A text with fewer words is one shingle; texts
-    without words are only equal to each other.
-
-    Candidates share one of their rarest shingles (a prefix filter, which leaves out no
-    pair that is similar enough). The rows of a shingle are sorted by size, and those at
-    most one row apart are compared first, then four times as far in each round; pairs
-    that confirmed links have already brought together need no check, all others get one.
-    Shingles are compared by 32-bit hashes: of 10,000 pairs of texts of 600 words about one
-    gets a shingle too many in common.
-    """
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col(row).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    digests = staged(rows.select("row", text_digest(F.col("__text")).alias("digest")), "text-digests")
-    texts = staged(digests.groupBy("digest").agg(F.min("row").alias("node")), "distinct-texts")
-    repeated = staged(digests.join(texts, "digest").where("row != node").select("row"), "repeated-rows")
-    distinct = rows.join(repeated, "row", "left_anti").select(F.col("row").alias("node"), "__text")
-
-    found = rows.select("__text").mapInArrow(_shingle_counts(words), "bucket int, texts long").groupBy("bucket").agg(F.sum("texts").alias("texts")).toArrow()
-    counts = np.zeros(1 << COUNT_BITS, np.int32)
-    counts[found.column("bucket").to_numpy()] = np.minimum(found.column("texts").to_numpy(), np.iinfo(np.int32).max)
-    fields = "key long, node long, n int, at int"
-
-    def by_key(df: DataFrame) -> DataFrame:
-        return df.repartition("key").sortWithinPartitions("key", "n", "node")
-
-    prefixes = by_key(distinct.mapInArrow(_prefixes(words, similarity, counts), fields))
-    left = staged(prefixes.mapInArrow(_comparable(similarity), fields), "shared-shingles").withColumn("root", F.col("node"))
-    wanted = distinct.join(staged(left.select("node").distinct(), "candidate-texts"), "node")
-    sets = staged(wanted.mapInArrow(_shingle_sets(words), "node long, shingles array<int>"), "shingle-sets")
-
-    roots, low, high = None, 0, 1
-    while not left.isEmpty():
-        some = by_key(left).mapInArrow(_prefix_pairs(low, high, similarity), "a long, b long").distinct()
-        some = staged(some, "links-to-check")  # of known size: a few are broadcast, and the sets stay where they are
-        one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("one"))
-        two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("two"))
-        shared = F.size(F.array_intersect("one", "two"))
-        compared = some.join(one, "a").join(two, "b").where(shared > 0)
-        good = compared.where(shared >= similarity * (F.size("one") + F.size("two") - shared) - SLACK).select("a", "b")
-        good = staged(good, "confirmed-links")
-        if not good.isEmpty():
-            # What is together already comes in as stars, so that few rounds of contraction are left.
-            known = good if roots is None else good.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-            roots = staged(components(known), "near-duplicate-roots")
-            left = left.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        left = by_key(left.select("key", "node", "n", "at", "root"))
-        left = staged(left.mapInArrow(_not_done(high), f"{fields}, root long"), "shingles-to-do")
-        low, high = high, 4 * high
-    if roots is None:
-        named = texts.select("digest", F.col("node").alias("root"))
-    else:
-        named = texts.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
-    return digests.join(staged(named, "text-roots"), "digest").select(F.col("row").alias(row), "root")
-
-
 def simhash_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = SHINGLE_WORDS, limit: int = MAX_BITS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id reachable over
     links between fingerprints that differ in at most ``limit`` bits.
