@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.langid import _joined, _letters
+from rankloom.llm.langid import _LETTER, _joined, _letters
 from rankloom.llm.shared import flat_bytes, pieces, with_own_text
 
 WINDOW, STRIDE = 32, 16
@@ -37,7 +37,8 @@ FIT_TOXIC, FIT_CLEAN, FIT_TEXT_BYTES = 800, 1_600, 20_000
 STAGES, STEPS, BATCH, RATE, SEED = 3, 160, 256, 0.01, 7
 #: Words and 4-grams of fewer training documents have no vector.
 MIN_DOCS = 4
-_SCORE_PIECE = 1 << 20
+#: Bytes that are cut into words at once; a single text of over twice as many goes by stretches.
+_SCORE_PIECE = 1 << 18
 
 Model = dict[str, np.ndarray]
 
@@ -61,6 +62,12 @@ class Tokens(NamedTuple):
         chars = np.repeat(self.first_char[words], sizes) + np.arange(first[-1]) - np.repeat(first[:-1], sizes)
         return Tokens(self.word[words], self.start[words], self.char[chars], first, np.array([0, len(words)]))
 
+    def then(self, t: Tokens) -> Tokens:
+        """The words of this text and of another one, as one text."""
+        first = np.r_[self.first_char, self.first_char[-1] + t.first_char[1:]]
+        joined = (np.concatenate(x) for x in zip(self[:3], t[:3]))
+        return Tokens(*joined, first, np.array([0, len(self.word) + len(t.word)]))
+
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> Tokens:
     """The words of some texts: runs of letters, lowered; immediate repeats of a word count once.
@@ -278,7 +285,7 @@ def _index(first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return first[:, None] + np.minimum(t[None, :], length[:, None] - 1), mask
 
 
-def logits(model: Model, t: Tokens, first: np.ndarray, length: np.ndarray, batch: int = 4_096) -> np.ndarray:
+def logits(model: Model, t: Tokens, first: np.ndarray, length: np.ndarray, batch: int = 1_024) -> np.ndarray:
     """``first`` ascends, so a batch of full windows needs one stretch of words; short ones are far apart."""
     out = np.empty(len(first), np.float32)
     full = length == WINDOW
@@ -362,6 +369,40 @@ def document_logits(model: Model, t: Tokens) -> np.ndarray:
     return out
 
 
+def _stretches(data: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, bool]]:
+    """A text in stretches of about ``limit`` bytes, and whether it is the last one. A stretch ends
+    after a whole word, and the next one begins with that word again."""
+    low, high, n = 0, 0, len(data)
+    while high < n:
+        high = min(n, high + limit)
+        while high < n:
+            gap = np.flatnonzero(~_LETTER[data[high : high + limit]])
+            if len(gap):
+                high += int(gap[0])
+                break
+            high = min(n, high + limit)
+        inside = _LETTER[data[low:high]]
+        begin = np.flatnonzero(inside & ~np.r_[False, inside[:-1]])
+        if high == n or len(begin) > 1:
+            yield data[low:high], high == n
+            low += int(begin[-1]) if len(begin) else 0
+
+
+def long_text_logit(model: Model, data: np.ndarray, limit: int = _SCORE_PIECE) -> float:
+    """As ``document_logits``, the same windows of one text, in memory that its length does not add to."""
+    best, held = -np.inf, None
+    for part, last in _stretches(data, limit):
+        t = tokens(part, np.array([0, len(part)]))
+        if held is not None:  # the first word is the last one held
+            t = held.then(t.stretch(1, len(t.word)))
+        n = len(t.word)
+        whole = t if last else t.stretch(0, n - (n - WINDOW) % STRIDE if n >= WINDOW else 0)
+        best = max(best, float(document_logits(model, whole)[0]))
+        # The words of the last whole window stay: the text may end with the next word.
+        held = t.stretch(max(0, len(whole.word) - WINDOW), n)
+    return best
+
+
 def _calibrate(found: np.ndarray, labels: np.ndarray) -> np.ndarray:
     """Slope and shift of a logistic curve over the document logits."""
     known = np.isfinite(found)
@@ -409,13 +450,10 @@ def _score(shared, keep: list[str], text: str):
             found = np.full(batch.num_rows, -np.inf)
             for a, b in pieces(at, _SCORE_PIECE):
                 begin, end = int(at[a]), int(at[b])
-                if end - begin <= 4 * _SCORE_PIECE:
+                if end - begin <= 2 * _SCORE_PIECE:
                     found[a:b] = document_logits(model, tokens(data[begin:end], at[a : b + 1] - begin))
                     continue
-                # One very long text, in stretches that share a window's words.
-                for low in range(begin, end, _SCORE_PIECE):
-                    part = data[low : min(end, low + _SCORE_PIECE + 4_096)]
-                    found[a] = max(found[a], document_logits(model, tokens(part, np.array([0, len(part)])))[0])
+                found[a] = long_text_logit(model, data[begin:end])
             score = 1 / (1 + np.exp(-np.clip(slope * found + shift, -50, 50)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(np.where(np.isfinite(found), score, 0.0))], [*keep, "score"])
 

@@ -168,6 +168,21 @@ def test_windows_cover_all_words():
         assert covered == set(range(n)) and (np.diff(first) <= toxicity.STRIDE).all()
 
 
+def test_long_texts_have_the_same_windows_in_stretches():
+    r = random.Random(6)
+    known = ["".join(r.choices("abcdefg\u00e9", k=r.randint(1, 9))) for _ in range(60)]
+    texts = [" ".join(r.choices(known, k=40)).encode() for _ in range(60)]
+    model = toxicity.train(texts, np.array([0, 1] * 30), steps=3)
+    for n in (0, 1, 15, 20, 31, 32, 33, 48, 49, 500, 3_000):
+        words = [r.choice(known) + r.choice([" ", ", ", " \n" * 40]) for _ in range(n)]
+        for some in (words, words + words[-1:] * 50 + words, words + ["x" * 700 + " "] * 2 + words, [" " * 900, *words, "." * 900]):
+            data = np.frombuffer("".join(some).encode(), np.uint8)
+            true = toxicity.document_logits(model, toxicity.tokens(data, np.array([0, len(data)])))[0]
+            for limit in (64, 300):
+                found = toxicity.long_text_logit(model, data, limit)
+                assert found == true or abs(found - true) < 1e-4
+
+
 def test_toxicity_of_edge_texts(spark):
     texts, labels = sentences(60, ["zorkig"], 3)
     model = toxicity.train(texts, labels, steps=3)
