@@ -23,6 +23,8 @@ BUCKET_BITS = 15
 SWITCH_PENALTY = 12.0
 #: Labelled documents that the model is fitted on, by language, at most about this many.
 FIT_ROWS = 3_000
+#: Bits of the hashes that decide on the sample: fine enough for any number of texts.
+TURN_BITS = 60
 #: A language may be a word's if at least this share of its training letters is in the word's script.
 SCRIPT_SHARE = 0.005
 UNKNOWN = "und"
@@ -118,10 +120,11 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float = SWITCH_PENAL
     starts, lengths = first[:-1][order], lengths[order]
     longest = int(lengths[0]) if len(lengths) else 0
     n_languages = scores.shape[1]
-    came = np.zeros((len(scores), n_languages), np.int8)
+    number = np.min_scalar_type(n_languages)
+    came = np.zeros((len(scores), n_languages), number)
     best = np.zeros((len(order), n_languages), np.float32)
     active = np.searchsorted(-lengths, -np.arange(longest), "left")  # texts with more than t words
-    own = np.arange(n_languages, dtype=np.int8)
+    own = np.arange(n_languages, dtype=number)
     for t in range(longest):
         a = active[t]
         at = starts[:a] + t
@@ -130,11 +133,11 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float = SWITCH_PENAL
             top = value.argmax(1)
             change = value[np.arange(a), top][:, None] - np.float32(penalty)
             stays = value >= change
-            came[at] = np.where(stays, own, top[:, None].astype(np.int8))
+            came[at] = np.where(stays, own, top[:, None].astype(number))
             best[:a] = np.where(stays, value, change) + scores[at]
         else:
             best[:a] = scores[at]
-    label = np.zeros(len(scores), np.int8)
+    label = np.zeros(len(scores), number)
     state = best.argmax(1)
     for t in range(longest - 1, -1, -1):
         a = active[t]
@@ -212,13 +215,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(labelled: DataFrame, text: str, lang: str, key: Column, rows: int = FIT_ROWS, partitions: int = 8) -> Model:
     """A model from labelled texts. About ``rows`` documents a language are used, those with the
-    smallest hashes of ``key``; null labels and texts are left out. Languages are few, and the
-    model is 128 KB for each."""
+    smallest hashes of ``key``; null labels and texts are left out. The model is 128 KB a
+    language."""
     spark = labelled.sparkSession
     some = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    some = some.select(F.col(lang).cast("string").alias("__lang"), F.col(text).alias("__text"), F.pmod(F.xxhash64(key), F.lit(1_000_000)).alias("__turn"))
+    some = some.select(F.col(lang).cast("string").alias("__lang"), F.col(text).alias("__text"), F.shiftrightunsigned(F.xxhash64(key), 64 - TURN_BITS).alias("__turn"))
     sizes = {r["__lang"]: r["count"] for r in some.groupBy("__lang").count().collect()}
-    parts = spark.createDataFrame([(n, int(min(1.0, rows / size) * 1_000_000)) for n, size in sizes.items()], "__lang string, __most long")
+    parts = spark.createDataFrame([(n, min(rows, size) * (1 << TURN_BITS) // size) for n, size in sizes.items()], "__lang string, __most long")
     chosen = some.join(F.broadcast(parts), "__lang").where(F.col("__turn") < F.col("__most")).select("__lang", "__text")
     counted = chosen.repartition(partitions).mapInArrow(_count, "lang string, kind int, place long, n long")
     languages = sorted(sizes)

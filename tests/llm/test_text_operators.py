@@ -163,6 +163,13 @@ def test_language_held_out_accuracy(spark):
     assert {r.doc_id for r in docs.where(langid.held_out(key)).collect()} == {r.doc_id for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 3 == 1}
 
 
+@pytest.mark.parametrize("n", [1, 127, 128, 130, 256, 300])
+def test_viterbi_of_many_languages(n):
+    scores = np.zeros((7, n), np.float32)
+    scores[:4, n - 1], scores[4:, n // 2] = 9, 9
+    assert langid.viterbi(scores, np.array([0, 6, 7]), 2.0).tolist() == [n - 1] * 4 + [n // 2] * 3
+
+
 def test_viterbi_against_all_paths():
     rng = np.random.default_rng(3)
     scores = rng.normal(0, 3, (9, 3)).astype(np.float32)
