@@ -37,6 +37,8 @@ FIT_TOXIC, FIT_CLEAN, FIT_TEXT_BYTES = 800, 1_600, 20_000
 STAGES, STEPS, BATCH, RATE, SEED = 3, 160, 256, 0.01, 7
 #: Words and 4-grams of fewer training documents have no vector.
 MIN_DOCS = 4
+#: Toxic texts that the score is calibrated on, at least, where there are as many.
+CALIBRATE_TOXIC = 64
 #: Bytes that are cut into words at once; a single text of over twice as many goes by stretches.
 _SCORE_PIECE = 1 << 18
 
@@ -307,15 +309,36 @@ def train(texts: list[bytes], labels: np.ndarray, stages: int = STAGES, steps: i
     """A model from whole labelled texts. One of the labels may be missing, or all texts.
 
     Every fourth text of each label is kept back: its windows are not trained on, and the
-    score is calibrated on it."""
-    rng = np.random.default_rng(seed)
+    score is calibrated on it. Quarters take turns until ``CALIBRATE_TOXIC`` toxic texts are
+    calibrated on; if all four have had theirs, the model is trained once more, on all texts."""
     t = tokens_of(texts or [b""])
     labels = labels if len(texts) else np.zeros(1, np.int64)
+    learn = lambda back: _learn(t, labels, back, stages, steps, batch, rate, np.random.default_rng(seed))
+    kinds = [np.flatnonzero(labels == kind) for kind in (0, 1)]
+    tested, found = np.zeros(len(labels), bool), np.zeros(len(labels))
+    model, whole = None, np.zeros(len(labels), bool)
+    if min(map(len, kinds)) >= 4:
+        for turn in range(3, -1, -1):
+            back = np.zeros(len(labels), bool)
+            back[np.concatenate([kind[turn::4] for kind in kinds])] = True
+            model = learn(back)
+            found[back] = document_logits(model, t)[back]
+            tested |= back
+            if (tested & (labels == 1)).sum() >= CALIBRATE_TOXIC:
+                break
+        else:
+            model = learn(whole)
+    else:
+        model = learn(whole)
+        tested, found = ~whole, document_logits(model, t)
+    model["calibration"] = _calibrate(found[tested], labels[tested])
+    return model
+
+
+def _learn(t: Tokens, labels: np.ndarray, back: np.ndarray, stages: int, steps: int, batch: int, rate: float, rng) -> Model:
+    """A model from the windows of the texts that are not kept back."""
     n_words = np.diff(t.first_word)
     doc_of_word = np.repeat(np.arange(len(n_words)), n_words)
-    back = np.zeros(len(n_words), bool)
-    for kind in (0, 1):
-        back[np.flatnonzero(labels == kind)[3::4]] = True
     model = _start(t, doc_of_word, np.where(back, -1, labels), rng)
     text, first, length = windows_of(n_words, WINDOW, WINDOW)
     text, first, length = text[~back[text]], first[~back[text]], length[~back[text]]
@@ -355,9 +378,6 @@ def train(texts: list[bytes], labels: np.ndarray, stages: int = STAGES, steps: i
                 mean[k] += 0.1 * (g - mean[k])
                 square[k] += 0.001 * (g * g - square[k])
                 model[k] -= (slow * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-    found = document_logits(model, t)
-    enough = all((back & (labels == kind)).sum() >= 8 for kind in (0, 1))
-    model["calibration"] = _calibrate(found[back], labels[back]) if enough else _calibrate(found, labels)
     return model
 
 
@@ -404,7 +424,10 @@ def long_text_logit(model: Model, data: np.ndarray, limit: int = _SCORE_PIECE) -
 
 
 def _calibrate(found: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """Slope and shift of a logistic curve over the document logits."""
+    """Slope and shift of a logistic curve over the document logits.
+
+    The curve is then moved so that it passes the threshold where misses and false alarms cost
+    least: a few toxic texts of unknown words would else draw it below the threshold for all."""
     known = np.isfinite(found)
     x, y = found[known].astype(np.float64), labels[known].astype(np.float64)
     a, b = 1.0, 0.0
@@ -418,6 +441,15 @@ def _calibrate(found: np.ndarray, labels: np.ndarray) -> np.ndarray:
         g = np.array([((p - y) * x).sum() + 1e-2 * a, (p - y).sum()])
         hess = np.array([[(v * x * x).sum() + 1e-2, (v * x).sum()], [(v * x).sum(), v.sum() + 1e-6]])
         a, b = np.array([a, b]) - np.clip(np.linalg.solve(hess, g), -1, 1)
+    if a > 0:
+        order = np.argsort(-x, kind="stable")
+        down, toxic = x[order], y[order]
+        # Cost of calling the first k toxic; at the threshold, a false alarm weighs as much as THRESHOLD / (1 - THRESHOLD) misses.
+        cost = np.r_[0, np.cumsum(THRESHOLD * (1 - toxic) - (1 - THRESHOLD) * toxic)]
+        cost[1:-1][down[1:] == down[:-1]] = np.inf  # no cut between equal ones
+        k = int(np.argmin(cost))
+        if 0 < k < len(down):
+            b = np.log(THRESHOLD / (1 - THRESHOLD)) - a * (down[k - 1] + down[k]) / 2
     return np.array([a / spread, b - a * center / spread])
 
 
