@@ -44,7 +44,7 @@ TEST_PATHS = "test tests example examples sample samples mock mocks fixture fixt
 _CLASS = "A-Za-z0-9+/_\\-"
 _TOKEN = re.compile(rf"(?<![{_CLASS}])[{_CLASS}]{{{MIN_LENGTH},}}={{0,2}}")
 _PRIVATE_KEY = re.compile(r"-----BEGIN (?:[A-Z]{1,12} ){0,3}PRIVATE KEY-----")
-_SIGNED = re.compile(r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}")
+_SIGNED = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}")
 _FORMATS = [(kind, re.compile(pattern)) for kind, pattern in FORMATS.items()]
 _WORD = re.compile(r"[^\W\d_]{2,}(?:[_-][^\W\d_]+)*")
 _ASSIGNED = re.compile(r"[=:]\s*[\"'`]?$")
@@ -83,13 +83,21 @@ def propose(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all candidates, by start; none inside another."""
     found = [("private key", m.start(), m.end()) for m in _PRIVATE_KEY.finditer(text)] if "PRIVATE KEY" in text else []
     found += [("signed token", m.start(), m.end()) for m in _SIGNED.finditer(text)] if "eyJ" in text else []
-    taken = list(found)
+    taken: list[list[int]] = []  # what the findings so far cover, in order
+    for _, start, end in sorted(found, key=lambda f: f[1]):
+        if taken and start < taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], end)
+        else:
+            taken.append([start, end])
+    k = 0
     for m in _TOKEN.finditer(text):
+        while k < len(taken) and taken[k][1] <= m.start():
+            k += 1
         value = m.group()
         digits = any(c.isdigit() for c in value)
         mixed = len(value) >= 24 and not value[1:].islower() and not value.isupper() and value.isalpha()
         kind = next((k for k, p in _FORMATS if p.fullmatch(value)), "token")
-        if (digits or mixed or kind != "token") and not any(s < m.end() and m.start() < e for _, s, e in taken):
+        if (digits or mixed or kind != "token") and not (k < len(taken) and taken[k][0] < m.end()):
             found.append((kind, m.start(), m.end()))
     return sorted(found, key=lambda f: f[1:])
 
