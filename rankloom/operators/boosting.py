@@ -4,18 +4,19 @@ Settings that differ only in their number of rounds share one model: it holds th
 smaller number. All models of a group take their next tree in the same pass over the rows,
 so the passes do not grow with the number of settings.
 
-A tree grows from the top. A level is one job: tasks add up gradients per node, input and
-bin, Spark adds those up and finds each node's split. A node with few rows (all of them, on
-a small table) is finished in one go: its rows meet in one task of bounded size, which grows
-what is left below it. Gradients are whole numbers, so sums and trees do not depend on
-the order or the partitioning of the rows, nor on which way a node was split.
+Up to ``LOCAL_ROWS`` rows, each model is grown in a task of its own, all rounds in one job. Above,
+a tree grows from the top by one short job per level: each task adds up the gradients of its rows
+per node, input and bin, the driver adds up those sums (whose size goes by nodes and tasks, not by
+rows) and takes each node's split. Gradients are whole numbers, so sums and trees do not depend on
+the order or the partitioning of the rows, nor on which way a tree was grown.
 
 Rows carry their bins and, for each model, the margin of some rounds ago; later trees, which
-are small, go to the tasks. Only trees and bin edges come to the driver.
+are small, go to the tasks. Only sums, trees and bin edges come to the driver.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -27,14 +28,14 @@ from pyspark.sql import functions as F
 from rankloom.sources.writers import stage
 
 BINS = 32
-#: Rows up to which a node is finished in one task.
-LOCAL_ROWS = 50_000
-#: Rows of a partition; a job per level goes over all partitions.
+#: Rows up to which a model is grown in one task; some 120 bytes a row.
+LOCAL_ROWS = 500_000
+#: Rows of a task's share below which it is not cut further, and that are added up at once.
 PARTITION_ROWS = 50_000
-#: Tasks that small nodes are spread over, at most.
-SMALL_TASKS = 1_000
+#: Nodes of all models whose sums a job is about: 13 KB a node with 17 inputs, before compression.
+NODES_AT_ONCE = 256
 #: Rounds after which margins are written to the rows.
-STATE_ROUNDS = 25
+STATE_ROUNDS = 10
 #: Models that are grown side by side.
 AT_ONCE = 16
 
@@ -154,7 +155,8 @@ _STATE = "draw long, label int, bins binary, margins binary"
 
 
 def _matrix(column: pa.Array, kind, n: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(n, -1)
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset :]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[n]].view(kind).reshape(n, -1)
 
 
 def _margins(batch: pa.RecordBatch, recent: list[list[Tree]]) -> tuple[np.ndarray, np.ndarray]:
@@ -200,15 +202,6 @@ def gradients(label: np.ndarray, margin: np.ndarray, positive_weight: float) ->
     return np.rint(first * UNIT).astype(np.int64), np.rint(second * UNIT).astype(np.int64)
 
 
-def histogram(bins: np.ndarray, slot: np.ndarray, slots: int, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """Rows and gradients per slot, input and bin (slots x inputs x BINS x 3), as whole numbers."""
-    inputs = bins.shape[1]
-    at = ((slot[:, None] * inputs + np.arange(inputs)) * BINS + bins).ravel()
-    # Sums of a batch or a small node are far below 2^53, so doubles hold them exactly.
-    sums = [np.bincount(at, w if w is None else np.repeat(w, inputs), slots * inputs * BINS) for w in (None, first, second)]
-    return np.stack(sums, 1).astype(np.int64).reshape(slots, inputs, BINS, 3)
-
-
 def best_splits(sums: np.ndarray, mask: np.ndarray, setting: dict) -> dict[str, np.ndarray]:
     """The best split of each slot of a histogram (feature -1 for none), ties to the first input and cut."""
     left = sums.cumsum(2)[:, :, :-1]
@@ -231,24 +224,6 @@ def best_splits(sums: np.ndarray, mask: np.ndarray, setting: dict) -> dict[str,
     }
 
 
-def grow_below(root: int, bins: np.ndarray, first: np.ndarray, second: np.ndarray, setting: dict, mask: np.ndarray) -> dict[str, np.ndarray]:
-    """All nodes of the tree from ``root`` down, out of the rows that are in it."""
-    found, node = [], np.full(len(bins), root, np.int64)
-    while len(bins):
-        numbers, slot = np.unique(node, return_inverse=True)
-        splits = best_splits(histogram(bins, slot, len(numbers), first, second), mask, setting)
-        found.append({"node": numbers, **splits})
-        feature = splits["feature"][slot]
-        right = bins[np.arange(len(bins)), np.maximum(feature, 0)] > splits["cut"][slot]
-        node = 2 * node + right
-        # Rows go on where their node was split and its child can be.
-        depth_left = node < 1 << setting["max_depth"]
-        weight = np.where(right, splits["right_n"][slot], splits["left_n"][slot])
-        on = (feature >= 0) & depth_left & (weight > 1)
-        bins, first, second, node = bins[on], first[on], second[on], node[on]
-    return {k: np.concatenate([f[k] for f in found]) for k in found[0]}
-
-
 def _node_rows(series: int, found: dict[str, np.ndarray]) -> pa.Table:
     columns = {"series": np.full(len(found["node"]), series), **found}
     return pa.table({n: pa.array(columns[n], pa.float64() if n in ("gain", "value", "left_value", "right_value") else pa.int64()) for n in _NODE_NAMES})
@@ -283,98 +258,159 @@ class _Turn:
             yield s, node[own], bins[own], first, second
 
 
-def _add_up(turn: _Turn, inputs: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for s, node, bins, first, second in turn.rows(batch):
-                numbers = np.array(turn.nodes[s])
-                own = histogram(bins, np.searchsorted(numbers, node), len(numbers), first, second)
-                sums[s] = sums[s] + own if s in sums else own
-        for s, own in sums.items():
-            n, f, b = np.nonzero(own[..., 0])
-            columns = [np.full(len(n), s), np.array(turn.nodes[s])[n], f, b, *own[n, f, b].T]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["series", "node", "input", "bin", "n", "g", "h"])
-
-    return run
-
+def _sums(bins: np.ndarray, slot: np.ndarray, slots: int, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """``histogram`` of bins that stand input by input, with gradients as doubles."""
+    sums = np.zeros((slots, len(bins), BINS, 3), np.int64)
+    for i, own in enumerate(bins):
+        at = slot * BINS + own
+        for k, weights in enumerate((None, first, second)):
+            sums[:, i, :, k] = np.bincount(at, weights, slots * BINS).reshape(slots, BINS)
+    return sums
+
+
+def split_table(sums: np.ndarray, nodes, used: np.ndarray, setting: dict) -> dict[str, np.ndarray]:
+    """``best_splits`` of the nodes that have rows, from sums of the ``used`` inputs alone."""
+    splits = best_splits(sums, np.ones(len(used), bool), setting)
+    splits["feature"] = np.where(splits["feature"] < 0, -1, used[splits["feature"]])
+    held = sums[:, 0, :, 0].sum(1) > 0
+    return {k: v[held] for k, v in {"node": np.asarray(nodes), **splits}.items()}
+
+
+def _each(table: dict[str, np.ndarray]) -> Iterator[dict]:
+    return (dict(zip(table, values)) for values in zip(*(v.tolist() for v in table.values())))
+
+
+def grow_rounds(setting: dict, bins: np.ndarray, label: np.ndarray, draw: np.ndarray) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
+    """(round, nodes) of a whole model out of all rows, bins standing input by input."""
+    margin = np.zeros(len(label))
+    for turn in range(int(setting["n_estimators"])):
+        used = np.flatnonzero(chosen_inputs(setting, turn, len(bins)))
+        first, second = gradients(label, margin, setting["scale_pos_weight"])
+        rows = np.flatnonzero(uniform(draw, setting["random_state"], turn) < setting["subsample"])
+        own, first, second = bins[np.ix_(used, rows)], first[rows].astype(np.float64), second[rows].astype(np.float64)
+        tree, node, numbers = Tree.unsplit(), np.ones(len(rows), np.int64), np.array([1])
+        while len(numbers):
+            found = []
+            for at in range(0, len(numbers), NODES_AT_ONCE):
+                some = numbers[at : at + NODES_AT_ONCE]
+                mine = slice(None) if len(some) == len(numbers) else np.flatnonzero((node >= some[0]) & (node <= some[-1]))
+                sums = _sums(own[:, mine], np.searchsorted(some, node[mine]), len(some), first[mine], second[mine])
+                found.append(split_table(sums, some, used, setting))
+            level = {k: np.concatenate([f[k] for f in found]) for k in found[0]}
+            yield turn, level
+            for r in _each(level):
+                tree.place(r)
+            # Nodes go on where they were split and their children can be.
+            split = (level["feature"] >= 0) & (2 * level["node"] < 1 << setting["max_depth"])
+            children = [2 * level["node"] + side for side in (0, 1)]
+            numbers = np.sort(np.concatenate([c[split & (level[n] > 1)] for c, n in zip(children, ("left_n", "right_n"))]))
+            if len(numbers):
+                to = np.zeros(len(tree.feature), bool)
+                to[numbers] = True
+                feature = tree.feature[node]
+                right = bins[np.maximum(feature, 0), rows] > tree.cut[node]
+                node = np.where(feature >= 0, 2 * node + right, node)
+                on = to[node]
+                rows, node, own, first, second = rows[on], node[on], own[:, on], first[on], second[on]
+        margin += tree.scores(bins.T)
+
+
+_ROUNDS = f"turn long, {_NODES}"
+
+
+def _held(batches: Iterator[pa.RecordBatch], inputs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bins input by input, labels and draws of all rows of a task."""
+    parts = [
+        (_matrix(b.column("bins"), np.uint8, b.num_rows), b.column("label").to_numpy(), b.column("draw").to_numpy())
+        for b in batches
+        if b.num_rows
+    ]
+    if not parts:
+        return np.zeros((inputs, 0), np.uint8), np.zeros(0, np.int32), np.zeros(0, np.int64)
+    bins, label, draw = (np.concatenate(x) for x in zip(*parts))
+    return np.ascontiguousarray(bins.T), label, draw
+
+
+def _rounds(series: int, grown: Iterator[tuple[int, dict[str, np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+    for turn, level in grown:
+        nodes = _node_rows(series, level)
+        yield from nodes.add_column(0, "turn", pa.array(np.full(nodes.num_rows, turn), pa.int64())).to_batches()
+
+
+def _grow_one(settings: list[dict], inputs: int):
+    """For a task that gets the rows of one series after the other."""
 
-def _split_node(turn: _Turn, inputs: int):
-    def run(rows: pa.Table) -> pa.Table:
-        c = {n: rows.column(n).to_numpy() for n in rows.column_names}
-        s, sums = int(c["series"][0]), np.zeros((1, inputs, BINS, 3), np.int64)
-        sums[0, c["input"], c["bin"]] = np.stack([c["n"], c["g"], c["h"]], 1)
-        return _node_rows(s, {"node": c["node"][:1], **best_splits(sums, turn.masks[s], turn.settings[s])})
-
-    return run
-
-
-def _send_rows(turn: _Turn):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, list[pa.RecordBatch]] = {}
         for batch in batches:
-            for s, node, bins, first, second in turn.rows(batch):
-                columns = [np.full(len(node), s), node, first, second]
-                packed = pa.array([r.tobytes() for r in bins], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), packed], ["series", "node", "g", "h", "bins"])
+            series = batch.column("series").to_numpy()
+            for s in np.unique(series).tolist():
+                own.setdefault(s, []).append(batch.filter(pa.array(series == s)))
+        for s in sorted(own):
+            yield from _rounds(s, grow_rounds(settings[s], *_held(iter(own.pop(s)), inputs)))
 
     return run
 
 
-def _finish_node(turn: _Turn):
-    def run(rows: pa.Table) -> pa.Table:
-        s, node = rows.column("series")[0].as_py(), rows.column("node")[0].as_py()
-        bins = _matrix(rows.column("bins"), np.uint8, rows.num_rows)
-        return _node_rows(s, grow_below(node, bins, rows.column("g").to_numpy(), rows.column("h").to_numpy(), turn.settings[s], turn.masks[s]))
+def _grow_all(rows: DataFrame, models: list[BoostedTrees]) -> None:
+    """All rounds of all models in one job, a task for each model."""
+    settings, inputs, n = [m.settings for m in models], len(models[0].inputs), len(models)
+    each = rows.select(F.explode(F.array(*[F.lit(s) for s in range(n)])).alias("series"), "draw", "label", "bins")
+    found = each.repartitionById(n, F.col("series")).mapInArrow(_grow_one(settings, inputs), _ROUNDS)
+    for model in models:
+        model.trees.extend(Tree.unsplit() for _ in range(int(model.settings["n_estimators"])))
+    for r in sorted(found.collect(), key=lambda r: r["node"]):
+        models[r["series"]].trees[r["turn"]].place(r)
 
-    return run
 
+def _together(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Batches of ``least`` rows or more, the last one aside."""
+    held, n = [], 0
+    for batch in batches:
+        held, n = [*held, batch], n + batch.num_rows
+        if n >= least:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.concat_batches(held)
 
-def _finish_here(turn: _Turn):
+
+def _add_up(turn: _Turn):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        for batch in batches:
-            for s, _, *rows in turn.rows(batch):
-                held.setdefault(s, []).append(rows)
-        for s, some in held.items():
-            bins, first, second = (np.concatenate(x) for x in zip(*some))
-            if len(bins):
-                yield from _node_rows(s, grow_below(1, bins, first, second, turn.settings[s], turn.masks[s])).to_batches()
+        sums: dict[int, np.ndarray] = {}
+        for batch in _together(batches, PARTITION_ROWS):
+            for s, node, bins, first, second in turn.rows(batch):
+                numbers, used = np.array(turn.nodes[s]), np.flatnonzero(turn.masks[s])
+                slot = np.searchsorted(numbers, node)
+                own = _sums(np.ascontiguousarray(bins.T[used]), slot, len(numbers), first.astype(float), second.astype(float))
+                sums[s] = sums[s] + own if s in sums else own
+        packed = pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), packed], ["series", "sums"])
 
     return run
 
 
-def _grow(state: DataFrame, turn: _Turn, total: int, inputs: int, local_rows: int) -> None:
-    """One round: a level per job while nodes are large, then one job for all small ones.
-
-    A table of at most ``local_rows`` and ``PARTITION_ROWS`` is one packed partition: for a single
-    model its rows are in one task already. Several models spread over the tasks."""
-    if len(turn.settings) == 1 and total <= min(local_rows, PARTITION_ROWS):
-        turn.nodes = [[1] for _ in turn.settings]
-        for r in state.mapInArrow(_finish_here(turn), _NODES).collect():
-            turn.partial[r["series"]].place(r)
-        return
-    small: list[list[int]] = [[1] if total <= local_rows else [] for _ in turn.settings]
-    large: list[list[int]] = [[] if total <= local_rows else [1] for _ in turn.settings]
-    while any(large):
-        turn.nodes = large
-        sums = state.mapInArrow(_add_up(turn, inputs), "series long, node long, input long, bin long, n long, g long, h long")
-        sums = sums.groupBy("series", "node", "input", "bin").agg(*[F.sum(c).alias(c) for c in ("n", "g", "h")])
-        found = sums.groupBy("series", "node").applyInArrow(_split_node(turn, inputs), _NODES).collect()
-        large = [[] for _ in turn.settings]
-        for r in sorted(found, key=lambda r: r["node"]):
-            s, node = r["series"], r["node"]
-            turn.partial[s].place(r)
-            for child, n in ((2 * node, r["left_n"]), (2 * node + 1, r["right_n"])):
-                if r["feature"] >= 0 and n > 1 and child < 1 << turn.settings[s]["max_depth"]:
-                    (small if n <= local_rows else large)[s].append(child)
-    if any(small):
-        turn.nodes = small
-        rows = state.mapInArrow(_send_rows(turn), "series long, node long, g long, h long, bins binary")
-        # A number of its own, so that adaptive execution does not put all small groups in one task.
-        spread = rows.repartition(min(2 * sum(map(len, small)), SMALL_TASKS), "series", "node")
-        found = spread.groupBy("series", "node").applyInArrow(_finish_node(turn), _NODES).collect()
-        for r in sorted(found, key=lambda r: r["node"]):
-            turn.partial[r["series"]].place(r)
+def _grow(state: DataFrame, turn: _Turn) -> None:
+    """One round: a level of all trees per job, or several jobs where a level has many nodes."""
+    level = [(s, 1) for s in range(len(turn.settings))]
+    while level:
+        below = []
+        for at in range(0, len(level), NODES_AT_ONCE):
+            turn.nodes = [[] for _ in turn.settings]
+            for s, node in level[at : at + NODES_AT_ONCE]:
+                turn.nodes[s].append(node)
+            totals: dict[int, np.ndarray] = {}
+            for r in state.mapInArrow(_add_up(turn), "series long, sums binary").collect():
+                own = np.frombuffer(zlib.decompress(r["sums"]), np.int64)
+                totals[r["series"]] = totals[r["series"]] + own if r["series"] in totals else own
+            for s, total in totals.items():
+                used = np.flatnonzero(turn.masks[s])
+                for r in _each(split_table(total.reshape(-1, len(used), BINS, 3), turn.nodes[s], used, turn.settings[s])):
+                    turn.partial[s].place(r)
+                    for child, n in ((2 * r["node"], r["left_n"]), (2 * r["node"] + 1, r["right_n"])):
+                        if r["feature"] >= 0 and n > 1 and child < 1 << turn.settings[s]["max_depth"]:
+                            below.append((s, child))
+        level = sorted(below)
 
 
 def fit_side_by_side(
@@ -403,16 +439,19 @@ def fit_side_by_side(
 
 
 def _packed(state: DataFrame, total: int) -> DataFrame:
-    """No more partitions than hold ``PARTITION_ROWS`` rows each."""
-    partitions = max(1, -(-total // PARTITION_ROWS))
+    """No more partitions than hold ``PARTITION_ROWS`` rows each, or than tasks that run at once."""
+    partitions = max(1, min(-(-total // PARTITION_ROWS), state.sparkSession.sparkContext.defaultParallelism))
     return state.coalesce(partitions) if partitions < state.rdd.getNumPartitions() else state
 
 
 def _fit_group(rows, inputs, edges, settings: list[dict], draw: str, local_rows: int) -> list[BoostedTrees]:
     models = [BoostedTrees(s, inputs, edges) for s in settings]
-    own = rows.select(F.col(draw).cast("long").alias("draw"), F.coalesce(F.col("label").cast("int"), F.lit(0)).alias("label"), *inputs)
+    own = rows.select(F.coalesce(F.col(draw).cast("long"), F.lit(0)).alias("draw"), F.coalesce(F.col("label").cast("int"), F.lit(0)).alias("label"), *inputs)
     state = stage(own.mapInArrow(_binned(inputs, edges, len(settings)), _STATE), "boosting-rows")
     total, known = state.count(), 0
+    if 0 < total <= local_rows:
+        _grow_all(state, models)
+        return models
     state = _packed(state, total)
     for turn in range(max(s["n_estimators"] for s in settings)):
         recent = [m.trees[known:] for m in models]
@@ -426,7 +465,7 @@ def _fit_group(rows, inputs, edges, settings: list[dict], draw: str, local_rows:
             n = sum(live)
             now = _Turn(settings[:n], masks[:n], turn, recent, now.partial[:n], [])
         if total:
-            _grow(state, now, total, len(inputs), local_rows)
+            _grow(state, now)
         for model, tree in zip(models, now.partial):
             model.trees.append(tree)
     return models

@@ -88,6 +88,24 @@ def test_levels_rows_and_partitions_give_the_same_trees(spark, monkeypatch):
         assert [flat(m) for m in fit_side_by_side(data, INPUTS, chosen, local_rows=local_rows)] == whole
 
 
+def test_a_small_table_takes_one_job_and_a_level_one_job(spark):
+    rows, context = spark.createDataFrame(drawn(300), SCHEMA), spark.sparkContext
+    for n, local_rows, most in ((0, 1_000, 8), (1, 50, 8 + 4 * 3)):
+        context.setJobGroup(f"fit-{n}", "")
+        fit_side_by_side(rows, INPUTS, [settings(), settings(scale_pos_weight=1)], local_rows=local_rows)
+        assert len(context.statusTracker().getJobIdsForGroup(f"fit-{n}")) <= most
+    context.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_many_nodes_and_kept_margins_change_nothing(spark, monkeypatch):
+    rows, chosen = spark.createDataFrame(drawn(150), SCHEMA).repartition(3), [settings(n_estimators=3), settings(max_depth=4)]
+    whole = [flat(m) for m in fit_side_by_side(rows, INPUTS, chosen)]
+    monkeypatch.setattr(boosting, "NODES_AT_ONCE", 3)
+    monkeypatch.setattr(boosting, "STATE_ROUNDS", 2)
+    for local_rows in (0, 1_000):
+        assert [flat(m) for m in fit_side_by_side(rows, INPUTS, chosen, local_rows=local_rows)] == whole
+
+
 def test_side_by_side_equals_fits_one_by_one(spark):
     rows = spark.createDataFrame(drawn(200), SCHEMA)
     chosen = [settings(n_estimators=n, max_depth=d, subsample=s) for n in (2, 5) for d in (2, 3) for s in (0.6, 1.0)]
