@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.text import explode_rows
 from rankloom.operators.bm25 import corpus_table, idf_of, matched_scores, with_known
-from rankloom.operators.tfidf import distinct_texts, idf_of_grams, text_grams
+from rankloom.operators.tfidf import distinct_texts, gram_totals, idf_of_grams
 from rankloom.sources.writers import stage
 
 _BATCHES = "batch string, texts long, tokens long"
@@ -61,8 +61,7 @@ def add_documents(docs: DataFrame, path: str, text: str = "document") -> None:
 def add_fit_texts(texts: DataFrame, path: str, text: str = "text") -> None:
     """Add texts, copies included, to the TF-IDF statistics in ``path``. Null texts count as ''."""
     own = texts.select(F.col(text).alias("text"))
-    grams = text_grams(distinct_texts(own), "weight")
-    counts = grams.groupBy(F.col("gram").alias("item")).agg(F.sum("weight").alias("df"), F.count("*").alias("n_texts"))
+    counts = gram_totals(distinct_texts(own)).withColumnRenamed("gram", "item")
     totals = own.agg(F.count("*").alias("texts"), F.lit(0).cast("long").alias("tokens"))
     _commit(path, uuid.uuid4().hex, {"counts": counts}, totals)
 
