@@ -78,3 +78,23 @@ def test_lookup_deals_rows_out_once(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert plan.count("SortMergeJoin") == 1
+
+
+def test_lookup_joins_small_partitions_by_hash(spark):
+    name = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
+    kept = {k: spark.conf.get(k) for k in (name, "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.unset(name)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(2000).select(F.col("id").alias("n"), (F.col("id") % 500).alias("k"))
+        table = spark.range(600).select(F.col("id").alias("k"), (F.col("id") * 2).alias("twice"))
+        joined = salted_lookup(rows, table, ["k"], spread="n", how="inner")
+        assert {(r.n, r.twice) for r in joined.collect()} == {(i, i % 500 * 2) for i in range(2000)}
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin" in plan.split("Initial Plan")[0]
+        spark.conf.set(name, "1b")
+        salted_lookup(rows, table, ["k"], spread="n")
+        assert spark.conf.get(name) == "1b"
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
