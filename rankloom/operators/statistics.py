@@ -2,7 +2,8 @@
 
 A folder holds partial counts per batch; what scoring needs is their sum. BM25 counts each
 different document once, so the keys of all documents are kept too, and a batch brings only
-those that are new. TF-IDF counts copies, so its batches just add up.
+those that are new. TF-IDF counts copies, so its batches just add up; its many grams are kept as
+lists, one row per part of the grams and batch.
 
 The table ``batches`` is written last, one row in one file per batch. Counts whose batch is
 not in it come from a run that failed and are not read.
@@ -15,14 +16,20 @@ import uuid
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from rankloom.functions.counts import TOTALS, merged_lists, total_lists, total_rows
 from rankloom.functions.text import explode_rows
 from rankloom.operators.bm25 import corpus_table, idf_of, matched_scores, with_known
-from rankloom.operators.tfidf import distinct_texts, gram_totals, idf_of_grams
+from rankloom.operators.tfidf import distinct_texts, idf_of_grams
 from rankloom.sources.writers import stage
 
 _BATCHES = "batch string, texts long, tokens long"
-_TABLES = {"documents": "doc_key binary, batch string", "counts": "item string, df long, n_texts long, batch string"}
+_TABLES = {
+    "documents": "doc_key binary, batch string",
+    "counts": "item string, df long, n_texts long, batch string",
+    "grams": f"{TOTALS}, batch string",
+}
 
 
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -31,7 +38,7 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+        return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(schema)])
 
 
 def _committed(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -61,28 +68,27 @@ def add_documents(docs: DataFrame, path: str, text: str = "document") -> None:
 def add_fit_texts(texts: DataFrame, path: str, text: str = "text") -> None:
     """Add texts, copies included, to the TF-IDF statistics in ``path``. Null texts count as ''."""
     own = texts.select(F.col(text).alias("text"))
-    counts = gram_totals(distinct_texts(own)).withColumnRenamed("gram", "item")
+    grams = merged_lists(total_lists(distinct_texts(own), "weight", "text"))
     totals = own.agg(F.count("*").alias("texts"), F.lit(0).cast("long").alias("tokens"))
-    _commit(path, uuid.uuid4().hex, {"counts": counts}, totals)
+    _commit(path, uuid.uuid4().hex, {"grams": grams}, totals)
 
 
 def _totals(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, f"{path}/batches", _BATCHES).agg(F.sum("texts").alias("texts"), F.sum("tokens").alias("tokens"))
 
 
-def _counts(spark: SparkSession, path: str, name: str) -> DataFrame:
-    sums = [F.sum(c).alias(c) for c in ("df", "n_texts")]
-    return _committed(spark, path, "counts").groupBy(F.col("item").alias(name)).agg(*sums)
-
-
 def saved_term_weights(spark: SparkSession, path: str) -> DataFrame:
     """(term, df, idf) of all batches; negative weights are replaced as for one corpus."""
-    return idf_of(_counts(spark, path, "term").select("term", "df"), _totals(spark, path).select("texts").scalar())
+    counts = _committed(spark, path, "counts").groupBy(F.col("item").alias("term")).agg(F.sum("df").alias("df"))
+    return idf_of(counts, _totals(spark, path).select("texts").scalar())
 
 
 def saved_gram_weights(spark: SparkSession, path: str) -> DataFrame:
     """(gram, df, n_texts, idf) of all batches. ``n_texts`` counts a text once per batch."""
-    return idf_of_grams(_counts(spark, path, "gram"), _totals(spark, path).select("texts").scalar())
+    if not _committed(spark, path, "counts").isEmpty():
+        raise ValueError("the folder holds counts of single items, as of BM25 or of an earlier version")
+    counts = total_rows(_committed(spark, path, "grams")).withColumnRenamed("value", "gram")
+    return idf_of_grams(counts, _totals(spark, path).select("texts").scalar())
 
 
 def _size(spark: SparkSession, path: str) -> Column:

@@ -109,3 +109,25 @@ def test_single_scores_are_those_of_the_feature_table(spark):
         assert table(score_table(data, some), "pair_id", "question_id", "label", *some) == table(whole, "pair_id", "question_id", "label", *some)
     with pytest.raises(ValueError):
         score_table(data, ["token_overlap"])
+
+
+def test_grams_are_kept_as_lists(spark, tmp_path):
+    """Few rows per batch whatever the number of grams; those of a failed run are not read."""
+    path = str(tmp_path / "s")
+    texts = [" ".join(f"w{i}x{j}" for j in range(400)) for i in range(20)]
+    for batch in (texts[:12], texts[12:] + texts[:3]):
+        statistics.add_fit_texts(docs(spark, *batch), path, "document")
+    kept = spark.read.parquet(f"{path}/grams")
+    assert kept.groupBy("batch", "part").count().where("count > 1").isEmpty()
+    assert kept.selectExpr("sum(size(split(items, '\n')))").first()[0] == (12 + 11) * (400 + 399) and kept.count() <= 2 * 2048
+    spark.range(1).selectExpr("0 AS part", "'lost' AS items", "X'0100000000000000' AS df", "X'0100000000000000' AS n_texts", "'lost' AS batch").write.mode(
+        "append"
+    ).partitionBy("batch").parquet(f"{path}/grams")
+    saved = {r.gram: (r.df, r.n_texts) for r in statistics.saved_gram_weights(spark, path).collect()}
+    assert saved == {g: (1 + (i < 3),) * 2 for i, t in enumerate(texts) for w in [t.split()] for g in [*w, *map(" ".join, zip(w, w[1:]))]}
+
+
+def test_counts_of_single_items_are_not_taken_for_grams(spark, tmp_path):
+    statistics.add_documents(docs(spark, *ALL), str(tmp_path / "s"))
+    with pytest.raises(ValueError):
+        statistics.saved_gram_weights(spark, str(tmp_path / "s"))
