@@ -131,3 +131,16 @@ def test_counts_of_single_items_are_not_taken_for_grams(spark, tmp_path):
     statistics.add_documents(docs(spark, *ALL), str(tmp_path / "s"))
     with pytest.raises(ValueError):
         statistics.saved_gram_weights(spark, str(tmp_path / "s"))
+
+
+def test_tfidf_where_grams_have_one_text(spark, monkeypatch):
+    """Grams of one text take their df from its copies and are not looked up; both texts of a pair may be that text."""
+    sizes, lookup = [], tfidf.salted_lookup
+    monkeypatch.setattr(tfidf, "salted_lookup", lambda rows, table, *a, **k: (sizes.append(table.count()), lookup(rows, table, *a, **k))[1])
+    data = spark.createDataFrame([("1", "red fox", "red fox"), ("2", "blue sea", "blue sky"), ("3", "red fox", "old")], PAIRS)
+    counts = {"red": 3, "fox": 3, "red fox": 3, "blue": 2, "sea": 1, "blue sea": 1, "sky": 1, "blue sky": 1, "old": 1}
+    idf = {g: math.log(7 / (n + 1)) + 1 for g, n in counts.items()}
+    length = math.sqrt(idf["blue"] ** 2 + 2 * idf["sea"] ** 2)
+    found = {r.pair_id: r.tfidf_similarity for r in tfidf.with_tfidf(data).collect()}
+    assert found == pytest.approx({"1": 1.0, "2": idf["blue"] ** 2 / length**2, "3": 0.0})
+    assert sizes[0] == 1  # "blue"
