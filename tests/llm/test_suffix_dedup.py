@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,3 +76,34 @@ def test_copies_empty_table_and_text_output(spark):
     rows = remove_repeats(docs, with_text=True).orderBy("doc_id").collect()
     assert [(r.n_removed, r.kept_text) for r in rows] == [(550, ""), (550, ""), (0, "tail")]
     assert remove_repeats(docs.where(F.lit(False))).count() == 0
+
+
+def repetitive() -> list[str]:
+    r = random.Random(6)
+    word = lambda n: "".join(r.choice("abcdef ") for _ in range(n))
+    line, block = word(90) + "\n", word(1_500)
+    return [
+        line * 400, word(700) + line * 6 + word(700), word(50) + line * 5, line * 4 + word(30), "x" * 9_000, "x" * 410,
+        block + word(300) + block, word(200) + block[300:1_200] + word(200), block[:800] + "!" + block[:800] + line * 30,
+    ]
+
+
+@pytest.mark.parametrize("limit", [1_000, 1])
+def test_repeats_within_a_text_against_brute_force(spark, monkeypatch, limit):
+    monkeypatch.setattr(suffix_dedup, "SHARD_SEGMENTS", limit)
+    texts = repetitive()
+    for some in (texts, texts[:1], texts[6:7], texts[1:5]):
+        docs = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string").repartition(3)
+        rows = remove_repeats(docs).orderBy("doc_id").collect()
+        assert [tuple(r)[1:] for r in rows] == brute([t.encode() for t in some], 400)
+
+
+def test_a_line_said_over_and_over_is_not_a_row_each_time():
+    line = "The same line, as a crawler finds it in a thousand places.\n"
+    batch = pa.RecordBatch.from_pydict({"digest": [b"d"], "row_key": [1], "text": [line * 5_000]})
+    run, _ = suffix_dedup._emit_segments(400)
+    rows = [r for out in run(iter([batch])) for r in out.to_pylist()]
+    assert len(rows) < 10
+    of_runs = [r["windows"] for r in rows if r["shard"] is None]
+    others = [r["windows"] for r in rows if not r["again"]]
+    assert sum(of_runs) + sum(others) == len(line) * 5_000 - 399 and sum(others) < 1_000
