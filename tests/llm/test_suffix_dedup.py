@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -107,3 +108,30 @@ def test_a_line_said_over_and_over_is_not_a_row_each_time():
     of_runs = [r["windows"] for r in rows if r["shard"] is None]
     others = [r["windows"] for r in rows if not r["again"]]
     assert sum(of_runs) + sum(others) == len(line) * 5_000 - 399 and sum(others) < 1_000
+
+
+def test_a_shard_of_many_texts_can_be_split_between_tasks(spark):
+    r = random.Random(8)
+    word = lambda n: "".join(r.choice("abcdef ") for _ in range(n))
+    passage = word(450)
+    texts = [word(300) + passage + word(300) for _ in range(150)] + [t for t in (word(900) for _ in range(20)) for _ in range(2)]
+    settings = {
+        "spark.sql.shuffle.partitions": "8",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1",
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        spans = suffix_dedup.repeated_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+        assert len(spans.collect()) == 170
+        plan = spans._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert re.search(r"SortMergeJoin\(skew=true\) \[shard#\d+L\], \[shard#\d+L\]", plan)
