@@ -4,11 +4,12 @@ Settings that differ only in their number of rounds share one model: it holds th
 smaller number. All models of a group take their next tree in the same pass over the rows,
 so the passes do not grow with the number of settings.
 
-Up to ``LOCAL_ROWS`` rows, each model is grown in a task of its own, all rounds in one job. Above,
-a tree grows from the top by one short job per level: each task adds up the gradients of its rows
-per node, input and bin, the driver adds up those sums (whose size goes by nodes and tasks, not by
-rows) and takes each node's split. Gradients are whole numbers, so sums and trees do not depend on
-the order or the partitioning of the rows, nor on which way a tree was grown.
+Up to ``LOCAL_ROWS`` rows, or ``HELD_ROWS`` where the models keep the tasks busy, each model is grown
+in a task of its own, all rounds in one job. Above, a tree grows from the top by one short job per
+level: each task adds up the gradients of its rows per node, input and bin, the driver adds up those
+sums (whose size goes by nodes and tasks, not by rows) and takes each node's split. Gradients are
+whole numbers, so sums and trees do not depend on the order or the partitioning of the rows, nor on
+which way a tree was grown.
 
 Rows carry their bins and, for each model, the margin of some rounds ago; later trees, which
 are small, go to the tasks. Only sums, trees and bin edges come to the driver.
@@ -28,12 +29,17 @@ from pyspark.sql import functions as F
 from rankloom.sources.writers import stage
 
 BINS = 32
-#: Rows up to which a model is grown in one task; some 120 bytes a row.
-LOCAL_ROWS = 500_000
+#: Rows up to which a model is grown in one task, some 120 bytes a row: where models are few, and where
+#: there are models for half the tasks that run at once or more.
+LOCAL_ROWS, HELD_ROWS = 500_000, 4_000_000
 #: Rows of a task's share below which it is not cut further, and that are added up at once.
 PARTITION_ROWS = 50_000
 #: Nodes of all models whose sums a job is about: 13 KB a node with 17 inputs, before compression.
 NODES_AT_ONCE = 256
+#: Bits of an input's bins, and of the joint numbers of several inputs' bins.
+INPUT_BITS, JOINT_BITS = (BINS - 1).bit_length(), 2 * (BINS - 1).bit_length()
+#: Rows of a task that are worked on at once, so that they stay in the processor's cache.
+CHUNK_ROWS = 1 << 16
 #: Rounds after which margins are written to the rows.
 STATE_ROUNDS = 10
 #: Models that are grown side by side.
@@ -72,6 +78,17 @@ class Tree:
             self.feature[node], self.cut[node], self.gain[node] = row["feature"], row["cut"], row["gain"]
             self.value[2 * node], self.value[2 * node + 1] = row["left_value"], row["right_value"]
 
+    def put(self, level: dict[str, np.ndarray]) -> None:
+        """``place`` for many nodes, as arrays; parents come before their children."""
+        size, most = len(self.feature), 2 * int(level["node"].max(initial=0)) + 2
+        if most > size:
+            self.feature = np.append(self.feature, np.full(most - size, -1, np.int16))
+            self.cut, self.value, self.gain = (np.append(x, np.zeros(most - size, x.dtype)) for x in (self.cut, self.value, self.gain))
+        self.value[level["node"]] = level["value"]
+        inner = level["feature"] >= 0
+        node, *found = (level[k][inner] for k in ("node", "feature", "cut", "gain", "left_value", "right_value"))
+        self.feature[node], self.cut[node], self.gain[node], self.value[2 * node], self.value[2 * node + 1] = found
+
     def nodes(self, bins: np.ndarray) -> np.ndarray:
         """The node in which each row ends."""
         node, rows = np.ones(len(bins), np.int64), np.arange(len(bins))
@@ -280,55 +297,171 @@ def _each(table: dict[str, np.ndarray]) -> Iterator[dict]:
     return (dict(zip(table, values)) for values in zip(*(v.tolist() for v in table.values())))
 
 
+def _filled(widths: list[int], limit: int) -> list[list[int]]:
+    """Lists of places whose widths add up to ``limit`` at most, the widest first."""
+    lists, free = [], []
+    for i in sorted(range(len(widths)), key=lambda i: -widths[i]):
+        at = next((k for k, left in enumerate(free) if left >= widths[i]), len(lists))
+        if at == len(lists):
+            lists, free = [*lists, []], [*free, limit]
+        lists[at].append(i)
+        free[at] -= widths[i]
+    return lists
+
+
+@dataclass
+class _Field:
+    """Bits of a joint number that are counted together, and the inputs in them."""
+
+    group: int
+    shift: int
+    bits: int
+    inputs: list[tuple[int, int, int]]  # place, shift within the field, bits
+
+
+def _fields(widths: list[int]) -> tuple[list[list[tuple[int, int]]], list[_Field], list[_Field]]:
+    """How bins of the given bits make joint numbers: (place, shift) by number, fields that are whole
+    numbers, and fields no wider than one input."""
+    numbers, wide, narrow = [], [], []
+    own = _filled(widths, INPUT_BITS)
+    for g, some in enumerate(_filled([sum(widths[i] for i in f) for f in own], JOINT_BITS)):
+        number, inputs, shift = [], [], 0
+        for f in some:
+            begin, held = shift, []
+            for i in own[f]:
+                held.append((i, shift - begin, widths[i]))
+                inputs.append((i, shift, widths[i]))
+                number.append((i, shift))
+                shift += widths[i]
+            narrow.append(_Field(g, begin, shift - begin, held))
+        numbers.append(number)
+        wide.append(_Field(g, 0, shift, inputs))
+    return numbers, wide, narrow
+
+
+def _slices_of(n: int) -> Iterator[slice]:
+    return (slice(a, min(a + CHUNK_ROWS, n)) for a in range(0, n, CHUNK_ROWS))
+
+
+def _node_sums(codes: list[np.ndarray], fields: list[_Field], inputs: int, weights: tuple, ends: np.ndarray) -> np.ndarray:
+    """Sums (node, input, bin, 3) of rows that stand node by node, between two ends each."""
+    n, start = len(ends) - 1, int(ends[0])
+    tables = [np.zeros((3, n << f.bits)) for f in fields]
+    for part in _slices_of(int(ends[-1]) - start):
+        a, b = part.start + start, part.stop + start
+        low, high = np.searchsorted(ends, [a, b - 1], "right") - 1
+        slot = np.repeat(np.arange(high - low + 1), np.diff(np.clip(ends[low : high + 2], a, b)))
+        own = [None, *(w[a:b] for w in weights)]
+        for f, table in zip(fields, tables):
+            at = (slot << f.bits) + ((codes[f.group][a:b] >> f.shift) & ((1 << f.bits) - 1))
+            size = int(high - low + 1) << f.bits
+            for k, w in enumerate(own):
+                table[k, low << f.bits : (low << f.bits) + size] += np.bincount(at, w, size)
+    sums = np.zeros((n, inputs, BINS, 3), np.int64)
+    for f, table in zip(fields, tables):
+        for place, shift, bits in f.inputs:
+            sums[:, place, : 1 << bits] = table.reshape(3, n, -1, 1 << bits, 1 << shift).sum((2, 4)).transpose(1, 2, 0)
+    return sums
+
+
+def _levels(setting: dict, used: np.ndarray, bins: np.ndarray, widths: list[int], label: np.ndarray, margin: np.ndarray, rows: np.ndarray) -> Iterator[dict[str, np.ndarray]]:
+    """Nodes of a tree out of the given rows, level by level; adds the tree to these rows' margins.
+
+    Rows stand node by node. Of two children that go on, the smaller one is counted and the other
+    one is what the parent has left: whole numbers, so the sums are the same. Inputs are counted by
+    two or more at a time, as one joint number, where nodes have enough rows."""
+    numbers, wide, narrow = _fields([widths[i] for i in used])
+    place_of = {used[i]: (g, shift, (1 << widths[used[i]]) - 1) for g, number in enumerate(numbers) for i, shift in number}
+    codes = []
+    for number in numbers:
+        code = np.zeros(len(label), np.uint16)
+        for i, shift in number:
+            code |= bins[used[i]].astype(np.uint16) << shift
+        codes.append(code[rows])
+    first, second = np.zeros(len(rows)), np.zeros(len(rows))
+    for c in _slices_of(len(rows)):
+        first[c], second[c] = gradients(label[rows[c]], margin[rows[c]], setting["scale_pos_weight"])
+
+    def sums_of(at: int, to: int) -> np.ndarray:
+        fields = wide if ends[to] - ends[at] >= (to - at) << JOINT_BITS else narrow
+        return _node_sums(codes, fields, len(used), (first, second), ends[at : to + 1])
+
+    nodes, ends, counted, parents, left = np.array([1]), np.array([0, len(rows)]), 1, None, []
+    while len(nodes) and len(rows):
+        if len(nodes) <= NODES_AT_ONCE:
+            sums = sums_of(0, counted)
+            if left:
+                parent, sibling = np.array(left).T
+                sums = np.concatenate([sums, parents[parent] - sums[sibling]])
+            level, parents = split_table(sums, nodes, used, setting), sums
+        else:
+            blocks = [(at, min(at + NODES_AT_ONCE, len(nodes))) for at in range(0, len(nodes), NODES_AT_ONCE)]
+            found = [split_table(sums_of(at, to), nodes[at:to], used, setting) for at, to in blocks]
+            level, parents = {k: np.concatenate([f[k] for f in found]) for k in found[0]}, None
+        yield level
+        small, large, left = [], [], []
+        for i, r in enumerate(_each(level)):
+            at, to = int(ends[i]), int(ends[i + 1])
+            if r["feature"] < 0:
+                margin[rows[at:to]] += r["value"]
+                continue
+            g, shift, mask = place_of[r["feature"]]
+            right = ((codes[g][at:to] >> shift) & mask) > r["cut"]
+            on = []
+            for child, own, value in ((2 * r["node"], ~right, r["left_value"]), (2 * r["node"] + 1, right, r["right_value"])):
+                own = np.flatnonzero(own) + at
+                if child < 1 << setting["max_depth"] and len(own) > 1:
+                    on.append((child, own))
+                else:
+                    margin[rows[own]] += value
+            if len(on) == 2 and parents is not None:
+                on.sort(key=lambda x: len(x[1]))
+                left.append((i, len(small)))
+                large.append(on.pop())
+            small += on
+        counted, on = len(small), small + large
+        nodes, ends = np.array([child for child, _ in on], np.int64), np.cumsum([0, *(len(own) for _, own in on)])
+        if on:
+            order = np.concatenate([own for _, own in on])
+            rows, first, second, codes = rows[order], first[order], second[order], [c[order] for c in codes]
+
+
 def grow_rounds(setting: dict, bins: np.ndarray, label: np.ndarray, draw: np.ndarray) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
     """(round, nodes) of a whole model out of all rows, bins standing input by input."""
-    margin = np.zeros(len(label))
+    margin, n = np.zeros(len(label)), len(label)
+    widths = [int(b.max(initial=0)).bit_length() for b in bins]
     for turn in range(int(setting["n_estimators"])):
         used = np.flatnonzero(chosen_inputs(setting, turn, len(bins)))
-        first, second = gradients(label, margin, setting["scale_pos_weight"])
-        rows = np.flatnonzero(uniform(draw, setting["random_state"], turn) < setting["subsample"])
-        own, first, second = bins[np.ix_(used, rows)], first[rows].astype(np.float64), second[rows].astype(np.float64)
-        tree, node, numbers = Tree.unsplit(), np.ones(len(rows), np.int64), np.array([1])
-        while len(numbers):
-            found = []
-            for at in range(0, len(numbers), NODES_AT_ONCE):
-                some = numbers[at : at + NODES_AT_ONCE]
-                mine = slice(None) if len(some) == len(numbers) else np.flatnonzero((node >= some[0]) & (node <= some[-1]))
-                sums = _sums(own[:, mine], np.searchsorted(some, node[mine]), len(some), first[mine], second[mine])
-                found.append(split_table(sums, some, used, setting))
-            level = {k: np.concatenate([f[k] for f in found]) for k in found[0]}
+        drawn, tree = np.zeros(n, bool), Tree.unsplit()
+        for c in _slices_of(n):
+            drawn[c] = uniform(draw[c], setting["random_state"], turn) < setting["subsample"]
+        for level in _levels(setting, used, bins, widths, label, margin, np.flatnonzero(drawn)):
+            tree.put(level)
             yield turn, level
-            for r in _each(level):
-                tree.place(r)
-            # Nodes go on where they were split and their children can be.
-            split = (level["feature"] >= 0) & (2 * level["node"] < 1 << setting["max_depth"])
-            children = [2 * level["node"] + side for side in (0, 1)]
-            numbers = np.sort(np.concatenate([c[split & (level[n] > 1)] for c, n in zip(children, ("left_n", "right_n"))]))
-            if len(numbers):
-                to = np.zeros(len(tree.feature), bool)
-                to[numbers] = True
-                feature = tree.feature[node]
-                right = bins[np.maximum(feature, 0), rows] > tree.cut[node]
-                node = np.where(feature >= 0, 2 * node + right, node)
-                on = to[node]
-                rows, node, own, first, second = rows[on], node[on], own[:, on], first[on], second[on]
-        margin += tree.scores(bins.T)
+        rest = np.flatnonzero(~drawn)
+        for c in _slices_of(len(rest)):
+            margin[rest[c]] += tree.scores(bins[:, rest[c]].T)
 
 
 _ROUNDS = f"turn long, {_NODES}"
 
 
-def _held(batches: Iterator[pa.RecordBatch], inputs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+_BLOCK = "bins binary, label binary, draw binary"
+
+
+def _as_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch as one row: bins input by input, labels and draws."""
+    for batch in batches:
+        if batch.num_rows:
+            bins = _matrix(batch.column("bins"), np.uint8, batch.num_rows).T
+            columns = [np.ascontiguousarray(bins), *(batch.column(c).to_numpy(zero_copy_only=False) for c in ("label", "draw"))]
+            yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], ["bins", "label", "draw"])
+
+
+def _held(blocks: list[dict], inputs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bins input by input, labels and draws of all rows of a task."""
-    parts = [
-        (_matrix(b.column("bins"), np.uint8, b.num_rows), b.column("label").to_numpy(), b.column("draw").to_numpy())
-        for b in batches
-        if b.num_rows
-    ]
-    if not parts:
-        return np.zeros((inputs, 0), np.uint8), np.zeros(0, np.int32), np.zeros(0, np.int64)
-    bins, label, draw = (np.concatenate(x) for x in zip(*parts))
-    return np.ascontiguousarray(bins.T), label, draw
+    bins = np.concatenate([np.frombuffer(b["bins"], np.uint8).reshape(inputs, -1) for b in blocks], axis=1)
+    return bins, *(np.concatenate([np.frombuffer(b[c], kind) for b in blocks]) for c, kind in (("label", np.int32), ("draw", np.int64)))
 
 
 def _rounds(series: int, grown: Iterator[tuple[int, dict[str, np.ndarray]]]) -> Iterator[pa.RecordBatch]:
@@ -338,16 +471,15 @@ def _rounds(series: int, grown: Iterator[tuple[int, dict[str, np.ndarray]]]) ->
 
 
 def _grow_one(settings: list[dict], inputs: int):
-    """For a task that gets the rows of one series after the other."""
+    """For a task that gets the blocks of one series after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[int, list[pa.RecordBatch]] = {}
+        own: dict[int, list[dict]] = {}
         for batch in batches:
-            series = batch.column("series").to_numpy()
-            for s in np.unique(series).tolist():
-                own.setdefault(s, []).append(batch.filter(pa.array(series == s)))
+            for block in batch.to_pylist():
+                own.setdefault(block["series"], []).append(block)
         for s in sorted(own):
-            yield from _rounds(s, grow_rounds(settings[s], *_held(iter(own.pop(s)), inputs)))
+            yield from _rounds(s, grow_rounds(settings[s], *_held(own.pop(s), inputs)))
 
     return run
 
@@ -355,12 +487,18 @@ def _grow_one(settings: list[dict], inputs: int):
 def _grow_all(rows: DataFrame, models: list[BoostedTrees]) -> None:
     """All rounds of all models in one job, a task for each model."""
     settings, inputs, n = [m.settings for m in models], len(models[0].inputs), len(models)
-    each = rows.select(F.explode(F.array(*[F.lit(s) for s in range(n)])).alias("series"), "draw", "label", "bins")
-    found = each.repartitionById(n, F.col("series")).mapInArrow(_grow_one(settings, inputs), _ROUNDS)
+    # A row per Arrow batch, so that the copies for each model are few rows.
+    blocks = rows.select("bins", "label", "draw").mapInArrow(_as_blocks, _BLOCK)
+    each = blocks.select(F.explode(F.array(*[F.lit(s) for s in range(n)])).alias("series"), "*")
+    found = each.repartitionById(n, F.col("series")).mapInArrow(_grow_one(settings, inputs), _ROUNDS).toArrow()
+    nodes = {c: found.column(c).to_numpy() for c in found.column_names}
+    order = np.lexsort([nodes[c] for c in ("node", "turn", "series")])
+    nodes = {c: x[order] for c, x in nodes.items()}
     for model in models:
         model.trees.extend(Tree.unsplit() for _ in range(int(model.settings["n_estimators"])))
-    for r in sorted(found.collect(), key=lambda r: r["node"]):
-        models[r["series"]].trees[r["turn"]].place(r)
+    begins = np.flatnonzero((np.diff(nodes["series"], prepend=-1) != 0) | (np.diff(nodes["turn"], prepend=-1) != 0))
+    for at, to in zip(begins, [*begins[1:], len(order)]):
+        models[nodes["series"][at]].trees[nodes["turn"][at]].put({c: x[at:to] for c, x in nodes.items()})
 
 
 def _together(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
@@ -414,7 +552,7 @@ def _grow(state: DataFrame, turn: _Turn) -> None:
 
 
 def fit_side_by_side(
-    rows: DataFrame, inputs: list[str], settings: list[dict], draw: str = "draw", local_rows: int = LOCAL_ROWS, at_once: int = AT_ONCE
+    rows: DataFrame, inputs: list[str], settings: list[dict], draw: str = "draw", local_rows: int | None = None, at_once: int = AT_ONCE
 ) -> list[BoostedTrees]:
     """A model per setting, out of rows with ``label`` (0 or 1), a 64-bit number per row that
     decides in which rounds it is drawn, and the inputs as numbers.
@@ -428,8 +566,8 @@ def fit_side_by_side(
         kind = tuple(sorted((k, v) for k, v in setting.items() if k != "n_estimators"))
         kinds[kind] = max(kinds.get(kind, 0), int(setting["n_estimators"]))
     models = {}
-    # Models of equally many rounds side by side.
-    order = sorted(kinds, key=lambda kind: -kinds[kind])
+    # Models of equally many rounds side by side, the longest tasks first.
+    order = sorted(kinds, key=lambda kind: (-kinds[kind], -dict(kind)["max_depth"]))
     for i in range(0, len(order), at_once):
         some = order[i : i + at_once]
         own = [{**dict(kind), "n_estimators": kinds[kind]} for kind in some]
@@ -444,8 +582,10 @@ def _packed(state: DataFrame, total: int) -> DataFrame:
     return state.coalesce(partitions) if partitions < state.rdd.getNumPartitions() else state
 
 
-def _fit_group(rows, inputs, edges, settings: list[dict], draw: str, local_rows: int) -> list[BoostedTrees]:
+def _fit_group(rows, inputs, edges, settings: list[dict], draw: str, local_rows: int | None) -> list[BoostedTrees]:
     models = [BoostedTrees(s, inputs, edges) for s in settings]
+    if local_rows is None:
+        local_rows = HELD_ROWS if 2 * len(models) >= rows.sparkSession.sparkContext.defaultParallelism else LOCAL_ROWS
     own = rows.select(F.coalesce(F.col(draw).cast("long"), F.lit(0)).alias("draw"), F.coalesce(F.col("label").cast("int"), F.lit(0)).alias("label"), *inputs)
     state = stage(own.mapInArrow(_binned(inputs, edges, len(settings)), _STATE), "boosting-rows")
     total, known = state.count(), 0

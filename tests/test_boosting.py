@@ -162,3 +162,43 @@ def test_log_loss(spark):
     found = spark.createDataFrame(rows, "label int, p double").agg(log_loss(F.col("label"), F.col("p")).alias("v")).first().v
     worst = -math.log(1e-16)
     assert found == pytest.approx((-math.log(0.9) - math.log(0.8) + worst - math.log(1 - (1 - 1e-16))) / 4, rel=0.3)
+
+
+def test_many_models_are_grown_in_one_job_where_each_task_can_hold_the_rows(spark, monkeypatch):
+    rows, context = spark.createDataFrame(drawn(300), SCHEMA), spark.sparkContext
+    chosen = [settings(scale_pos_weight=w) for w in range(1, context.defaultParallelism + 1)]
+    monkeypatch.setattr(boosting, "LOCAL_ROWS", 50)
+    context.setJobGroup("fit-many", "")
+    many = [flat(m) for m in fit_side_by_side(rows, INPUTS, chosen)]
+    assert len(context.statusTracker().getJobIdsForGroup("fit-many")) <= 8
+    context.setLocalProperty("spark.jobGroup.id", None)
+    monkeypatch.setattr(boosting, "HELD_ROWS", 50)
+    assert [flat(m) for m in fit_side_by_side(rows, INPUTS, chosen)] == many
+
+
+def test_inputs_counted_together_give_the_same_trees(spark, monkeypatch):
+    # Enough rows for joint numbers at the first levels, and nodes on both sides of a chunk's end.
+    rows, chosen = spark.createDataFrame(drawn(9_000, values=40), SCHEMA), [settings(max_depth=6)]
+    whole = flat(fit_side_by_side(rows, INPUTS, chosen, local_rows=0)[0])
+    assert len(whole) > 100
+    for chunk in (700, 1 << 16):
+        monkeypatch.setattr(boosting, "CHUNK_ROWS", chunk)
+        assert flat(fit_side_by_side(rows, INPUTS, chosen)[0]) == whole
+
+
+def test_fields_hold_every_input_once():
+    widths = [5, 4, 0, 1, 5, 5, 1, 1, 3]
+    numbers, wide, narrow = boosting._fields(widths)
+    for fields, most in ((wide, 10), (narrow, 5)):
+        assert sorted(i for f in fields for i, _, _ in f.inputs) == list(range(9)) and all(f.bits <= most for f in fields)
+        for f in fields:
+            for i, shift, bits in f.inputs:
+                assert bits == widths[i] and (i, f.shift + shift) in numbers[f.group]
+    draw = np.random.default_rng(3)
+    bins = np.array([draw.integers(0, 1 << w, 500) for w in widths], np.uint8)
+    codes = [sum(bins[i].astype(np.uint16) << s for i, s in n).astype(np.uint16) for n in numbers]
+    first, second, ends = draw.integers(-9, 9, 500).astype(float), draw.integers(0, 9, 500).astype(float), np.array([0, 3, 200, 500])
+    slot = np.repeat(np.arange(3), np.diff(ends))
+    expected = boosting._sums(bins, slot, 3, first, second)
+    assert all((boosting._node_sums(codes, f, 9, (first, second), ends) == expected).all() for f in (wide, narrow))
+    assert (boosting._node_sums(codes, wide, 9, (first, second), ends[1:]) == expected[1:]).all()
