@@ -91,14 +91,15 @@ class Tree:
 
     def nodes(self, bins: np.ndarray) -> np.ndarray:
         """The node in which each row ends."""
-        node, rows = np.ones(len(bins), np.int64), np.arange(len(bins))
-        while True:
-            feature = self.feature[node]
-            inner = feature >= 0
-            if not inner.any():
-                return node
-            right = bins[rows, np.maximum(feature, 0)] > self.cut[node]
-            node = np.where(inner, 2 * node + right, node)
+        inner, own = self.feature >= 0, np.arange(len(self.feature))
+        # Input, cut and left child of a node as one number; where there is no split, a row stays.
+        steps = np.maximum(self.feature, 0) | np.where(inner, self.cut, 255).astype(np.int64) << 16 | np.where(inner, 2 * own, own) << 24
+        flat, start = np.ascontiguousarray(bins).reshape(-1), np.arange(len(bins)) * bins.shape[1]
+        node = np.ones(len(bins), np.int64)
+        for _ in range(int(own[inner].max(initial=0)).bit_length()):
+            step = steps[node]
+            node = (step >> 24) + (flat[start + (step & 0xFFFF)] > (step >> 16 & 255))
+        return node
 
     def scores(self, bins: np.ndarray) -> np.ndarray:
         return self.value[self.nodes(bins)]

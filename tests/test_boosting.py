@@ -166,7 +166,7 @@ def test_log_loss(spark):
 
 def test_many_models_are_grown_in_one_job_where_each_task_can_hold_the_rows(spark, monkeypatch):
     rows, context = spark.createDataFrame(drawn(300), SCHEMA), spark.sparkContext
-    chosen = [settings(scale_pos_weight=w) for w in range(1, context.defaultParallelism + 1)]
+    chosen = [settings(n_estimators=2, max_depth=2, scale_pos_weight=w) for w in range(1, context.defaultParallelism // 2 + 2)]
     monkeypatch.setattr(boosting, "LOCAL_ROWS", 50)
     context.setJobGroup("fit-many", "")
     many = [flat(m) for m in fit_side_by_side(rows, INPUTS, chosen)]
@@ -202,3 +202,20 @@ def test_fields_hold_every_input_once():
     expected = boosting._sums(bins, slot, 3, first, second)
     assert all((boosting._node_sums(codes, f, 9, (first, second), ends) == expected).all() for f in (wide, narrow))
     assert (boosting._node_sums(codes, wide, 9, (first, second), ends[1:]) == expected[1:]).all()
+
+
+def test_rows_end_where_the_splits_lead_them():
+    tree, draw = boosting.Tree.unsplit(), np.random.default_rng(5)
+    bins = draw.integers(0, 32, (200, 4)).astype(np.uint8)
+    assert (tree.nodes(bins) == 1).all() and len(tree.nodes(bins[:0])) == 0
+    splits = {1: (2, 15), 2: (0, 7), 3: (3, 20), 6: (1, 3), 13: (2, 30)}
+    nodes = np.array(list(splits))
+    found = {"node": nodes, "feature": np.array([f for f, _ in splits.values()]), "cut": np.array([c for _, c in splits.values()])}
+    tree.put({**found, **{k: nodes * w for k, w in (("value", 1.0), ("gain", 1.0), ("left_value", 2.0), ("right_value", 2.5))}})
+
+    def end(row, node=1):
+        return end(row, 2 * node + int(row[splits[node][0]] > splits[node][1])) if node in splits else node
+
+    for own in (bins, np.asfortranarray(bins)):
+        assert tree.nodes(own).tolist() == [end(row) for row in bins]
+    assert tree.value[[4, 5, 26, 27]].tolist() == [4.0, 5.0, 26.0, 32.5] and len(set(tree.nodes(bins))) > 4
